@@ -80,27 +80,27 @@ def split_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
-def stratified_split(
+def first_in_hash_order(
     df: DataFrame,
-    test_size: float = 0.3,
-    seed: int = 42,
-    key: str = KEY,
-    label: str = TARGET,
+    quotas: DataFrame,
+    seed: int,
+    key: str,
+    label: str,
+    flag: str,
     digits: int = 4,
 ) -> DataFrame:
-    """Add ``is_test``: in each class, exactly the quota of rows first in hash order.
+    """Add ``flag``: in each class, exactly ``n_test`` rows of ``quotas``, first in hash order.
 
     Sorting a whole class would put most rows in one task, since classes are few
     and uneven. Instead rows are counted per class and hash prefix, the prefix in
     which the quota is reached is found from these counts, and only the rows
-    carrying that prefix are ordered to find the last hash that is still test.
+    carrying that prefix are ordered to find the last hash that still counts.
     The table is read three times, so hand in a stored one when it is costly.
     """
     hashed = df.withColumn("_h", split_order(F.col(key), seed)).withColumn(
         "_p", F.substring("_h", 1, digits)
     )
     prefixes = hashed.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("n"))
-    quotas = test_quotas(prefixes.groupBy(label).agg(F.sum("n").alias("n")), test_size, label)
     running = Window.partitionBy(label).orderBy("_p")
     # At most classes x 16**digits rows; one row per class is left after the filter.
     crossing = (
@@ -120,18 +120,30 @@ def stratified_split(
         .where(F.col("rn") == F.col("needed"))
         .select(F.col(label).alias("_label"), F.struct("_h", F.col(key).alias("k")).alias("_last"))
     )
+    own = F.struct(F.col("_h"), F.col(key).alias("k"))
     return (
         hashed.join(F.broadcast(last), F.col(label) == F.col("_label"), "left")
-        .withColumn(
-            "is_test",
-            F.coalesce(
-                F.struct(F.col("_h"), F.col(key).alias("k")) <= F.col("_last"), F.lit(False)
-            ),
-        )
+        .withColumn(flag, F.coalesce(own <= F.col("_last"), F.lit(False)))
         .drop("_h", "_p", "_label", "_last")
     )
 
 
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stratified_split(
+    df: DataFrame,
+    test_size: float = 0.3,
+    seed: int = 42,
+    key: str = KEY,
+    label: str = TARGET,
+) -> DataFrame:
+    """Add ``is_test``, with exactly the quota of every class on the test side."""
+    quotas = test_quotas(class_counts(df, label), test_size, label)
+    return first_in_hash_order(df, quotas, seed, key, label, "is_test")
+
+
 def split_distribution(split: DataFrame, label: str = TARGET) -> DataFrame:
     """Rows per split and class."""
     side = F.when(F.col("is_test"), "test").otherwise("train")

@@ -952,3 +952,67 @@ ORACLES["label_index"] = clean_sql(
     " FROM (SELECT DISTINCT SEVERITY FROM clean) d)"
     " SELECT SEQN, SEVERITY, label FROM clean JOIN l USING (SEVERITY)"
 )
+
+ORACLES["smote_class_counts"] = clean_sql(
+    f"WITH {_SPLIT}, c AS (SELECT SEVERITY, count(*) AS n FROM spl WHERE NOT is_test GROUP BY SEVERITY)"
+    " SELECT SEVERITY, (SELECT max(n) FROM c) AS n_rows, (SELECT max(n) FROM c) - n AS n_synthetic FROM c"
+)
+ORACLES["audit_summary"] = with_views(
+    f"""WITH {CLEAN}, {_SPLIT}, {FAIR},
+    cells AS (SELECT unnest([{', '.join(ITEMS)}]) AS v FROM fx_questionnaire)
+    SELECT (SELECT count(*) FROM fx_demographic) AS demographic_rows,
+      (SELECT count(*) FROM fx_questionnaire) AS questionnaire_rows,
+      (SELECT count(*) FROM clean) AS merged_valid_rows,
+      (SELECT count(*) FROM cells WHERE v IS NULL OR v NOT IN (0, 1, 2, 3))
+        AS invalid_or_missing_cell_count,
+      (SELECT count(*) FROM fx_questionnaire WHERE {VALID}) AS complete_valid_rows,
+      (SELECT coalesce(string_agg(t, ',' ORDER BY t), '') FROM
+        (SELECT DISTINCT CAST(CAST(v AS DOUBLE) AS VARCHAR) AS t FROM cells
+         WHERE v NOT IN (0, 1, 2, 3)) d) AS observed_invalid_values,
+      (SELECT bool_and(PHQ9_TOTAL = {TOTAL}) FROM clean) AS totals_match,
+      (SELECT count(*) FROM spl WHERE NOT is_test) AS train_rows,
+      (SELECT count(*) FROM spl WHERE is_test) AS test_rows,
+      (SELECT count(*) FROM spl a JOIN spl b ON a.SEQN = b.SEQN WHERE a.is_test AND NOT b.is_test)
+        AS duplicate_key_count,
+      (SELECT count(*) FROM report) AS fairness_rows,
+      (SELECT count(*) FROM report WHERE fairness_flag = 'Low Sample Size') AS low_sample_size_rows,
+      (SELECT count(*) FROM fx_scored WHERE y_true = y_pred) AS agreement_count,
+      (SELECT count(*) FROM fx_scored WHERE y_true <> y_pred) AS mismatch_count
+    """,
+    "fx_scored",
+)
+
+# Streams: the same results as the tables give at once.
+
+ORACLES["stream_daily_activity"] = with_views(
+    """
+    SELECT strftime(created_at, '%Y-%m-%d') AS visit_day, count(*) AS n_visits,
+      floor(sum(phq9_total)::DOUBLE / count(*) * 100 + 0.5) / 100.0::DOUBLE AS mean_total
+    FROM fx_history
+    WHERE CAST(created_at AS DATE) + INTERVAL 2 DAY <= (SELECT max(created_at) FROM fx_history)
+    GROUP BY 1
+    """,
+    "fx_history",
+)
+ORACLES["stream_visit_changes"] = with_views(
+    f"""
+    WITH {_TREND}
+    SELECT patient_id, visit_id, created_at, total, previous_total, total - previous_total AS change,
+      CASE WHEN previous_total IS NULL THEN 'insufficient_history'
+        WHEN total < previous_total THEN 'improved' WHEN total > previous_total THEN 'worsened'
+        ELSE 'no_change' END AS status
+    FROM t
+    """,
+    "fx_history",
+)
+ORACLES["stream_running_counts"] = with_views(
+    f"SELECT coalesce(nullif(risk_band, ''), {_band('predicted_severity', 'Low')}) AS risk_band,"
+    " predicted_severity AS severity, count(*) AS n_visits FROM fx_history GROUP BY 1, 2",
+    "fx_history",
+)
+ORACLES["stream_score_and_append"] = with_views(
+    f"WITH {_RULES} SELECT j.visit_id, j.patient_id, j.phq9_total, j.predicted_severity, j.risk_band,"
+    " r.created_at, strftime(r.created_at, '%Y-%m') AS visit_month"
+    " FROM judged j JOIN fx_request r ON r.visit_id = j.visit_id",
+    "fx_request",
+)

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitgauge.functions import cleaning, identity, scoring
 from visitgauge.operators import (
     agreement, fairness, features, history, merging, quality, split,
 )
+from visitgauge.operators.oversample import oversample
+from visitgauge.plans import audit as audit_plan
+from visitgauge.plans import fairness as fairness_plan
 from visitgauge.plans import preprocess as prep
 from visitgauge.plans import scoring as score_plan
 from visitgauge.plans import training
 from visitgauge.schema import (
     AGE, AGE_GROUP, CLASS_LABELS, DEMOGRAPHIC_CODES, ITEMS, KEY, RAW_OUTPUT, TARGET, TOTAL,
 )
-from visitgauge.session import materialise
+from visitgauge.session import materialise, shared_folder
 from visitgauge.sources.visits import as_json
+from visitgauge.streaming import visits as streams
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -608,3 +615,179 @@ def onehot_features(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def label_index(spark: SparkSession, sf: str) -> DataFrame:
     return training.label_index(_clean(spark, sf).select(KEY, TARGET))
+
+
+# Training and scoring with a trained model
+
+
+class Trained(NamedTuple):
+    train_raw: DataFrame
+    test_raw: DataFrame
+    fitted: features.FeatureModel
+    model: training.TrainedModel
+    compared: DataFrame
+
+
+def _transformed(spark: SparkSession, sf: str):
+    side = materialise(_split(spark, sf))
+    train_raw = side.where(~F.col("is_test")).drop("is_test")
+    test_raw = side.where("is_test").drop("is_test")
+    return train_raw, test_raw, features.fit_features(train_raw)
+
+
+def _trained(spark: SparkSession, sf: str) -> Trained:
+    train_raw, test_raw, fitted = _transformed(spark, sf)
+    model, compared = training.train_models(
+        features.transformed_table(fitted, train_raw),
+        features.transformed_table(fitted, test_raw),
+        fitted.feature_names,
+    )
+    return Trained(train_raw, test_raw, fitted, model, compared)
+
+
+def _oversampled(spark: SparkSession, sf: str) -> DataFrame:
+    train_raw, _, fitted = _transformed(spark, sf)
+    return oversample(
+        fitted.transform(train_raw, [KEY, TARGET]), fitted.feature_names
+    )
+
+
+@query
+def smote(spark: SparkSession, sf: str) -> DataFrame:
+    return _oversampled(spark, sf)
+
+
+@query
+def smote_class_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return (
+        _oversampled(spark, sf)
+        .groupBy(TARGET)
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if("synthetic").alias("n_synthetic"),
+        )
+    )
+
+
+@query
+def train_models(spark: SparkSession, sf: str) -> DataFrame:
+    return _trained(spark, sf).compared
+
+
+@query
+def train_fairness(spark: SparkSession, sf: str) -> DataFrame:
+    trained = _trained(spark, sf)
+    return fairness_plan.trained_fairness(trained.test_raw, trained.model, trained.fitted)
+
+
+@query
+def score_batch(spark: SparkSession, sf: str) -> DataFrame:
+    trained = _trained(spark, sf)
+    report = fairness_plan.trained_fairness(trained.test_raw, trained.model, trained.fitted)
+    good, _ = score_plan.split_requests(views.requests(spark, sf))
+    scored = score_plan.score_batch(
+        good, trained.model, trained.fitted, fairness.fairness_summary(report)
+    )
+    return scored.drop("timestamp")
+
+
+@query
+def boundary_checks(spark: SparkSession, sf: str) -> DataFrame:
+    trained = _trained(spark, sf)
+    return score_plan.boundary_checks(spark, trained.model, trained.fitted)
+
+
+@query
+def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Numeric part of the audit, with the stand-in model's report."""
+    demographic, questionnaire = views.demographic(spark, sf), views.questionnaire(spark, sf)
+    clean = materialise(prep.clean_dataset(demographic, questionnaire))
+    divided = materialise(split.stratified_split(clean))
+    parts = {
+        **audit_plan.data_audit(demographic, questionnaire, clean),
+        **audit_plan.split_audit(
+            divided.where(~F.col("is_test")), divided.where(F.col("is_test"))
+        ),
+        "fairness": audit_plan.one_row(fairness.fairness_inventory(_report(spark, sf))),
+        "samples": audit_plan.one_row(
+            agreement.agreement_summary(views.scored(spark, sf), "y_true", "y_pred")
+        ),
+    }
+    row = spark.range(1).select(*[c.alias(n) for n, c in parts.items()])
+    return row.select(
+        "raw_csv_usage.demographic_rows",
+        "raw_csv_usage.questionnaire_rows",
+        "raw_csv_usage.merged_valid_rows",
+        "phq_cleaning.cells.*",
+        F.col("phq9_total_and_severity.processed_totals_match_cleaned_phq_sum").alias(
+            "totals_match"
+        ),
+        "train_test_split.train_rows",
+        "train_test_split.test_rows",
+        "train_test_split.leakage.duplicate_key_count",
+        F.col("fairness.row_count").alias("fairness_rows"),
+        "fairness.low_sample_size_rows",
+        F.col("samples.agreement_count").alias("agreement_count"),
+        F.col("samples.mismatch_count").alias("mismatch_count"),
+    )
+
+
+# Streams over the same visits. Results are written below the shared folder and read back.
+
+
+def _order_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = views.table(spark, sf, "orders").schema
+    # The pattern covers a single file and a folder of files alike.
+    return streams.read_stream(spark, f"{sf}/orders.parquet*", schema)
+
+
+def _visit_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return views.as_history(views.with_answers(_order_stream(spark, sf), views.VISIT_HEAD))
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query
+def stream_daily_activity(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _run_folder(spark)
+    activity = streams.daily_activity(_visit_stream(spark, sf))
+    streams.drain(activity, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(activity.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_visit_changes(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _run_folder(spark)
+    changes = streams.visit_changes(_visit_stream(spark, sf))
+    streams.drain(changes, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(changes.schema).parquet(f"{folder}/out").withColumn(
+        "created_at", F.col("created_at").cast("timestamp_ntz")
+    )
+
+
+@query
+def stream_running_counts(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _run_folder(spark)
+    counts = streams.running_counts(_visit_stream(spark, sf))
+    streams.publish_counts(counts, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(counts.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_score_and_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule scoring of arriving requests, appended to a visit table."""
+    folder = _run_folder(spark)
+
+    def score(batch: DataFrame) -> DataFrame:
+        good, _ = score_plan.split_requests(batch)
+        return score_plan.score_rules(good)
+
+    requests = views.with_answers(_order_stream(spark, sf), views.REQUEST_HEAD)
+    streams.score_and_append(requests, score, f"{folder}/out", f"{folder}/checkpoint")
+    fields = T.StructType.fromDDL(
+        "visit_id bigint, patient_id string, created_at timestamp_ntz, phq9_total bigint, "
+        "predicted_severity string, risk_band string, batch int, visit_month string"
+    )
+    return spark.read.schema(fields).parquet(f"{folder}/out").drop("batch")

@@ -223,7 +223,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete visits as saved, scored documents."""
-    return visits(spark, sf_dir).where(VALID).selectExpr(*COMPLETE).selectExpr(*HISTORY)
+    return as_history(visits(spark, sf_dir))
+
+
+def as_history(visits_table: DataFrame) -> DataFrame:
+    return visits_table.where(VALID).selectExpr(*COMPLETE).selectExpr(*HISTORY)
 
 
 def _select(name: str, columns: list[str], source: str, where: str = "") -> str:
