@@ -32,9 +32,8 @@ def name_slug(name: Column) -> Column:
 
 def rolling_hash(text: Column) -> Column:
     """Six base-36 digits of the 31-multiplier hash modulo 2**32 (ASCII input)."""
-    characters = F.filter(F.split(text, ""), lambda c: c != "")
     value = F.aggregate(
-        characters,
+        F.split(text, ""),
         F.lit(0).cast("bigint"),
         lambda acc, c: (acc * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF)),
     )

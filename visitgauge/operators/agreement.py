@@ -6,9 +6,7 @@ the order in which partial sums arrive.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import add
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,59 +41,64 @@ def confusion_matrix(
     )
 
 
-def class_totals(n: Column, labels: Sequence[str]) -> list[Column]:
+def sum_where(condition: str) -> str:
+    """SQL sum of pair counts under a condition, 0 when there are none."""
+    return f"coalesce(sum(CASE WHEN {condition} THEN n END), 0)"
+
+
+def class_totals(labels: Sequence[str]) -> list[Column]:
     """Aggregates over pair counts: hits, true rows and predicted rows of each class."""
-    true, predicted = F.col("y_true"), F.col("y_pred")
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")
-
-    return [
-        column
-        for i, label in enumerate(labels)
-        for column in (
-            total((true == label) & (predicted == label)).alias(f"tp{i}"),
-            total(true == label).alias(f"s{i}"),
-            total(predicted == label).alias(f"p{i}"),
-        )
-    ]
+    found = []
+    for i, label in enumerate(labels):
+        quoted = "'" + label.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        true, predicted = f"y_true = {quoted}", f"y_pred = {quoted}"
+        found += [
+            F.expr(sum_where(f"{true} AND {predicted}")).alias(f"tp{i}"),
+            F.expr(sum_where(true)).alias(f"s{i}"),
+            F.expr(sum_where(predicted)).alias(f"p{i}"),
+        ]
+    return found
+
+
+# Metrics as SQL text over the class totals: one expression each instead of hundreds of
+# small column objects.
 
 
-def ratio(part: Column, whole: Column) -> Column:
+def ratio(part: str, whole: str) -> str:
     """Quotient, 0 where there is nothing to divide by."""
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+    return f"coalesce(try_divide(double({part}), double({whole})), 0D)"
 
 
-def class_precision(i: int) -> Column:
-    return ratio(F.col(f"tp{i}"), F.col(f"p{i}"))
+def class_precision(i: int) -> str:
+    return ratio(f"tp{i}", f"p{i}")
 
 
-def class_recall(i: int) -> Column:
-    return ratio(F.col(f"tp{i}"), F.col(f"s{i}"))
+def class_recall(i: int) -> str:
+    return ratio(f"tp{i}", f"s{i}")
 
 
-def class_f1(i: int) -> Column:
-    return ratio(2 * F.col(f"tp{i}"), F.col(f"s{i}") + F.col(f"p{i}"))
+def class_f1(i: int) -> str:
+    return ratio(f"2 * tp{i}", f"s{i} + p{i}")
 
 
-def in_order_sum(parts: Sequence[Column]) -> Column:
-    return reduce(add, parts)
+def hits(labels: Sequence[str]) -> str:
+    return "(" + " + ".join(f"tp{i}" for i in range(len(labels))) + ")"
 
 
-def weighted(metric, labels: Sequence[str], n_rows: Column) -> Column:
+def weighted(metric: Callable[[int], str], labels: Sequence[str]) -> str:
     """Mean of a per-class metric weighted by true rows."""
-    return ratio(in_order_sum([F.col(f"s{i}") * metric(i) for i in range(len(labels))]), n_rows)
+    total = " + ".join(f"s{i} * {metric(i)}" for i in range(len(labels)))
+    return ratio(f"({total})", "n_rows")
 
 
-def macro(metric, labels: Sequence[str]) -> Column:
-    return in_order_sum([metric(i) for i in range(len(labels))]) / len(labels)
+def macro(metric: Callable[[int], str], labels: Sequence[str]) -> str:
+    return f"(({' + '.join(metric(i) for i in range(len(labels)))}) / {len(labels)})"
 
 
 def wide_counts(df: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Class totals on one row (per ``by``), from pair counts combined before the shuffle."""
     counts = pair_counts(df, by=by)
-    aggregates = [F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows")]
-    aggregates += class_totals(F.col("n"), labels)
+    aggregates = [F.expr("coalesce(sum(n), 0)").alias("n_rows"), *class_totals(labels)]
     return counts.groupBy(*by).agg(*aggregates) if by else counts.agg(*aggregates)
 
 
@@ -103,15 +106,13 @@ def model_metrics(
     df: DataFrame, labels: Sequence[str] = CLASS_LABELS, by: Sequence[str] = ()
 ) -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1; 0 where undefined."""
-    n_rows = F.col("n_rows")
-    hits = in_order_sum([F.col(f"tp{i}") for i in range(len(labels))])
-    return wide_counts(df, labels, by).select(
+    return wide_counts(df, labels, by).selectExpr(
         *by,
-        n_rows.alias("test_size"),
-        ratio(hits, n_rows).alias("accuracy"),
-        weighted(class_precision, labels, n_rows).alias("precision"),
-        weighted(class_recall, labels, n_rows).alias("recall"),
-        weighted(class_f1, labels, n_rows).alias("f1"),
+        "n_rows AS test_size",
+        f"{ratio(hits(labels), 'n_rows')} AS accuracy",
+        f"{weighted(class_precision, labels)} AS precision",
+        f"{weighted(class_recall, labels)} AS recall",
+        f"{weighted(class_f1, labels)} AS f1",
     )
 
 
@@ -119,42 +120,22 @@ def classification_report(
     df: DataFrame, labels: Sequence[str] = CLASS_LABELS
 ) -> DataFrame:
     """Rows per class, then accuracy, macro and weighted averages."""
-    n_rows = F.col("n_rows")
-    hits = in_order_sum([F.col(f"tp{i}") for i in range(len(labels))])
 
-    def line(name: str, precision: Column, recall: Column, f1: Column, support: Column):
+    def line(name: str, precision: str, recall: str, f1: str, support: str) -> Column:
         return F.struct(
             F.lit(name).alias("label"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1"),
-            support.cast("bigint").alias("support"),
+            F.expr(precision).alias("precision"),
+            F.expr(recall).alias("recall"),
+            F.expr(f1).alias("f1"),
+            F.expr(support).alias("support"),
         )
 
-    lines = [
-        line(label, class_precision(i), class_recall(i), class_f1(i), F.col(f"s{i}"))
-        for i, label in enumerate(labels)
-    ]
-    accuracy = ratio(hits, n_rows)
-    lines.append(line("accuracy", accuracy, accuracy, accuracy, n_rows))
-    lines.append(
-        line(
-            "macro avg",
-            macro(class_precision, labels),
-            macro(class_recall, labels),
-            macro(class_f1, labels),
-            n_rows,
-        )
-    )
-    lines.append(
-        line(
-            "weighted avg",
-            weighted(class_precision, labels, n_rows),
-            weighted(class_recall, labels, n_rows),
-            weighted(class_f1, labels, n_rows),
-            n_rows,
-        )
-    )
+    metrics = (class_precision, class_recall, class_f1)
+    lines = [line(label, *[m(i) for m in metrics], f"s{i}") for i, label in enumerate(labels)]
+    accuracy = ratio(hits(labels), "n_rows")
+    lines.append(line("accuracy", accuracy, accuracy, accuracy, "n_rows"))
+    lines.append(line("macro avg", *[macro(m, labels) for m in metrics], "n_rows"))
+    lines.append(line("weighted avg", *[weighted(m, labels) for m in metrics], "n_rows"))
     return wide_counts(df, labels).select(F.inline(F.array(*lines)))
 
 

@@ -7,16 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitgauge.functions.scoring import (
-    group_label, half_even, is_any_risk, is_high_risk, report_band,
-)
+from visitgauge.functions.scoring import group_label, half_even, report_band
 from visitgauge.operators.agreement import (
-    class_f1, class_precision, class_recall, class_totals, in_order_sum, pair_counts, ratio,
+    class_f1, class_precision, class_recall, class_totals, hits, pair_counts, ratio, sum_where,
     weighted,
 )
 from visitgauge.schema import (
     BIAS_FOUND, BIAS_NOT_FOUND, BIAS_POINTS, BIAS_UNKNOWN, CLASS_LABELS, FAIRNESS_GROUPS,
-    GAP_LIMIT, MIN_GROUP_SIZE,
+    GAP_LIMIT, HIGH_RISK, MIN_GROUP_SIZE,
 )
 
 BASELINES = [
@@ -44,18 +42,16 @@ def group_text(name: str) -> Column:
 
 
 def _aggregates(labels: Sequence[str]) -> list[Column]:
-    n, true, predicted = F.col("n"), F.col("y_true"), F.col("y_pred")
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")
-
+    levels = ", ".join(f"'{x}'" for x in HIGH_RISK)
+    true_high = f"coalesce(y_true IN ({levels}), false)"
+    predicted_high = f"coalesce(y_pred IN ({levels}), false)"
     return [
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"),
-        *class_totals(n, labels),
-        total(is_any_risk(predicted)).alias("n_selected"),
-        total(is_high_risk(true)).alias("n_high"),
-        total(is_high_risk(predicted)).alias("n_high_predicted"),
-        total(is_high_risk(true) & ~is_high_risk(predicted)).alias("n_high_missed"),
+        F.expr("coalesce(sum(n), 0)").alias("n_rows"),
+        *class_totals(labels),
+        F.expr(sum_where("NOT y_pred <=> 'Minimal'")).alias("n_selected"),
+        F.expr(sum_where(true_high)).alias("n_high"),
+        F.expr(sum_where(predicted_high)).alias("n_high_predicted"),
+        F.expr(sum_where(f"{true_high} AND NOT {predicted_high}")).alias("n_high_missed"),
     ]
 
 
@@ -65,20 +61,19 @@ def _rates(labels: Sequence[str]) -> dict[str, Column]:
     Summed over all classes, every wrong row is one false negative and one false
     positive, which gives the two error rates in closed form.
     """
-    n = F.col("n_rows")
-    hits = in_order_sum([F.col(f"tp{i}") for i in range(len(labels))])
-    wrong = n - hits
-    return {
-        "accuracy": ratio(hits, n),
-        "precision": weighted(class_precision, labels, n),
-        "recall": weighted(class_recall, labels, n),
-        "f1": weighted(class_f1, labels, n),
-        "false_positive_rate": ratio(wrong, n * (len(labels) - 1)),
-        "false_negative_rate": ratio(wrong, n),
-        "selection_rate": ratio(F.col("n_selected"), n),
-        "high_risk_false_negative_rate": ratio(F.col("n_high_missed"), F.col("n_high")),
-        "high_risk_selection_rate": ratio(F.col("n_high_predicted"), n),
+    right = hits(labels)
+    texts = {
+        "accuracy": ratio(right, "n_rows"),
+        "precision": weighted(class_precision, labels),
+        "recall": weighted(class_recall, labels),
+        "f1": weighted(class_f1, labels),
+        "false_positive_rate": ratio(f"n_rows - {right}", f"n_rows * {len(labels) - 1}"),
+        "false_negative_rate": ratio(f"n_rows - {right}", "n_rows"),
+        "selection_rate": ratio("n_selected", "n_rows"),
+        "high_risk_false_negative_rate": ratio("n_high_missed", "n_high"),
+        "high_risk_selection_rate": ratio("n_high_predicted", "n_rows"),
     }
+    return {name: F.expr(text) for name, text in texts.items()}
 
 
 def fairness_overall(df: DataFrame, labels: Sequence[str] = CLASS_LABELS) -> DataFrame:

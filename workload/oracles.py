@@ -396,8 +396,7 @@ _IDENTITY = """
 ORACLES["patient_ids"] = with_views(
     f"WITH {_IDENTITY} SELECT visit_id,"
     " coalesce(nullif(trim(patient_id), ''), generated_id) AS patient_id,"
-    " coalesce(nullif(trim(patient_name), ''), 'Unnamed patient') AS patient_name,"
-    " generated_id FROM named",
+    " coalesce(nullif(trim(patient_name), ''), 'Unnamed patient') AS patient_name FROM named",
     "fx_request",
 )
 

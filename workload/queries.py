@@ -275,13 +275,7 @@ def patient_ids(spark: SparkSession, sf: str) -> DataFrame:
     names = identity.patient_identity(
         F.col("patient_id"), F.col("patient_name"), F.col(AGE), F.col("RIAGENDR")
     )
-    return views.requests(spark, sf).select(
-        "visit_id",
-        *[c.alias(n) for n, c in names.items()],
-        identity.generated_patient_id(
-            F.col("patient_name"), F.col(AGE), F.col("RIAGENDR")
-        ).alias("generated_id"),
-    )
+    return views.requests(spark, sf).select("visit_id", *[c.alias(n) for n, c in names.items()])
 
 
 @query
@@ -590,7 +584,8 @@ def split_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fit_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return features.fit_statistics(features.value_counts(_clean(spark, sf)))
+    counts = materialise(features.value_counts(_clean(spark, sf)))
+    return features.fit_statistics(counts)
 
 
 @query

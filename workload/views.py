@@ -17,12 +17,19 @@ from pyspark.sql import functions as F
 ITEMS = ["DPQ010", "DPQ020", "DPQ030", "DPQ040", "DPQ050", "DPQ060", "DPQ070", "DPQ080", "DPQ090"]
 
 
+# Bits from which the answers are cut, and the person's general level. Keys are reduced
+# first, so the products stay far from the limits of a 64-bit number at any table size.
+MIX = (
+    "(o_orderkey % 1000003) * 2654435761 + (o_custkey % 1000003) * 104729 AS mix",
+    "CAST(floor(o_totalprice) AS BIGINT) % 9 - 5 AS base",
+)
+
+
 def _item(i: int) -> str:
-    mix = f"(((o_orderkey * 9 + {i}) * 7919 + o_custkey * 104729) % 61)"
+    bits = f"((mix >> {5 * (i - 1)}) & 63)"
     return (
-        f"CASE {mix} WHEN 60 THEN 9 WHEN 59 THEN 7 WHEN 58 THEN NULL "
-        f"ELSE greatest(0, least(3, CAST(floor(o_totalprice) AS BIGINT) % 9 - 4 + {mix} % 3)) "
-        f"END AS DPQ0{i}0"
+        f"CASE {bits} WHEN 63 THEN 9 WHEN 62 THEN 7 WHEN 61 THEN NULL "
+        f"ELSE greatest(0, least(3, base + ({bits} & 3))) END AS DPQ0{i}0"
     )
 
 
@@ -165,9 +172,9 @@ def with_answers(orders: DataFrame, head: list[str]) -> DataFrame:
     The answers leave a generator as plain columns, the way a stored table would
     give them; otherwise every later use would repeat their long expressions.
     """
-    return orders.selectExpr(
-        *head, f"inline(array(struct({', '.join(ANSWERS)})))"
-    )
+    columns = [text.rsplit(" AS ", 1)[1] for text in head]
+    answers = F.struct(*[F.expr(text) for text in ANSWERS])
+    return orders.selectExpr(*head, *MIX).select(*columns, F.inline(F.array(answers)))
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,8 +244,8 @@ def _select(name: str, columns: list[str], source: str, where: str = "") -> str:
 
 CTES = {
     "fx_demographic": _select("fx_demographic", DEMOGRAPHIC, "customer"),
-    "fx_visit": _select("fx_visit", VISIT, "orders"),
-    "fx_request": _select("fx_request", REQUEST, "orders"),
+    "fx_visit": _select("fx_visit", VISIT, f"(SELECT *, {', '.join(MIX)} FROM orders) o"),
+    "fx_request": _select("fx_request", REQUEST, f"(SELECT *, {', '.join(MIX)} FROM orders) o"),
     "fx_total": _select("fx_total", RAW_TOTAL, "orders"),
     "fx_text": _select("fx_text", RAW_TEXT, "customer"),
     "fx_record": _select("fx_record", RECORD, "orders"),
