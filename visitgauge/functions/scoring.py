@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from visitgauge.schema import (
-    AGE_GROUP_TOPS, AGREES_NOTE, DIFFERS_NOTE, GROUP_LABELS, HIGH_RISK, ITEM_MEANINGS,
-    ITEM_QUESTIONS, ITEMS, MAX_TOTAL, RECOMMENDATIONS, SEVERITY_TOPS, WARNINGS,
+    AGE_GROUP_TOPS, AGREES_NOTE, DIFFERS_NOTE, GROUP_LABELS, ITEM_MEANINGS, ITEM_QUESTIONS, ITEMS,
+    MAX_TOTAL, RECOMMENDATIONS, SEVERITY_TOPS, WARNINGS,
 )
 
 
@@ -53,14 +53,6 @@ def risk_band(level: Column, unknown: str = "High") -> Column:
     )
 
 
-def is_high_risk(level: Column) -> Column:
-    return F.coalesce(level.isin(*HIGH_RISK), F.lit(False))
-
-
-def is_any_risk(level: Column) -> Column:
-    return ~level.eqNullSafe("Minimal")
-
-
 def warning_text(level: Column) -> Column:
     return (
         F.when(level.isin("Minimal", "Mild"), WARNINGS["low"])
