@@ -56,7 +56,6 @@ SEVERITY_TOPS = [
     ("Severe", 27),
 ]
 HIGH_RISK = ("Moderate", "Moderately Severe", "Severe")
-BANDS = ("High", "Medium", "Low")
 
 # Label of each age group with its highest whole age; the last one is open.
 AGE_GROUP_TOPS = [("Under 18", 17), ("18-29", 29), ("30-44", 44), ("45-59", 59), ("60+", None)]

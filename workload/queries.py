@@ -21,7 +21,7 @@ from visitgauge.plans import preprocess as prep
 from visitgauge.plans import scoring as score_plan
 from visitgauge.plans import training
 from visitgauge.schema import (
-    AGE, AGE_GROUP, CLASS_LABELS, DEMOGRAPHIC_CODES, ITEMS, KEY, RAW_OUTPUT, TARGET, TOTAL,
+    AGE, AGE_GROUP, DEMOGRAPHIC_CODES, ITEMS, KEY, TARGET, TOTAL,
 )
 from visitgauge.session import materialise, shared_folder
 from visitgauge.sources.visits import as_json
