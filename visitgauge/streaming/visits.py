@@ -124,30 +124,31 @@ STATE_SCHEMA = "created_at timestamp, visit_id bigint, total bigint"
 def _changes(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    visits = pd.concat(list(batches)).sort_values(["created_at", "visit_id"])
-    previous = visits["total"].shift(1).astype("Int64")
-    fresh = pd.Series(True, index=visits.index)
+    # Most groups hold a visit or two, for which plain lists are much faster than frames.
+    visits = sorted(
+        row for b in batches for row in zip(b["created_at"], b["visit_id"], b["total"])
+    )
+    newest, total = None, None
     if state.exists:
-        last_time, last_id, last_total = state.get
-        last_time = pd.Timestamp(last_time)
-        same_time = visits["created_at"] == last_time
-        fresh = (visits["created_at"] > last_time) | (same_time & (visits["visit_id"] > last_id))
-        # The first visit after the stored one follows it; late visits follow nothing.
-        previous = previous.where(fresh & fresh.shift(1, fill_value=False))
-        first = fresh & ~fresh.shift(1, fill_value=False)
-        previous = previous.mask(first, last_total)
-    if fresh.any():
-        newest = visits.iloc[-1]
-        state.update(
-            (newest["created_at"].to_pydatetime(), int(newest["visit_id"]), int(newest["total"]))
-        )
+        last_time, last_id, total = state.get
+        newest = (pd.Timestamp(last_time), last_id)
+    previous, moved = [], False
+    for time, number, own in visits:
+        if newest is not None and not moved and (time, number) <= newest:
+            previous.append(None)  # late: older than what was already passed on
+            continue
+        previous.append(total)
+        total, moved = int(own), True
+    if moved:
+        state.update((visits[-1][0].to_pydatetime(), int(visits[-1][1]), total))
+    times, numbers, totals = zip(*visits)
     yield pd.DataFrame(
         {
             "patient_id": key[0],
-            "visit_id": visits["visit_id"],
-            "created_at": visits["created_at"],
-            "total": visits["total"],
-            "previous_total": previous,
+            "visit_id": numbers,
+            "created_at": times,
+            "total": totals,
+            "previous_total": pd.array(previous, dtype="Int64"),
         }
     )
 
