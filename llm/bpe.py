@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from llm.hashing import hashes
 from llm.stages import slices, texts_of
 
 SHORT = 48
@@ -96,28 +97,6 @@ def word_starts(codes: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return starts
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word; never zero. ``raw`` has 8 spare bytes at its end."""
-    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-
-    def chunk(rows, place):
-        held = np.minimum(lengths[rows] - place, 8)
-        return eight[starts[rows] + place] & MASKS[held]
-
-    value = lengths.astype(np.uint64) * MIX[0]
-    rows, place = np.arange(len(starts)), 0
-    while len(rows):
-        mixed = (value[rows] ^ chunk(rows, place)) * MIX[1]
-        value[rows] = (mixed ^ (mixed >> np.uint64(29))) * MIX[2]
-        place += 8
-        rows = rows[lengths[rows] > place]
-    return (value ^ (value >> np.uint64(32))) | np.uint64(1)
-
-
-MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
-
-
 class WordTable:
     """Ids of words by hash: open addressing with linear steps, emptied when half full."""
 

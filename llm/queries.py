@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, packing, token_counts
+from llm import bpe, neardup, packing, token_counts
 from llm.stages import table
 
 TOKEN_LIMIT = 4096
@@ -29,10 +29,16 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    groups = neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return groups.select("row.doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op5_near_duplicates": op5_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
     """The batches cut into runs of rows of about ``most_bytes`` of text, so that the memory of a
     Python worker doesn't follow the number of rows in an Arrow batch. A longer text is a run alone."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         first = held = 0
         for row, length in enumerate(lengths.tolist()):
             if held and held + length > most_bytes:
