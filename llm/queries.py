@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, neardup, packing, token_counts
+from llm import bpe, neardup, packing, quality_rules, secrets, token_counts
 from llm.stages import table
 
 TOKEN_LIMIT = 4096
@@ -29,16 +29,30 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.counted(secrets.find_secrets(table(spark, folder, "documents")))
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     groups = neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return groups.select("row.doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    judged = quality_rules.judged(documents, table(spark, folder, "labels"), keep_text=False)
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op4_secrets": op4_secrets,
     "op5_near_duplicates": op5_near_duplicates,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
