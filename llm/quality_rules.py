@@ -56,8 +56,8 @@ def measures(df: DataFrame, text_col: str, keep_text: bool) -> DataFrame:
     ).select(
         "row",
         "text",
-        F.array_remove(F.split(text, BLANKS), "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.array_remove(F.split("text", BLANKS), "").alias("words"),
+        F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     rows = rows.select(
         "row",
