@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, neardup, packing, quality_rules, secrets, token_counts
+from llm import bpe, neardup, packing, quality_model, quality_rules, secrets, token_counts
 from llm.stages import table
 
 TOKEN_LIMIT = 4096
@@ -46,6 +46,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
+    "op10_quality_model": op10_quality_model,
 }
 
 ORACLES: dict[str, str] = {}
