@@ -46,15 +46,20 @@ def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes(raw, starts, lengths), bounds
 
 
-def word_spans(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes of all texts, start and length of every word in them, first word of every text."""
+def word_spans(
+    texts: Iterable[str | None], between: np.ndarray = BLANK
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts, start and length of every word in them, first word of every text.
+
+    ``between`` marks the bytes that part words; a line end must be one of them.
+    """
     encoded = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     sizes = np.array([len(e) + 1 for e in encoded], np.int64)
     raw = np.frombuffer(b"\n".join([*encoded, bytes(8)]), np.uint8)
     length = len(raw) - 8
     inside = np.empty(length + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(BLANK[raw[:length]], out=inside[1:-1])
+    np.logical_not(between[raw[:length]], out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))

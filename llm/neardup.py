@@ -35,7 +35,7 @@ SIMILARITY_PERCENT = 75
 # below 4); more than 44 happen once in 10^12 pairs.
 SKETCH_BITS = 44
 STAR_ROUNDS = 8
-PAIRS_PER_ROW = 4
+PAIRS_PER_ROW = 64
 EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 #: For every bin, the order in which it looks for a filled one; the bin itself comes first.
 ORDER = np.argsort(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, neardup, packing, quality_model, quality_rules, secrets, token_counts
+from llm import bpe, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity
 from llm.stages import table
 
 TOKEN_LIMIT = 4096
@@ -38,6 +38,10 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("row.doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     judged = quality_rules.judged(documents, table(spark, folder, "labels"), keep_text=False)
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_quality_model": op10_quality_model,
 }
