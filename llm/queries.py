@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity
+from llm import bpe, lm_score, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity
 from llm.stages import table
 
 TOKEN_LIMIT = 4096
@@ -50,6 +50,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.log_likelihood(table(spark, folder, "documents"))
+
+
 def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm_score": op9_lm_score,
     "op10_quality_model": op10_quality_model,
 }
 
