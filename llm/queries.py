@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, lm_score, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity
+from llm import ann, bpe, lm_score, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity
 from llm.stages import table
 
 TOKEN_LIMIT = 4096
+QUERY_STEP = 20
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +39,11 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("row.doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return ann.search(vectors, vectors.where(f"vec_id % {QUERY_STEP} = 0"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_nearest": op6_nearest,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_score": op9_lm_score,
