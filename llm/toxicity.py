@@ -402,7 +402,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[Vote
 
 
 def score(docs: DataFrame, voters: Voters, model: Model) -> DataFrame:
-    """doc_id, held_out and score of ``docs`` (doc_id, held_out, text)."""
+    """``docs`` with score in place of the text."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -410,23 +411,23 @@ def score(docs: DataFrame, voters: Voters, model: Model) -> DataFrame:
             texts = batch["text"].to_pylist()
             margins = own.margins(voters.votes(texts), *features(texts))
             scores = pa.array(sigmoid(own.slope * margins + own.offset))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], scores], names)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), scores], [*rest, "score"])
 
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 2 MB
-    names = ["doc_id", "held_out", "score"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
-
-
-def prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    held = remainder(id_col, FOLDS) == HELD_OUT
-    return df.select(df[id_col].alias("doc_id"), held.alias("held_out"), df[text_col].cast("string").alias("text"))
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
+    return docs.mapInArrow(run, f"{fields}, score double")
 
 
 def classify(
-    df: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_ROWS
+    df: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most: int = SAMPLE_ROWS,
+    keep_row: bool = False,
 ) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted of every row.
+    """doc_id, held_out, score (0 to 1) and predicted of every row; on demand the input's columns too, in the struct ``row``.
 
     Rows whose crc32 of the id as text leaves 1 by 3 are held out: neither their texts nor their
     labels teach. A null id counts as the empty text and has no label. Null and empty texts get the
@@ -435,7 +436,11 @@ def classify(
     assumed and margins stay uncalibrated. Other columns are ignored, whatever their names. An
     empty table gives an empty result. Texts are scored whole.
     """
-    docs = prepared(df, id_col, text_col)
+    held = remainder(id_col, FOLDS) == HELD_OUT
+    docs = df.select(
+        df[id_col].alias("doc_id"), held.alias("held_out"), df[text_col].cast("string").alias("text"),
+        *([F.struct("*").alias("row")] if keep_row else []),
+    )
     voters, model = fit(docs.where("not held_out").select("doc_id", "text"), labels, "toxic", most)
     scored = score(docs, voters, model)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
