@@ -74,17 +74,18 @@ def sample(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found, ends = features(batch["text"].to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))
-            yield pa.RecordBatch.from_arrays([batch["label"], lists], ["label", "features"])
+            sets = pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["label"], sets], ["label", "features"])
 
     chosen = [
         rows.where(f"label = {label}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "label")
         for label in (0, 1)
     ]
-    found = chosen[0].union(chosen[1]).mapInArrow(run, "label int, features array<int>").toPandas()
+    rows = chosen[0].union(chosen[1]).mapInArrow(run, "label int, features binary").collect()
+    found = [np.frombuffer(row["features"], np.int32) for row in rows]
     # An order that doesn't depend on partitions: the classes alternate by a sum over their features.
-    order = np.argsort([int(x.sum()) % 10_007 for x in found["features"]], kind="stable")
-    return [found["features"].iloc[k] for k in order], found["label"].to_numpy()[order]
+    order = np.argsort([int(x.sum(dtype=np.int64)) % 10_007 for x in found], kind="stable")
+    return [found[k] for k in order], np.array([rows[k]["label"] for k in order], np.int64)
 
 
 def dual_descent(rows: list[np.ndarray], signs: np.ndarray, scale: np.ndarray, cost: np.ndarray) -> np.ndarray:

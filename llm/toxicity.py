@@ -336,17 +336,17 @@ def examples(rows: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray, n
         for batch in slices(batches):
             texts = batch["text"].to_pylist()
             found, ends = features(texts)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))
+            sets = pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
             packed = pa.array([v.tobytes() for v in voters.votes(texts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["target"], packed, lists], ["target", "votes", "features"])
-
-    table = rows.mapInArrow(run, "target double, votes binary, features array<int>").toPandas()
-    order = np.argsort([int(x.sum()) % 10_007 for x in table["features"]], kind="stable")
-    lists = [table["features"].iloc[k] for k in order]
-    votes = np.array([np.frombuffer(table["votes"].iloc[k], np.int8) for k in order]).reshape(-1, many)
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    flat = np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64)
-    return votes, flat, ends, table["target"].to_numpy(float)[order]
+            yield pa.RecordBatch.from_arrays([batch["target"], packed, sets], ["target", "votes", "features"])
+
+    sent = rows.mapInArrow(run, "target double, votes binary, features binary").collect()
+    found = [np.frombuffer(row["features"], np.int32) for row in sent]
+    order = np.argsort([int(x.sum(dtype=np.int64)) % 10_007 for x in found], kind="stable")
+    votes = np.array([np.frombuffer(sent[k]["votes"], np.int8) for k in order]).reshape(-1, many)
+    ends = np.concatenate([[0], np.cumsum([len(found[k]) for k in order])]).astype(np.int64)
+    flat = np.concatenate([*(found[k] for k in order), np.zeros(0, np.int32)]).astype(np.int64)
+    return votes, flat, ends, np.array([sent[k]["target"] for k in order], float)
 
 
 def linear(votes: np.ndarray, found: np.ndarray, ends: np.ndarray, target: np.ndarray) -> Model:
