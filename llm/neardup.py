@@ -6,11 +6,13 @@
    with a probability of 5e-6.
 2. Documents with equal sets are one class, of which a single row goes on, so exact copies cost one
    row in every later step, whatever their number.
-3. Every bucket links its classes to one head, in the form of a star. Edges are confirmed on the
-   full sets. Further rounds take other heads, against the classes that are not yet in the head's
-   component. When few pairs across components are left, all of them are confirmed: inside a
-   component more links change nothing, so no link between different texts is lost.
-4. Components come from alternating large-star and small-star steps over the confirmed links.
+3. Every bucket links its classes to one head, in the form of a star: the class with most company in
+   all its buckets, which in a group of copies is the text they were made from. Edges are confirmed
+   on the full sets, and components are formed.
+4. Where a bucket still holds several components, pairs across them are confirmed too, each in the
+   first bucket that both share. Inside a component more links change nothing, so no link between
+   different texts is lost, and copies are not expanded into pairs.
+5. Components come from alternating large-star and small-star steps over the confirmed links.
 
 Hashes have 64 bits; a set with a false member is less likely than a hardware fault.
 """
@@ -31,11 +33,11 @@ WORDS = 5
 BINS, BAND_ROWS = 128, 4
 BANDS = BINS // BAND_ROWS
 SIMILARITY_PERCENT = 75
-# Sketches of 128 one-bit values: at similarity 0.75, 16 bits differ on average (standard deviation
-# below 4); more than 44 happen once in 10^12 pairs.
-SKETCH_BITS = 44
-STAR_ROUNDS = 8
-PAIRS_PER_ROW = 64
+# Sketches keep four bits of every bin. At similarity 0.75, 30 of 128 differ on average; more than 56
+# do so about once in 10^6 pairs.
+SKETCH_LONGS = BINS // 16
+MOST_DIFFERENT = 56
+BROADCAST_KEYS = 500_000
 EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 #: For every bin, the order in which it looks for a filled one; the bin itself comes first.
 ORDER = np.argsort(
@@ -83,20 +85,16 @@ def densified(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def buckets_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket names (a column for each band) and 128-bit sketches (two 64-bit columns) of bin rows."""
+    """Bucket names (a column for each band) and sketches (eight 64-bit columns) of bin rows."""
     rows = values.reshape(len(values), BANDS, BAND_ROWS)
     names = np.arange(BANDS, dtype=np.uint64) * MIX[0] + np.zeros((len(values), 1), np.uint64)
     for k in range(BAND_ROWS):
         names = mixed(names + rows[:, :, k] + MIX[1])
-    bits = mixed(values + np.arange(BINS, dtype=np.uint64) * MIX[2]) >> np.uint64(63)
-    sketches = np.packbits(bits.astype(np.uint8), axis=1).view("<i8")
+    fours = (mixed(values + np.arange(BINS, dtype=np.uint64) * MIX[2]) >> np.uint64(60)).astype(np.uint8)
+    sketches = (fours[:, ::2] << 4 | fours[:, 1::2]).view("<i8")
     return names.view(np.int64), sketches
 
 
-def signed(value: np.uint64) -> int:
-    return int(np.int64(value.astype(np.int64)))
-
-
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each row in a struct, with row number, id, text, set size, class, buckets and sketch."""
 
@@ -111,8 +109,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             names, sketches = buckets_of(densified([sets[k] for k in full.tolist()]))
             classes = np.array([np.add.reduce(mixed(s ^ MIX[1])) for s in sets], np.uint64).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
-            halves = np.zeros((2, len(sets)), np.int64)
-            halves[:, full] = sketches.T
+            drawn = np.arange(0, len(full) * SKETCH_LONGS + 1, SKETCH_LONGS) if len(full) else np.zeros(1, np.int64)
+            drawn = drawn[np.concatenate([[0], np.cumsum(sizes > 0)])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["row"],
@@ -122,10 +120,9 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array(sizes),
                     pa.array(classes, mask=sizes == 0),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(names.reshape(-1))),
-                    pa.array(halves[0]),
-                    pa.array(halves[1]),
+                    pa.ListArray.from_arrays(pa.array(drawn), pa.array(np.ascontiguousarray(sketches).reshape(-1))),
                 ],
-                ["row", "number", "id", "text", "n", "class", "buckets", "s0", "s1"],
+                ["row", "number", "id", "text", "n", "class", "buckets", "sketch"],
             )
             number += len(sets)
 
@@ -138,7 +135,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(
         run,
         f"row {kinds['row']}, number long, id {kinds['id']}, text string, n long, class long, "
-        "buckets array<bigint>, s0 long, s1 long",
+        "buckets array<bigint>, sketch array<bigint>",
     )
 
 
@@ -174,21 +171,37 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
+def only(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is among the keys (one column of distinct values).
+
+    Keys are broadcast up to ``BROADCAST_KEYS``, which saves a shuffle of wide rows; beyond that
+    both sides are shuffled.
+    """
+    keys = keys.toDF("wanted")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, F.col(column) == F.col("wanted"), "left_semi")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
+    left = only(sets, pairs.select("a").distinct(), "class").select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
+    right = only(sets, pairs.select("b").distinct(), "class").select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
                          F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
     return common.where(f"100 * common >= {SIMILARITY_PERCENT} * (na + nb - common)").select("a", "b")
 
 
-def promising(a: str, b: str):
-    """Condition on set sizes (exact) and sketches that every similar pair meets."""
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    differ = sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s0", "s1"))
-    return (small * 100 >= large * SIMILARITY_PERCENT) & (differ <= SKETCH_BITS)
+def promising(x: str, y: str) -> str:
+    """SQL condition on set sizes (exact) and sketches that similar pairs meet."""
+    sizes = f"100 * least({x}.n, {y}.n) >= {SIMILARITY_PERCENT} * greatest({x}.n, {y}.n)"
+    terms = []
+    for k in range(SKETCH_LONGS):
+        z = f"({x}.sketch[{k}] ^ {y}.sketch[{k}])"
+        either = f"({z} | shiftrightunsigned({z}, 1) | shiftrightunsigned({z}, 2) | shiftrightunsigned({z}, 3))"
+        terms.append(f"bit_count({either} & {0x1111111111111111}L)")
+    return f"{sizes} and {' + '.join(terms)} <= {MOST_DIFFERENT}"
 
 
 def shingles_of(rows: DataFrame) -> DataFrame:
@@ -214,59 +227,56 @@ def labelled(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
     return rows.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def links_between(classes: DataFrame, signed_rows: DataFrame) -> DataFrame | None:
+def links_between(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Component of every class that has a confirmed link; None if there is no shared bucket."""
     spread = classes.select("class", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-    members = written(spread.join(shared.select("bucket"), "bucket"), "members")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    members = written(spread.join(shared, "bucket"), "members")
     if members.isEmpty():
         return None
-    facts = classes.select("class", "n", "s0", "s1")
-    texts = signed_rows.join(classes.select("number"), "number", "left_semi")
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    groups: DataFrame | None = None
-    for turn in range(STAR_ROUNDS + 1):
-        rows = labelled(members, groups)
-        mixed_buckets = rows.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "component")).alias("head"),
-        ).where("low != high").select("bucket", "head")
-        open_rows = written(rows.join(mixed_buckets, "bucket"), "open")
-        counts = open_rows.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(
-            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")
-        ).agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")).first()
-        if not counts["rows"]:
-            break
-        last = turn > 0 and (turn == STAR_ROUNDS or counts["pairs"] <= PAIRS_PER_ROW * counts["rows"])
-        if last:
-            known = open_rows.join(facts, "class").select("bucket", "component", "class", "n", "s0", "s1")
-            x, y = known.alias("x"), known.alias("y")
-            found = x.join(
-                y,
-                (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
-                & promising("x", "y"),
-            ).select(F.col("x.class").alias("p"), F.col("y.class").alias("q"))
-        else:
-            stars = open_rows.where("component != head.component").select(
-                F.col("class").alias("p"), F.col("head.class").alias("q")
-            ).distinct()
-            x = facts.withColumnRenamed("class", "p").alias("x")
-            y = facts.withColumnRenamed("class", "q").alias("y")
-            found = stars.join(x, "p").join(y, "q").where(promising("x", "y")).select("p", "q")
-        pairs = found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        sets = written(shingles_of(texts.join(needed, "class", "left_semi")), "sets")
-        new = written(similar(pairs, sets), "confirmed")
-        links = new if links is None else links.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
-        groups = written(components(links), "components")
-        if last:
-            break
-    return groups
+    company = members.groupBy("class").agg(F.sum(F.col("k") - 1).alias("company"))
+    facts = written(classes.select("class", "number", "n", "sketch", "buckets").join(company, "class"), "facts")
+    sets = written(shingles_of(only(texts, facts.select("number"), "number")), "sets")
+
+    # Stars around the class with most company.
+    heads = members.join(facts.select("class", "company"), "class").groupBy("bucket").agg(
+        F.max(F.struct("company", "class")).alias("head")
+    )
+    stars = members.join(heads, "bucket").where("class != head.class").select(
+        F.col("class").alias("p"), F.col("head.class").alias("q")
+    ).distinct()
+    x = facts.select(F.col("class").alias("p"), "n", "sketch").alias("x")
+    y = facts.select(F.col("class").alias("q"), "n", "sketch").alias("y")
+    stars = stars.join(x, "p").join(y, "q").where(promising("x", "y"))
+    stars = written(stars.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "stars")
+    groups = written(components(written(similar(stars, sets), "confirmed")), "components")
+
+    # Pairs across components in buckets that still have several.
+    rows = labelled(members.select("bucket", "class"), groups)
+    split = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    rows = rows.join(split.select("bucket"), "bucket").join(facts.select("class", "n", "sketch", "buckets"), "class")
+    x, y = rows.alias("x"), rows.alias("y")
+    across = x.join(
+        y,
+        F.expr(
+            "x.bucket = y.bucket and x.component < y.component and " + promising("x", "y")
+            + " and x.bucket = array_min(array_intersect(x.buckets, y.buckets))"
+        ),
+    ).select("x.class", "x.component", F.col("y.class").alias("class2"), F.col("y.component").alias("component2"))
+    across = across.select(
+        F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b"), "component", "component2"
+    )
+    across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
+    bridges = across.join(similar(across, sets), ["a", "b"]).select(
+        F.col("component").alias("a"), F.col("component2").alias("b")
+    ).distinct()
+    joined = written(components(written(bridges, "bridges")), "joined")
+    # Components that were bridged take the name of the joined one.
+    joined = joined.select(F.col("node").alias("was"), F.col("component").alias("becomes"))
+    all_nodes = groups.union(joined.select(F.col("was").alias("node"), F.col("was").alias("component"))).distinct()
+    return all_nodes.join(joined, F.col("component") == F.col("was"), "left").select(
+        "node", F.coalesce("becomes", "component").alias("component")
+    ).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,11 +294,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first")
     classes = written(
         rows.where("class is not null").groupBy("class").agg(
-            first, F.min("n").alias("n"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.min("buckets").alias("buckets")
+            first, F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("buckets").alias("buckets")
         ).withColumn("number", F.col("first.number")),
         "classes",
     )
-    groups = links_between(classes, rows.select("number", "class", "text"))
+    groups = links_between(classes, rows)
     named = labelled(classes.select("class", "first"), groups)
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
     verdicts = named.join(heads, "component").select("class", "head")
