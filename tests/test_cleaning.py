@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import decimal
+
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import COMPLETE, NO_ANSWERS
 from visitgauge.functions import cleaning, identity, scoring
 from visitgauge.operators import merging, quality
 from visitgauge.schema import DEMOGRAPHIC_COLUMNS, ITEMS, KEY, QUESTIONNAIRE_COLUMNS, TOTAL
@@ -93,12 +96,12 @@ def brute_hash(text: str) -> str:
 
 
 def test_patient_ids(spark):
-    names = ["Ayesha Khan", "  ", None, "José  O'Neil-Smith the Third", "a"]
+    names = ["Noor Winter", "  ", None, "José  O'Neil-Smith the Third", "a"]
     df = spark.createDataFrame([(n, 35, 2) for n in names], "n string, a int, g int")
     found = column(
         df.select(identity.generated_patient_id(F.col("n"), F.col("a"), F.col("g")).alias("i")), "i"
     )
-    slugs = ["AYESHA-KHAN", "PATIENT", "PATIENT", "JOS-O-NEIL-SMITH-T", "A"]
+    slugs = ["NOOR-WINTER", "PATIENT", "PATIENT", "JOS-O-NEIL-SMITH-T", "A"]
     assert found == [f"MHQ-{s}-{brute_hash(f'{s}|35|2')}" for s in slugs]
 
 
@@ -113,7 +116,7 @@ def test_given_identity_wins(spark):
 
 def test_reading_and_merging(spark, survey_files):
     merged = load_raw(spark, survey_files["demographic"], survey_files["questionnaire"])
-    assert merged.count() == 21
+    assert merged.count() == COMPLETE + len(NO_ANSWERS)
     assert merged.schema[KEY].dataType.simpleString() == "bigint"
 
 
@@ -164,3 +167,18 @@ def test_leakage(spark):
     b = spark.createDataFrame([(i,) for i in [2, 10, 10, 3, None]], "k int")
     assert quality.split_leakage(a, b, "k").first() == (2, "10,2")
     assert quality.split_leakage(a, b.where("k = 3"), "k").first()[0] == 0
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_service_numbers_round_their_exact_binary_value(spark, digits):
+    values = [107 / 40, 0.12345, 2.5, 3.5, 0.125, 0.375, 1.005, 26.75, 0.0, -0.125, 1 / 3, 12.3456789]
+    values += [a / b for a in range(0, 28) for b in range(1, 90)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    even, up = df.select(
+        scoring.binary_half_even(F.col("v"), digits), scoring.binary_half_up(F.col("v"), digits)
+    ).toPandas().T.values.tolist()
+    assert even == [round(v, digits) for v in values]
+    exact = decimal.Decimal(1).scaleb(-digits)
+    for value, found in zip(values, up):
+        if value >= 0:
+            assert found == float(decimal.Decimal(value).quantize(exact, decimal.ROUND_HALF_UP))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import COMPLETE
 from visitgauge.operators.features import FeatureModel, fit_features, numeric_statistics, value_counts
 from visitgauge.operators.neighbours import nearest_in_class
 from visitgauge.operators.oversample import oversample
@@ -114,11 +115,11 @@ def built(spark, survey_files, tmp_path_factory):
 
 def test_bootstrap_writes_everything(spark, built):
     train, test = spark.read.parquet(built["train_raw"]), spark.read.parquet(built["test_raw"])
-    assert (train.count(), test.count()) == (15, 5)
+    assert (train.count(), test.count()) == (45, 15)
     both = train.unionByName(test)
     assert {r[0] for r in both.select("SEVERITY").distinct().collect()} == set(SEVERITIES)
     a, b, names = artifacts.read_split(spark, built["train"], built["test"])
-    assert len(a.columns) == len(names) + 1 and b.count() == 5
+    assert len(a.columns) == len(names) + 1 and b.count() == 15
     with pytest.raises(FileNotFoundError, match="Processed train/test files are missing"):
         artifacts.read_split(spark, "/nowhere/train", built["test"])
 
@@ -133,7 +134,7 @@ def test_fairness_of_the_trained_model(spark, built):
 
 def test_model_round_trip(spark, built, tmp_path):
     model = training.TrainedModel.load(spark, built["model"])
-    assert model.labels == sorted(SEVERITIES) and model.metrics["train_size"] == 15
+    assert model.labels == sorted(SEVERITIES) and model.metrics["train_size"] == 45
     assert len(model.metrics["confusion_matrix"]) == 5
     test = spark.read.parquet(built["test"])
     for r in model.predict_proba(test).collect():
@@ -170,11 +171,11 @@ def test_batch_scoring(spark, built):
     model = training.TrainedModel.load(spark, built["model"])
     fitted = FeatureModel.load(spark, built["preprocessor"])
     summary = fairness_plan.stored_summary(spark, built["fairness_report"])
-    asked = scoring.boundary_requests(spark).withColumn("patient_name", F.lit("Ayesha Khan"))
+    asked = scoring.boundary_requests(spark).withColumn("patient_name", F.lit("Noor Winter"))
     rows = scoring.score_batch(asked, model, fitted, summary).collect()
     assert len(rows) == 6
     for r in rows:
-        assert r["patient_id"].startswith("MHQ-AYESHA-KHAN-")
+        assert r["patient_id"].startswith("MHQ-NOOR-WINTER-")
         assert r["input_data"]["patient_id"] == r["patient_id"]
         assert r["risk_score"] == max(r["probabilities"].values())
         assert r["risk_percentage"] == pytest.approx(r["risk_score"] * 100, abs=0.05)
@@ -203,8 +204,10 @@ def test_audit(spark, survey_files, built, tmp_path):
         spark, survey_files["demographic"], survey_files["questionnaire"], built, out
     ).first()
     usage = row["raw_csv_usage"]
-    assert (usage["demographic_rows"], usage["questionnaire_rows"], usage["merged_valid_rows"]) == (21, 21, 20)
-    assert row["phq_cleaning"]["cells"]["observed_invalid_values"] == "9.0"
+    assert (usage["demographic_rows"], usage["questionnaire_rows"], usage["merged_valid_rows"]) == (
+        COMPLETE + 4, COMPLETE + 4, COMPLETE
+    )
+    assert row["phq_cleaning"]["cells"]["observed_invalid_values"] == "7.0,9.0"
     assert row["train_test_split"]["leakage"]["duplicate_key_count"] == 0
     assert row["sample_prediction_summary"]["sample_count"] == 6
     assert [c["phq9_total"] for c in row["sample_prediction_checks"]] == [0, 5, 10, 15, 20, 27]
@@ -235,6 +238,6 @@ def test_boosted_trees_give_labels_but_no_probabilities(spark, built):
     model = training.TrainedModel(
         PipelineModel([assembler, fitted]), sorted(SEVERITIES), names, training.BOOSTED
     )
-    assert model.predict(test).where(F.col("y_pred").isin(*SEVERITIES)).count() == 5
+    assert model.predict(test).where(F.col("y_pred").isin(*SEVERITIES)).count() == 15
     with pytest.raises(NotImplementedError, match="does not support predict_proba"):
         model.predict_proba(test)

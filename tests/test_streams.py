@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from visitgauge.operators import history
 from visitgauge.plans.scoring import boundary_requests, score_rules
 from visitgauge.streaming import visits as streams
+from workload import views
 
 SCHEMA = (
     "visit_id bigint, patient_id string, created_at timestamp, phq9_total bigint, "
@@ -24,49 +27,83 @@ def day(n):
     return dt.datetime(2024, 3, n)
 
 
-def test_changes_across_batches_and_late_visits(spark, tmp_path):
+BATCHES = [
+    [(1, "A", day(1), 10), (3, "A", day(3), 7), (2, "B", day(2), 5)],
+    # One visit of A is older than stored ones, two are newer.
+    [(5, "A", day(6), 9), (4, "A", day(5), 8), (6, "A", day(2), 1), (7, "C", day(1), 2)],
+]
+CHANGES = {
+    1: (None, "insufficient_history"), 6: (10, "improved"), 3: (1, "worsened"),
+    4: (7, "worsened"), 5: (8, "worsened"), 2: (None, "insufficient_history"),
+    7: (None, "insufficient_history"),
+}
+
+
+def changes(spark, out):
+    rows = streams.read_visit_changes(spark, out).collect()
+    assert len({r["visit_id"] for r in rows}) == len(rows)
+    return {r["visit_id"]: (r["previous_total"], r["status"]) for r in rows}
+
+
+def test_late_visits_correct_the_visit_behind_them(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    batches = [
-        [(1, "A", day(1), 10), (3, "A", day(3), 7), (2, "B", day(2), 5)],
-        # One visit of A is older than the stored one, two are newer.
-        [(5, "A", day(6), 9), (4, "A", day(5), 8), (6, "A", day(2), 1), (7, "C", day(1), 2)],
-    ]
-    for rows in batches:
+    for rows in BATCHES:
         add(spark, source, rows)
         schema = spark.read.parquet(source).schema
-        stream = streams.visit_changes(streams.read_stream(spark, source, schema))
-        streams.drain(stream, out, state)
-    found = {r["visit_id"]: (r["previous_total"], r["status"]) for r in spark.read.parquet(out).collect()}
-    assert found == {
-        1: (None, "insufficient_history"), 3: (10, "improved"), 2: (None, "insufficient_history"),
-        4: (7, "worsened"), 5: (8, "worsened"), 6: (None, "insufficient_history"),
-        7: (None, "insufficient_history"),
-    }
+        streams.visit_changes(streams.read_stream(spark, source, schema), out, state)
+    assert changes(spark, out) == CHANGES
 
 
-def test_daily_activity_emits_passed_days_only(spark, tmp_path):
-    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    add(spark, source, [(i, "A", day(1 + i // 2), i) for i in range(10)])
-    schema = spark.read.parquet(source).schema
-    activity = streams.daily_activity(streams.read_stream(spark, source, schema))
-    streams.drain(activity, out, state)
-    rows = {r["visit_day"]: (r["n_visits"], r["mean_total"]) for r in spark.read.parquet(out).collect()}
-    assert rows == {"2024-03-01": (2, 0.5), "2024-03-02": (2, 2.5), "2024-03-03": (2, 4.5)}
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for turn in range(2):
+        for rows in BATCHES if turn == 0 else []:
+            add(spark, source, rows)
+        schema = spark.read.parquet(source).schema
+        for name, follow in (("changes", streams.visit_changes), ("days", streams.daily_activity)):
+            # A new checkpoint gives all files again, under the same batch numbers.
+            stream = streams.read_stream(spark, source, schema, files_per_batch=1)
+            follow(stream, f"{out}/{name}", str(tmp_path / f"state-{name}-{turn}"))
+    assert changes(spark, f"{out}/changes") == CHANGES
+    days = {r["visit_day"]: r["n_visits"] for r in streams.read_daily_activity(spark, f"{out}/days").collect()}
+    assert days == {"2024-03-01": 2, "2024-03-02": 2, "2024-03-03": 1, "2024-03-05": 1, "2024-03-06": 1}
+
+
+@pytest.mark.parametrize("files_per_batch", [3, 64])
+def test_many_files_give_what_one_file_gives(spark, tmp_path, files_per_batch):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    source = str(tmp_path / "in")
+    # Rows of a patient and of a day are spread over the files in an order of their own.
+    orders.repartition(12, F.hash("o_orderkey")).write.parquet(source)
+    read = streams.read_stream(spark, source, orders.schema, files_per_batch)
+    visits = views.as_history(views.with_answers(read, views.VISIT_HEAD))
+    days, moves = str(tmp_path / "days"), str(tmp_path / "moves")
+    streams.daily_activity(visits, days, f"{days}-state")
+    streams.visit_changes(visits, moves, f"{moves}-state")
+    whole = views.history(spark, "/root/testdata/sf0.001")
+    trend = history.patient_trend(whole).select("patient_id", "visit_id", "total", "previous_total")
+    found = streams.read_visit_changes(spark, moves).select("patient_id", "visit_id", "total", "previous_total")
+    assert sorted(map(str, found.collect())) == sorted(map(str, trend.collect()))
+    daily = whole.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("d")).count()
+    assert {(r["visit_day"], r["n_visits"]) for r in streams.read_daily_activity(spark, days).collect()} == {
+        tuple(r) for r in daily.collect()
+    }
 
 
-def test_running_counts_grow(spark, tmp_path):
+def test_running_counts_grow_and_old_versions_go(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    for rows in ([(1, "A", day(1), 5)], [(2, "A", day(2), 5), (3, "B", day(2), 5)]):
+    for rows in ([(1, "A", day(1), 5)], [(2, "A", day(2), 5), (3, "B", day(2), 5)], [(4, "C", day(3), 5)]):
         add(spark, source, rows)
         schema = spark.read.parquet(source).schema
         counts = streams.running_counts(streams.read_stream(spark, source, schema))
         streams.publish_counts(counts, out, state)
-    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("Low", "Mild", 3)]
+    assert [tuple(r) for r in streams.published(spark, out).collect()] == [("Low", "Mild", 4)]
+    assert len(list((tmp_path / "out").iterdir())) == 2
 
 
 def test_scored_requests_are_appended_and_duplicates_kept(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    requests = boundary_requests(spark, (5,)).withColumn("patient_name", F.lit("Bilal Ahmed"))
+    requests = boundary_requests(spark, (5,)).withColumn("patient_name", F.lit("Robin Vale"))
     for _ in range(2):
         requests.write.mode("append").parquet(source)
         schema = spark.read.parquet(source).schema

@@ -160,3 +160,30 @@ def half_up(value: Column, digits: int = 0) -> Column:
     """Round half upwards, the browser's way."""
     scale = float(10**digits)
     return F.floor(value * scale + 0.5) / F.lit(scale)
+
+
+def _binary_rounded(value: Column, digits: int, tie_up: bool) -> Column:
+    """Round the exact binary value, of which ``value * scale`` is only the nearest double.
+
+    The error of that product is computed exactly (Dekker's product; the scale has few bits), so a
+    value just below a tie, such as 107 / 40, goes down.
+    """
+    scale = F.lit(float(10**digits))
+    spread = value * F.lit(134217729.0)  # 2^27 + 1 splits a double into two halves
+    high = spread - (spread - value)
+    product = value * scale
+    error = (high * scale - product) + (value - high) * scale
+    whole = F.floor(product).cast("double")
+    beyond = ((product - whole) - 0.5) + error
+    tie = (beyond == 0) & (F.lit(tie_up) | (whole % 2 != 0))
+    return (whole + F.when((beyond > 0) | tie, 1.0).otherwise(0.0)) / scale
+
+
+def binary_half_even(value: Column, digits: int) -> Column:
+    """Round to the nearest decimal of the exact binary value, true ties to even."""
+    return _binary_rounded(value, digits, False)
+
+
+def binary_half_up(value: Column, digits: int) -> Column:
+    """Round to the nearest decimal of the exact binary value, true ties up."""
+    return _binary_rounded(value, digits, True)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitgauge.functions.identity import filled, first_filled, visit_day
-from visitgauge.functions.scoring import half_even, half_up, risk_band
+from visitgauge.functions.scoring import binary_half_even, binary_half_up, half_up, risk_band
 from visitgauge.operators.sequence import HOT_ROWS, with_previous
 from visitgauge.schema import (
     AGE, DEMOGRAPHIC_CODES, NOT_ENOUGH_VISITS, SEVERITIES, STATS_WINDOW,
@@ -132,7 +132,7 @@ def patient_comparison(visits: DataFrame, words: dict = STORE_WORDS) -> DataFram
         "latest_total",
         "previous_total",
         F.when(enough, change).otherwise(0).cast("bigint").alias("phq9_change"),
-        F.when(enough, half_even(F.col("latest_score") - F.col("previous_score"), 4))
+        F.when(enough, binary_half_even(F.col("latest_score") - F.col("previous_score"), 4))
         .otherwise(0.0)
         .alias("risk_score_change"),
         F.when(enough, change_status(change, words))
@@ -250,7 +250,7 @@ def _score_sum() -> Column:
 
 
 def _mean_or_zero(total: Column, count: Column, digits: int) -> Column:
-    return F.coalesce(half_even(F.try_divide(total, count), digits), F.lit(0.0))
+    return F.coalesce(binary_half_even(F.try_divide(total, count), digits), F.lit(0.0))
 
 
 def dashboard_stats(visits: DataFrame, newest_only: int | None = STATS_WINDOW) -> DataFrame:
@@ -312,7 +312,7 @@ def daily_activity(visits: DataFrame) -> DataFrame:
         .select(
             "visit_day",
             "n_visits",
-            half_up(F.col("sum_total") / F.col("n_visits"), 2).alias("mean_total"),
+            binary_half_up(F.col("sum_total") / F.col("n_visits"), 2).alias("mean_total"),
         )
     )
 

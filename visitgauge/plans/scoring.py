@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from visitgauge.functions.cleaning import clean_demographics, item_sum
 from visitgauge.functions.identity import filled, first_filled, patient_identity
 from visitgauge.functions.scoring import (
-    age_group, explanation_text, explanation_text_form, half_even, half_up, model_note,
+    age_group, binary_half_even, explanation_text, explanation_text_form, half_up, model_note,
     pattern_for_total, recommendation_text, risk_band, severity, warning_text,
 )
 from visitgauge.operators.fairness import with_fairness_flag
@@ -101,8 +101,8 @@ def score_batch(
     if model.gives_probabilities:
         chances = F.col("class_probabilities")
         names = F.array(*[F.lit(x) for x in model.labels])
-        rounded = F.transform(chances, lambda p: half_even(p, 4))
-        score, by_label = half_even(F.array_max(chances), 4), F.map_from_arrays(names, rounded)
+        rounded = F.transform(chances, lambda p: binary_half_even(p, 4))
+        score, by_label = binary_half_even(F.array_max(chances), 4), F.map_from_arrays(names, rounded)
     else:
         score, by_label = F.lit(0.0), F.create_map().cast("map<string,double>")
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
@@ -110,7 +110,7 @@ def score_batch(
         {
             "model_agreement": agreement,
             "model_note": model_note(agreement),
-            "risk_percentage": half_even(F.col("risk_score") * 100, 1),
+            "risk_percentage": binary_half_even(F.col("risk_score") * 100, 1),
             "explanation": explanation_text(
                 F.col("rule_based_severity"),
                 F.col("phq9_total"),
@@ -229,7 +229,7 @@ def boundary_checks(
         .alias("model_agreement"),
         (F.col("rule_based_severity") == expected).alias("matches_expected"),
         "risk_band",
-        half_even(top * 100, 1).alias("risk_percentage"),
+        binary_half_even(top * 100, 1).alias("risk_percentage"),
         "recommendation",
         chances.alias("probabilities"),
     )

@@ -1,23 +1,23 @@
 """Streams over visits: scoring, daily activity, changes and running counts.
 
-The micro-batch size is set where the stream is read. It bounds how many rows of
-one patient can meet in a task, also for a patient with a very long history.
+Results don't depend on how rows are spread over files and micro-batches, nor on
+their order of arrival: late visits correct what was written before. Every batch
+writes folders of its own number and replaces them when it is replayed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from visitgauge.functions.identity import filled, first_filled
-from visitgauge.functions.scoring import half_up, risk_band
+from visitgauge.functions.scoring import binary_half_up, risk_band
 from visitgauge.operators.history import change_status
+from visitgauge.operators.sequence import with_previous
 from visitgauge.sources.visits import visit_documents, write_visits
 
 
@@ -32,15 +32,14 @@ def read_stream(
     )
 
 
-def drain(
-    stream: DataFrame, path: str, checkpoint: str, output_mode: str = "append"
+def for_each_batch(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
-    """Write everything available now to parquet and stop."""
+    """Give everything available now to ``write``, batch by batch, and stop."""
     query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
+        stream.writeStream.foreachBatch(write)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .outputMode(output_mode)
         .trigger(availableNow=True)
         .start()
     )
@@ -48,6 +47,40 @@ def drain(
     return query
 
 
+def _files(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the completely written versions of a published table, ascending."""
+    system, folder = _files(spark, path)
+    if not system.exists(folder):
+        return []
+    names = [str(status.getPath().getName()) for status in system.listStatus(folder)]
+    done = [n for n in names if system.exists(_files(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return sorted(int(n.removeprefix("version=")) for n in done if n.startswith("version="))
+
+
+def publish(table: DataFrame, path: str, number: int) -> None:
+    """Write a new version of a small table; readers keep the one they read.
+
+    The version before it stays for them, older ones go.
+    """
+    spark = table.sparkSession
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={number}")
+    for old in _versions(spark, path):
+        if old < number - 1:
+            system, folder = _files(spark, f"{path}/version={old}")
+            system.delete(folder, True)
+
+
+def published(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Newest complete version of a table, or the newest one before a number; None if there is none."""
+    found = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
+
+
 def score_and_append(
     requests: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -63,29 +96,46 @@ def score_and_append(
     def write(batch: DataFrame, number: int) -> None:
         write_visits(visit_documents(score(batch)), f"{path}/batch={number}", "overwrite")
 
-    query = (
-        requests.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    return for_each_batch(requests, write, checkpoint)
+
+
+def _day_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("visit_day").agg(
+        F.sum("n_visits").alias("n_visits"), F.sum("sum_total").alias("sum_total")
     )
-    query.awaitTermination()
-    return query
 
 
-def daily_activity(visits: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Visits and mean total per day; a day is final once the watermark has passed it."""
-    total = F.coalesce(F.col("phq9_total"), F.lit(0)).cast("bigint")
-    return (
-        visits.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        .withWatermark("created_at", lateness)
-        .groupBy(F.window("created_at", "1 day").alias("day"))
-        .agg(F.count(F.lit(1)).alias("n_visits"), F.sum(total).alias("sum_total"))
-        .select(
-            F.date_format("day.start", "yyyy-MM-dd").alias("visit_day"),
-            "n_visits",
-            half_up(F.col("sum_total") / F.col("n_visits"), 2).alias("mean_total"),
+def daily_activity(visits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep visits and sum of totals per day at ``path``; ``read_daily_activity`` reads it.
+
+    The published table has a row for each day. A batch adds its days to the
+    version before it, so late visits count and a replayed batch counts once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        total = F.coalesce(F.col("phq9_total"), F.lit(0)).cast("bigint")
+        days = _day_sums(
+            batch.select(
+                F.date_format("created_at", "yyyy-MM-dd").alias("visit_day"),
+                F.lit(1).cast("bigint").alias("n_visits"),
+                total.alias("sum_total"),
+            )
         )
+        so_far = published(batch.sparkSession, path, before=number)
+        publish(days if so_far is None else _day_sums(so_far.unionByName(days)), path, number)
+
+    return for_each_batch(visits, write, checkpoint)
+
+
+def read_daily_activity(spark: SparkSession, path: str) -> DataFrame:
+    """Visits and mean total of every day so far."""
+    days = published(spark, path)
+    if days is None:
+        days = spark.createDataFrame([], "visit_day string, n_visits bigint, sum_total bigint")
+    return days.select(
+        "visit_day",
+        "n_visits",
+        binary_half_up(F.col("sum_total") / F.col("n_visits"), 2).alias("mean_total"),
     )
 
 
@@ -99,77 +149,63 @@ def running_counts(visits: DataFrame) -> DataFrame:
 
 
 def publish_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest complete table of running counts at ``path``."""
+    """Keep the newest complete table of running counts at ``path``, for ``published``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+        publish(batch, path, number)
 
-    query = (
-        counts.writeStream.foreachBatch(write)
-        .outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    return for_each_batch(counts, write, checkpoint, "complete")
 
 
-CHANGE_SCHEMA = (
-    "patient_id string, visit_id bigint, created_at timestamp, total bigint, previous_total bigint"
-)
-STATE_SCHEMA = "created_at timestamp, visit_id bigint, total bigint"
+CHANGE_KEY = ["patient_id", "visit_id", "created_at"]
 
 
-def _changes(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    # Most groups hold a visit or two, for which plain lists are much faster than frames.
-    visits = sorted(
-        row for b in batches for row in zip(b["created_at"], b["visit_id"], b["total"])
-    )
-    newest, total = None, None
-    if state.exists:
-        last_time, last_id, total = state.get
-        newest = (pd.Timestamp(last_time), last_id)
-    previous, moved = [], False
-    for time, number, own in visits:
-        if newest is not None and not moved and (time, number) <= newest:
-            previous.append(None)  # late: older than what was already passed on
-            continue
-        previous.append(total)
-        total, moved = int(own), True
-    if moved:
-        state.update((visits[-1][0].to_pydatetime(), int(visits[-1][1]), total))
-    times, numbers, totals = zip(*visits)
-    yield pd.DataFrame(
-        {
-            "patient_id": key[0],
-            "visit_id": numbers,
-            "created_at": times,
-            "total": totals,
-            "previous_total": pd.array(previous, dtype="Int64"),
-        }
-    )
+def visit_changes(visits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Follow every visit's change since the patient's visit before it; ``read_visit_changes`` reads it.
 
+    A batch is stored, then ordered with the stored visits of its patients. It
+    writes its own visits and those whose predecessor it brought, so a late
+    visit also corrects the visit behind it.
+    """
 
-def visit_changes(visits: DataFrame) -> DataFrame:
-    """Each arriving visit with its change since the patient's visit before it.
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keyed = batch.where(filled(F.col("patient_id")).isNotNull()).select(
+            "patient_id",
+            "visit_id",
+            F.col("created_at").cast("timestamp").alias("created_at"),
+            F.coalesce(F.col("phq9_total"), F.lit(0)).cast("bigint").alias("total"),
+        )
+        keyed.write.mode("overwrite").parquet(f"{path}/visits/batch={number}")
+        fields = T.StructType([*keyed.schema.fields, T.StructField("batch", T.LongType())])
+        stored = spark.read.schema(fields).parquet(f"{path}/visits").where(F.col("batch") <= number)
+        patients = stored.where(F.col("batch") == number).select("patient_id").distinct()
+        ordered = with_previous(
+            stored.join(patients, "patient_id", "left_semi"),
+            "patient_id",
+            ["created_at", "visit_id"],
+            ["total", "batch"],
+        )
+        changed = ordered.where((F.col("batch") == number) | (F.col("previous_batch") == number))
+        changed.select(*CHANGE_KEY, "total", "previous_total").write.mode("overwrite").parquet(
+            f"{path}/changes/batch={number}"
+        )
 
-    State is the newest visit per patient. A visit older than that arrives too
-    late to be compared and is passed on without a previous total.
-    """
-    keyed = visits.where(filled(F.col("patient_id")).isNotNull()).select(
-        "patient_id",
-        "visit_id",
-        F.col("created_at").cast("timestamp").alias("created_at"),
-        F.coalesce(F.col("phq9_total"), F.lit(0)).cast("bigint").alias("total"),
+    return for_each_batch(visits, write, checkpoint)
+
+
+def read_visit_changes(spark: SparkSession, path: str) -> DataFrame:
+    """Every visit so far with its change, from the last batch that wrote it."""
+    fields = T.StructType.fromDDL(
+        "patient_id string, visit_id bigint, created_at timestamp, total bigint,"
+        " previous_total bigint, batch bigint"
     )
-    changes = keyed.groupBy("patient_id").applyInPandasWithState(
-        _changes, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    rows = spark.read.schema(fields).parquet(f"{path}/changes")
+    newest = rows.groupBy(*CHANGE_KEY).agg(
+        F.max(F.struct("batch", "total", "previous_total")).alias("newest")
     )
     change = F.col("total") - F.col("previous_total")
-    return changes.withColumns(
+    return newest.select(*CHANGE_KEY, "newest.total", "newest.previous_total").withColumns(
         {
             "change": change,
             "status": F.when(change.isNull(), "insufficient_history").otherwise(

@@ -71,7 +71,7 @@ def _items(template: str) -> str:
 MERGED = (
     "merged AS (SELECT SEQN, RIDAGEYR, RIAGENDR, RIDRETH1, INDHHIN2, DMDEDUC2, DMDMARTL, "
     + ", ".join(ITEMS)
-    + " FROM fx_demographic JOIN fx_questionnaire USING (SEQN))"
+    + " FROM fx_respondent JOIN fx_questionnaire USING (SEQN))"
 )
 
 
@@ -97,7 +97,7 @@ CLEAN = (
     + f", CAST({TOTAL} AS DOUBLE) AS PHQ9_TOTAL, {_level('(' + TOTAL + ')')} AS SEVERITY"
     + f" FROM demo d JOIN merged m USING (SEQN) WHERE {VALID})"
 )
-CLEAN_VIEWS = ("fx_demographic", "fx_questionnaire")
+CLEAN_VIEWS = ("fx_respondent", "fx_questionnaire")
 
 
 def clean_sql(sql: str) -> str:
@@ -713,7 +713,7 @@ ORACLES["patient_comparison"] = with_views(
     WITH {_PAIRS}
     SELECT patient_id, has_comparison, latest_visit_id, previous_visit_id, latest_created_at,
       previous_created_at, latest_total, previous_total, phq9_change,
-      CASE WHEN has_comparison THEN {_r4('s1 - s2')} ELSE 0 END AS risk_score_change,
+      CASE WHEN has_comparison THEN CAST(printf('%.4f', s1 - s2) AS DOUBLE) + 0.0 ELSE 0 END AS risk_score_change,
       CASE WHEN NOT has_comparison THEN 'insufficient_history' WHEN phq9_change < 0 THEN 'improved'
         WHEN phq9_change > 0 THEN 'worsened' ELSE 'no_change' END AS status,
       CASE WHEN NOT has_comparison THEN {_quoted(schema.NOT_ENOUGH_VISITS)}
@@ -796,9 +796,9 @@ _DASHBOARD = """
       count(*) FILTER (WHERE risk_band = 'High') AS high_risk_count,
       count(*) FILTER (WHERE risk_band = 'Medium') AS medium_risk_count,
       count(*) FILTER (WHERE risk_band IN ('Low', '')) AS low_risk_count,
-      round_even(sum(CAST(coalesce(risk_score, 0) AS DECIMAL(18, 6)))::DOUBLE / count(*) * 10000, 0)
-        / 10000.0::DOUBLE AS average_risk_score,
-      round_even(sum(phq9_total)::DOUBLE / count(*) * 100, 0) / 100.0::DOUBLE AS average_phq9_total,
+      CAST(printf('%.4f', sum(CAST(coalesce(risk_score, 0) AS DECIMAL(18, 6)))::DOUBLE / count(*)) AS DOUBLE)
+        AS average_risk_score,
+      CAST(printf('%.2f', sum(phq9_total)::DOUBLE / count(*)) AS DOUBLE) AS average_phq9_total,
       max(created_at) AS latest_prediction_time,
       count(*) FILTER (WHERE predicted_severity = 'Minimal') AS n_minimal,
       count(*) FILTER (WHERE predicted_severity = 'Mild') AS n_mild,
@@ -822,18 +822,24 @@ ORACLES["stats_variant"] = with_views(
       count(*) FILTER (WHERE band = 'High') AS high_risk_patients,
       count(*) FILTER (WHERE band = 'Medium') AS medium_risk_patients,
       count(*) FILTER (WHERE band = 'Low') AS low_risk_patients,
-      round_even(sum(CAST(coalesce(risk_score, 0) AS DECIMAL(18, 6)))::DOUBLE / count(*) * 10000, 0)
-        / 10000.0::DOUBLE AS average_risk_score,
+      CAST(printf('%.4f', sum(CAST(coalesce(risk_score, 0) AS DECIMAL(18, 6)))::DOUBLE / count(*)) AS DOUBLE)
+        AS average_risk_score,
       (SELECT predicted_severity FROM l ORDER BY n DESC, newest DESC LIMIT 1) AS most_common_severity,
       max(created_at) AS latest_prediction_time
     FROM b
     """,
     "fx_history",
 )
+# The text form of a double rounds its exact value; only eighths can be ties, which go up.
+_DAY_MEAN = (
+    "CASE WHEN sum(phq9_total) * 8 % count(*) = 0"
+    " THEN floor(sum(phq9_total)::DOUBLE / count(*) * 100 + 0.5) / 100.0::DOUBLE"
+    " ELSE CAST(printf('%.2f', sum(phq9_total)::DOUBLE / count(*)) AS DOUBLE) END AS mean_total"
+)
 ORACLES["daily_activity"] = with_views(
-    """
+    f"""
     SELECT coalesce(visit_date, strftime(created_at, '%Y-%m-%d')) AS visit_day, count(*) AS n_visits,
-      floor(sum(phq9_total)::DOUBLE / count(*) * 100 + 0.5) / 100.0::DOUBLE AS mean_total
+      {_DAY_MEAN}
     FROM fx_history GROUP BY 1
     """,
     "fx_history",
@@ -959,7 +965,7 @@ ORACLES["smote_class_counts"] = clean_sql(
 ORACLES["audit_summary"] = with_views(
     f"""WITH {CLEAN}, {_SPLIT}, {FAIR},
     cells AS (SELECT unnest([{', '.join(ITEMS)}]) AS v FROM fx_questionnaire)
-    SELECT (SELECT count(*) FROM fx_demographic) AS demographic_rows,
+    SELECT (SELECT count(*) FROM fx_respondent) AS demographic_rows,
       (SELECT count(*) FROM fx_questionnaire) AS questionnaire_rows,
       (SELECT count(*) FROM clean) AS merged_valid_rows,
       (SELECT count(*) FROM cells WHERE v IS NULL OR v NOT IN (0, 1, 2, 3))
@@ -984,11 +990,9 @@ ORACLES["audit_summary"] = with_views(
 # Streams: the same results as the tables give at once.
 
 ORACLES["stream_daily_activity"] = with_views(
-    """
-    SELECT strftime(created_at, '%Y-%m-%d') AS visit_day, count(*) AS n_visits,
-      floor(sum(phq9_total)::DOUBLE / count(*) * 100 + 0.5) / 100.0::DOUBLE AS mean_total
+    f"""
+    SELECT strftime(created_at, '%Y-%m-%d') AS visit_day, count(*) AS n_visits, {_DAY_MEAN}
     FROM fx_history
-    WHERE CAST(created_at AS DATE) + INTERVAL 2 DAY <= (SELECT max(created_at) FROM fx_history)
     GROUP BY 1
     """,
     "fx_history",

@@ -38,11 +38,11 @@ def query(function: Query) -> Query:
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
-    return merging.merge_raw(views.demographic(spark, sf), views.questionnaire(spark, sf))
+    return merging.merge_raw(views.respondents(spark, sf), views.questionnaire(spark, sf))
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    return prep.clean_dataset(views.demographic(spark, sf), views.questionnaire(spark, sf))
+    return prep.clean_dataset(views.respondents(spark, sf), views.questionnaire(spark, sf))
 
 
 def _split(spark: SparkSession, sf: str) -> DataFrame:
@@ -695,7 +695,7 @@ def boundary_checks(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Numeric part of the audit, with the stand-in model's report."""
-    demographic, questionnaire = views.demographic(spark, sf), views.questionnaire(spark, sf)
+    demographic, questionnaire = views.respondents(spark, sf), views.questionnaire(spark, sf)
     clean = materialise(prep.clean_dataset(demographic, questionnaire))
     divided = materialise(split.stratified_split(clean))
     parts = {
@@ -747,17 +747,15 @@ def _run_folder(spark: SparkSession) -> str:
 @query
 def stream_daily_activity(spark: SparkSession, sf: str) -> DataFrame:
     folder = _run_folder(spark)
-    activity = streams.daily_activity(_visit_stream(spark, sf))
-    streams.drain(activity, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.schema(activity.schema).parquet(f"{folder}/out")
+    streams.daily_activity(_visit_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint")
+    return streams.read_daily_activity(spark, f"{folder}/out")
 
 
 @query
 def stream_visit_changes(spark: SparkSession, sf: str) -> DataFrame:
     folder = _run_folder(spark)
-    changes = streams.visit_changes(_visit_stream(spark, sf))
-    streams.drain(changes, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.schema(changes.schema).parquet(f"{folder}/out").withColumn(
+    streams.visit_changes(_visit_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint")
+    return streams.read_visit_changes(spark, f"{folder}/out").withColumn(
         "created_at", F.col("created_at").cast("timestamp_ntz")
     )
 
@@ -767,7 +765,7 @@ def stream_running_counts(spark: SparkSession, sf: str) -> DataFrame:
     folder = _run_folder(spark)
     counts = streams.running_counts(_visit_stream(spark, sf))
     streams.publish_counts(counts, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.schema(counts.schema).parquet(f"{folder}/out")
+    return streams.published(spark, f"{folder}/out")
 
 
 @query

@@ -45,6 +45,12 @@ DEMOGRAPHIC = [
     "CASE c_custkey % 29 WHEN 0 THEN 99 WHEN 1 THEN 77 ELSE 1 + c_custkey % 6 END AS DMDMARTL",
 ]
 
+# Respondents of the survey files: one for each order, again with shifted and absent keys.
+RESPONDENT = [
+    "CASE o_orderkey % 50 WHEN 7 THEN -1 - o_orderkey WHEN 8 THEN NULL ELSE o_orderkey END AS SEQN",
+    *DEMOGRAPHIC[1:],
+]
+
 VISIT_HEAD = ["o_orderkey AS visit_id", "o_custkey AS SEQN", "o_orderdate AS created_at"]
 ANSWERS = [_item(i) for i in range(1, 10)]
 VISIT = [*VISIT_HEAD, *ANSWERS]
@@ -166,6 +172,13 @@ def demographic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(*DEMOGRAPHIC)
 
 
+def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One respondent for each order, with the order's customer's demographics."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, sf_dir, "customer")
+    return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).selectExpr(*RESPONDENT)
+
+
 def with_answers(orders: DataFrame, head: list[str]) -> DataFrame:
     """The head columns and the nine answers.
 
@@ -210,11 +223,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questionnaire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First visit of each respondent."""
-    ranked = visits(spark, sf_dir).selectExpr(
-        "*", "row_number() OVER (PARTITION BY SEQN ORDER BY created_at, visit_id) AS rn"
-    )
-    return ranked.where("rn = 1").select("SEQN", *ITEMS)
+    """Every visit as the answer sheet of a respondent of its own."""
+    return visits(spark, sf_dir).selectExpr("visit_id AS SEQN", *ITEMS)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +232,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         questionnaire(spark, sf_dir)
         .where(VALID)
-        .join(demographic(spark, sf_dir), "SEQN")
+        .join(respondents(spark, sf_dir), "SEQN")
         .selectExpr(*SCORED_TOTALS)
         .selectExpr(*SCORED)
     )
@@ -249,17 +259,12 @@ CTES = {
     "fx_total": _select("fx_total", RAW_TOTAL, "orders"),
     "fx_text": _select("fx_text", RAW_TEXT, "customer"),
     "fx_record": _select("fx_record", RECORD, "orders"),
-    "fx_questionnaire": _select(
-        "fx_questionnaire",
-        ["SEQN", *ITEMS],
-        "(SELECT *, row_number() OVER (PARTITION BY SEQN ORDER BY created_at, visit_id) AS rn"
-        " FROM fx_visit) t",
-        "rn = 1",
-    ),
+    "fx_respondent": _select("fx_respondent", RESPONDENT, "orders JOIN customer ON o_custkey = c_custkey"),
+    "fx_questionnaire": _select("fx_questionnaire", ["visit_id AS SEQN", *ITEMS], "fx_visit"),
     "fx_scored_totals": _select(
         "fx_scored_totals",
         SCORED_TOTALS,
-        "fx_questionnaire JOIN fx_demographic USING (SEQN)",
+        "fx_questionnaire JOIN fx_respondent USING (SEQN)",
         VALID,
     ),
     "fx_scored": _select("fx_scored", SCORED, "fx_scored_totals"),
@@ -268,7 +273,7 @@ CTES = {
 }
 NEEDS = {
     "fx_questionnaire": ["fx_visit"],
-    "fx_scored_totals": ["fx_questionnaire", "fx_demographic"],
+    "fx_scored_totals": ["fx_questionnaire", "fx_respondent"],
     "fx_scored": ["fx_scored_totals"],
     "fx_complete": ["fx_visit"],
     "fx_history": ["fx_complete"],
