@@ -160,6 +160,8 @@ def test_contract_splits_requests(spark):
         "RIDAGEYR must be between 0 and 120", "RIAGENDR must be 0 or more",
         "DPQ090 must be between 0 and 3",
     ]
+    half = good.limit(1).withColumn("DPQ010", F.lit(1.5))
+    assert quality.input_violations(half).first()["violations"] == ["DPQ010 must be a whole number"]
 
 
 def test_leakage(spark):

@@ -52,6 +52,11 @@ def input_violations(df: DataFrame) -> DataFrame:
     checks = [(F.col(AGE).between(0, MAX_AGE), f"{AGE} must be between 0 and {MAX_AGE}")]
     checks += [(F.col(c) >= 0, f"{c} must be 0 or more") for c in DEMOGRAPHIC_CODES]
     checks += [(F.col(c).between(0, 3), f"{c} must be between 0 and 3") for c in ITEMS]
+    # A missing value is named above.
+    checks += [
+        (F.coalesce(F.col(c) % 1 == 0, F.lit(True)), f"{c} must be a whole number")
+        for c in (AGE, *DEMOGRAPHIC_CODES, *ITEMS)
+    ]
     return df.withColumn("violations", _violations(checks))
 
 

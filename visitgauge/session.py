@@ -29,17 +29,18 @@ def local_session(cores: str = "8", app: str = "visitgauge") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and written stages.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may
-    fall back to a temporary folder, since other machines could not read it.
+    The cluster names it in ``spark.checkpoint.dir`` or has set it on the context.
+    Only a local master may fall back to a temporary folder, since other machines could not read it.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if context.getCheckpointDir() is not None:
+        return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="visitgauge-"))
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="visitgauge-"))
     return context.getCheckpointDir()
 
 

@@ -152,6 +152,7 @@ _INPUT_RULES = (
     [("RIDAGEYR BETWEEN 0 AND 120", "RIDAGEYR must be between 0 and 120")]
     + [(f"{c} >= 0", f"{c} must be 0 or more") for c in _CODES]
     + [(f"{c} BETWEEN 0 AND 3", f"{c} must be between 0 and 3") for c in ITEMS]
+    + [(f"coalesce({c} % 1 = 0, true)", f"{c} must be a whole number") for c in ("RIDAGEYR", *_CODES, *ITEMS)]
 )
 
 
