@@ -6,6 +6,7 @@
    with a probability of 5e-6.
 2. Documents with equal sets are one class, of which a single row goes on, so exact copies cost one
    row in every later step, whatever their number.
+   All that follows reads the texts of classes that share a bucket, which are few in most corpora.
 3. Every bucket links its classes to one head, in the form of a star: the class with most company in
    all its buckets, which in a group of copies is the text they were made from. Edges are confirmed
    on the full sets, and components are formed.
@@ -20,6 +21,7 @@ Hashes have 64 bits; a set with a false member is less likely than a hardware fa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +32,23 @@ from llm.hashing import MIX, mixed, word_hashes
 from llm.stages import slices, written
 
 WORDS = 5
-BINS, BAND_ROWS = 128, 4
-BANDS = BINS // BAND_ROWS
+BAND_BINS, BAND_ROWS = 128, 4
+BANDS = BAND_BINS // BAND_ROWS
 SIMILARITY_PERCENT = 75
-# Sketches keep four bits of every bin. At similarity 0.75, 30 of 128 differ on average; more than 56
+# Sketches keep two bits of each of 512 bins. At similarity 0.75, 96 differ on average; more than 142
 # do so about once in 10^6 pairs.
-SKETCH_LONGS = BINS // 16
-MOST_DIFFERENT = 56
+SKETCH_BINS = 512
+SKETCH_LONGS = SKETCH_BINS // 32
+MOST_DIFFERENT = 142
+LEAST_SKETCHED = 64
 BROADCAST_KEYS = 500_000
-EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
-#: For every bin, the order in which it looks for a filled one; the bin itself comes first.
-ORDER = np.argsort(
-    mixed(np.arange(BINS * BINS, dtype=np.uint64) * MIX[0] + MIX[1]).reshape(BINS, BINS)
-    * (1 - np.eye(BINS, dtype=np.uint64)),
-    axis=1,
-    kind="stable",
-)
+
+
+@lru_cache
+def bin_order(bins: int) -> np.ndarray:
+    """For every bin, the order in which it looks for a filled one; the bin itself comes first."""
+    keys = mixed(np.arange(bins * bins, dtype=np.uint64) * MIX[0] + MIX[1]).reshape(bins, bins)
+    return np.argsort(keys * (1 - np.eye(bins, dtype=np.uint64)), axis=1, kind="stable")
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -70,33 +73,44 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return sets
 
 
-def densified(sets: list[np.ndarray]) -> np.ndarray:
+def densified(sets: list[np.ndarray], bins: int) -> np.ndarray:
     """Bin values of every non-empty sorted set, one row each."""
-    values = np.zeros((len(sets), BINS), np.uint64)
+    values = np.zeros((len(sets), bins), np.uint64)
+    edges = np.arange(bins, dtype=np.uint64) * np.uint64(2**64 // bins)
+    order = bin_order(bins)
     for row, hashes in enumerate(sets):
-        first = np.searchsorted(hashes, EDGES)
+        first = np.searchsorted(hashes, edges)
         filled = first < np.append(first[1:], len(hashes))
-        if filled.all():
-            values[row] = hashes[first]
-        else:
-            source = ORDER[np.arange(BINS), filled[ORDER].argmax(1)]
-            values[row] = hashes[first[source]]
+        source = np.arange(bins)
+        empty, turn = np.flatnonzero(~filled), 1
+        while len(empty):
+            tried = order[empty, turn]
+            met = filled[tried]
+            source[empty[met]] = tried[met]
+            empty, turn = empty[~met], turn + 1
+        values[row] = hashes[first[source]]
     return values
 
 
-def buckets_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket names (a column for each band) and sketches (eight 64-bit columns) of bin rows."""
-    rows = values.reshape(len(values), BANDS, BAND_ROWS)
-    names = np.arange(BANDS, dtype=np.uint64) * MIX[0] + np.zeros((len(values), 1), np.uint64)
+def buckets_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Bucket names of non-empty sets, a column for each band."""
+    rows = densified(sets, BAND_BINS).reshape(len(sets), BANDS, BAND_ROWS)
+    names = np.arange(BANDS, dtype=np.uint64) * MIX[0] + np.zeros((len(sets), 1), np.uint64)
     for k in range(BAND_ROWS):
         names = mixed(names + rows[:, :, k] + MIX[1])
-    fours = (mixed(values + np.arange(BINS, dtype=np.uint64) * MIX[2]) >> np.uint64(60)).astype(np.uint8)
-    sketches = (fours[:, ::2] << 4 | fours[:, 1::2]).view("<i8")
-    return names.view(np.int64), sketches
+    return names.view(np.int64)
+
+
+def sketches_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Sketches of non-empty sets, as rows of 64-bit numbers."""
+    values = densified(sets, SKETCH_BINS) + np.arange(SKETCH_BINS, dtype=np.uint64) * MIX[2]
+    twos = (mixed(values) >> np.uint64(62)).astype(np.uint8)
+    bytes_ = twos[:, ::4] << 6 | twos[:, 1::4] << 4 | twos[:, 2::4] << 2 | twos[:, 3::4]
+    return np.ascontiguousarray(bytes_).view("<i8")
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each row in a struct, with row number, id, text, set size, class, buckets and sketch."""
+    """Each row in a struct, with row number, id, text, set size, class and buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -106,11 +120,9 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = shingle_sets(batch["text"].to_pylist())
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
-            names, sketches = buckets_of(densified([sets[k] for k in full.tolist()]))
+            names = buckets_of([sets[k] for k in full.tolist()])
             classes = np.array([np.add.reduce(mixed(s ^ MIX[1])) for s in sets], np.uint64).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
-            drawn = np.arange(0, len(full) * SKETCH_LONGS + 1, SKETCH_LONGS) if len(full) else np.zeros(1, np.int64)
-            drawn = drawn[np.concatenate([[0], np.cumsum(sizes > 0)])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["row"],
@@ -120,9 +132,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array(sizes),
                     pa.array(classes, mask=sizes == 0),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(names.reshape(-1))),
-                    pa.ListArray.from_arrays(pa.array(drawn), pa.array(np.ascontiguousarray(sketches).reshape(-1))),
                 ],
-                ["row", "number", "id", "text", "n", "class", "buckets", "sketch"],
+                ["row", "number", "id", "text", "n", "class", "buckets"],
             )
             number += len(sets)
 
@@ -135,7 +146,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(
         run,
         f"row {kinds['row']}, number long, id {kinds['id']}, text string, n long, class long, "
-        "buckets array<bigint>, sketch array<bigint>",
+        "buckets array<bigint>",
     )
 
 
@@ -159,13 +170,17 @@ def components(edges: DataFrame) -> DataFrame:
             )
         return moved.where("a != b").distinct()
 
-    links = written(edges.where("a != b").select("a", "b").distinct(), "links")
-    before = None
-    while True:
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+    def settled(links: DataFrame) -> bool:
+        """Whether every node either is a component's smallest node or points to one, once."""
+        roles = links.select(F.col("a").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("is_root")).union(
+            links.select(F.col("b").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("is_root"))
+        )
+        sums = roles.groupBy("node").agg(F.sum("points").alias("points"), F.max("is_root").alias("is_root"))
+        return sums.where("points > 1 or points = 1 and is_root = 1").isEmpty()
+
+    links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = written(links.distinct(), "links")
+    while not settled(links):
         links = written(stars(stars(links, True), False), "links")
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
@@ -184,10 +199,16 @@ def only(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
-    left = only(sets, pairs.select("a").distinct(), "class").select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
+    """The pairs (a, b) of classes whose full sets are similar enough.
+
+    The pairs are few and narrow, the sets wide: up to ``BROADCAST_KEYS`` pairs go to the sets of
+    their first class, and only these move to the second one.
+    """
+    pairs = pairs.select("a", "b")
+    narrow = F.broadcast(pairs) if pairs.count() <= BROADCAST_KEYS else pairs
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
     right = only(sets, pairs.select("b").distinct(), "class").select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = left.join(narrow, "a").join(right, "b")
     common = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
                          F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
     return common.where(f"100 * common >= {SIMILARITY_PERCENT} * (na + nb - common)").select("a", "b")
@@ -199,24 +220,33 @@ def promising(x: str, y: str) -> str:
     terms = []
     for k in range(SKETCH_LONGS):
         z = f"({x}.sketch[{k}] ^ {y}.sketch[{k}])"
-        either = f"({z} | shiftrightunsigned({z}, 1) | shiftrightunsigned({z}, 2) | shiftrightunsigned({z}, 3))"
-        terms.append(f"bit_count({either} & {0x1111111111111111}L)")
-    return f"{sizes} and {' + '.join(terms)} <= {MOST_DIFFERENT}"
+        terms.append(f"bit_count(({z} | shiftrightunsigned({z}, 1)) & {0x5555555555555555}L)")
+    # In small sets one element can fill many bins, so they are all tested in full.
+    return f"{sizes} and (least({x}.n, {y}.n) < {LEAST_SKETCHED} or {' + '.join(terms)} <= {MOST_DIFFERENT})"
 
 
-def shingles_of(rows: DataFrame) -> DataFrame:
-    """class and shingles (array of hashes) of rows with class and text."""
+def full_sets(rows: DataFrame) -> DataFrame:
+    """class, n, sketch and shingles (array of hashes) of rows with class and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch["text"].to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            sketches = sketches_of(sets)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            each = np.arange(0, sketches.size + 1, SKETCH_LONGS, dtype=np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["class"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["class", "shingles"]
+                [
+                    batch["class"],
+                    pa.array(sizes),
+                    pa.ListArray.from_arrays(pa.array(each), pa.array(sketches.reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                ],
+                ["class", "n", "sketch", "shingles"],
             )
 
-    return rows.select("class", "text").mapInArrow(run, "class long, shingles array<bigint>")
+    return rows.select("class", "text").mapInArrow(run, "class long, n long, sketch array<bigint>, shingles array<bigint>")
 
 
 def labelled(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -227,35 +257,40 @@ def labelled(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
     return rows.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def links_between(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Component of every class that has a confirmed link; None if there is no shared bucket."""
+def links_between(rows: DataFrame, firsts: DataFrame) -> DataFrame | None:
+    """Component of every class that has a confirmed link; None if there is no shared bucket.
+
+    ``rows`` are written signatures, ``firsts`` has the number of one row for each class.
+    """
+    classes = only(rows, firsts, "number")
     spread = classes.select("class", F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     members = written(spread.join(shared, "bucket"), "members")
     if members.isEmpty():
         return None
-    company = members.groupBy("class").agg(F.sum(F.col("k") - 1).alias("company"))
-    facts = written(classes.select("class", "number", "n", "sketch", "buckets").join(company, "class"), "facts")
-    sets = written(shingles_of(only(texts, facts.select("number"), "number")), "sets")
+    company = written(members.groupBy("class").agg(F.sum(F.col("k") - 1).alias("company")), "company")
+    met = only(classes, company.select("class"), "class")
+    sets = written(full_sets(met), "sets")
 
     # Stars around the class with most company.
-    heads = members.join(facts.select("class", "company"), "class").groupBy("bucket").agg(
-        F.max(F.struct("company", "class")).alias("head")
-    )
+    heads = members.join(company, "class").groupBy("bucket").agg(F.max(F.struct("company", "class")).alias("head"))
     stars = members.join(heads, "bucket").where("class != head.class").select(
         F.col("class").alias("p"), F.col("head.class").alias("q")
     ).distinct()
-    x = facts.select(F.col("class").alias("p"), "n", "sketch").alias("x")
-    y = facts.select(F.col("class").alias("q"), "n", "sketch").alias("y")
+    x = sets.select(F.col("class").alias("p"), "n", "sketch").alias("x")
+    y = sets.select(F.col("class").alias("q"), "n", "sketch").alias("y")
     stars = stars.join(x, "p").join(y, "q").where(promising("x", "y"))
     stars = written(stars.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "stars")
     groups = written(components(written(similar(stars, sets), "confirmed")), "components")
 
     # Pairs across components in buckets that still have several.
-    rows = labelled(members.select("bucket", "class"), groups)
-    split = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    rows = rows.join(split.select("bucket"), "bucket").join(facts.select("class", "n", "sketch", "buckets"), "class")
-    x, y = rows.alias("x"), rows.alias("y")
+    open_rows = labelled(members.select("bucket", "class"), groups)
+    split = open_rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    open_rows = open_rows.join(split.select("bucket"), "bucket").join(sets.select("class", "n", "sketch"), "class")
+    # A pair counts in the first bucket that both classes share.
+    where = open_rows.groupBy("class").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))  # at most one for each band
+    open_rows = written(open_rows.join(where, "class"), "open")
+    x, y = open_rows.alias("x"), open_rows.alias("y")
     across = x.join(
         y,
         F.expr(
@@ -292,14 +327,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = written(signatures(df, id_col, text_col), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first")
-    classes = written(
-        rows.where("class is not null").groupBy("class").agg(
-            first, F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("buckets").alias("buckets")
-        ).withColumn("number", F.col("first.number")),
-        "classes",
-    )
-    groups = links_between(classes, rows)
-    named = labelled(classes.select("class", "first"), groups)
+    classes = written(rows.where("class is not null").groupBy("class").agg(first), "classes")
+    groups = links_between(rows, classes.select("first.number"))
+    named = labelled(classes, groups)
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
     verdicts = named.join(heads, "component").select("class", "head")
     return rows.join(verdicts, "class", "left").select(
