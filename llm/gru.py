@@ -13,9 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN = 24
-TRAIN_LANES, TRAIN_STEPS = 64, 20
-SCORE_LANES, SCORE_STEPS = 256, 64
+HIDDEN = 16
+TRAIN_LANES, TRAIN_STEPS = 384, 16
+SCORE_LANES, SCORE_STEPS = 512, 64
 END = 1
 
 

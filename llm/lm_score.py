@@ -31,7 +31,7 @@ CLASSES, CLASS_WIDTH = 32, 32
 RARE = 0
 FREQUENT = 65_536
 WARM_DOCUMENTS = 1_500
-WARM_PASSES = 4
+WARM_PASSES = 6
 WARM_RATE, RATE = 8e-3, 1e-3
 TRAIN_BYTES = 4 << 20
 SCORE_BYTES = 24 << 20
