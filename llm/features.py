@@ -77,6 +77,19 @@ def with_label(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return docs.join(known, docs["doc_id"] == known["labelled"]).drop("labelled")
 
 
+def smallest_keys(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of ``rows`` (doc_id and other narrow columns), by the hash of the id; one for each id."""
+    return rows.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def texts_of_keys(docs: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) with the bounded ``keys`` and their columns; at most ``most`` rows.
+
+    The keys were found without texts, so only the chosen texts move.
+    """
+    return docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").limit(most)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.features import smallest_keys, texts_of_keys
 from llm.gru import END, Network, Trainer, packed, start_weights, unpacked
 from llm.hashing import word_hashes
 from llm.stages import remainder, slices, written
@@ -98,7 +99,8 @@ def warm_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]) ->
             trainer.learn(read)
         yield pa.RecordBatch.from_arrays([pa.array([packed(trainer.network.w).tobytes()], pa.binary())], ["weights"])
 
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCUMENTS).select("text").coalesce(1)
+    keys = smallest_keys(docs.select("doc_id"), WARM_DOCUMENTS)
+    chosen = texts_of_keys(docs, keys, WARM_DOCUMENTS).orderBy("doc_id", "text").select("text").coalesce(1)
     found = [row[0] for row in chosen.mapInArrow(run, "weights binary").collect()]
     return unpacked(np.frombuffer(found[0], np.float32), start) if found else start
 

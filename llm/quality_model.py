@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.features import calibrated, indicators, sigmoid, with_label
+from llm.features import calibrated, indicators, sigmoid, smallest_keys, texts_of_keys, with_label
 from llm.stages import remainder, slices
 
 BITS = 18
@@ -77,11 +77,9 @@ def sample(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
             sets = pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["label"], sets], ["label", "features"])
 
-    chosen = [
-        rows.where(f"label = {label}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "label")
-        for label in (0, 1)
-    ]
-    rows = chosen[0].union(chosen[1]).mapInArrow(run, "label int, features binary").collect()
+    ids = rows.select("doc_id", "label")
+    chosen = [texts_of_keys(rows, smallest_keys(ids.where(f"label = {label}"), most), most) for label in (0, 1)]
+    rows = chosen[0].unionByName(chosen[1]).select("text", "label").mapInArrow(run, "label int, features binary").collect()
     found = [np.frombuffer(row["features"], np.int32) for row in rows]
     # An order that doesn't depend on partitions: the classes alternate by a sum over their features.
     order = np.argsort([int(x.sum(dtype=np.int64)) % 10_007 for x in found], kind="stable")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.features import calibrated, indicators, sigmoid, with_label
+from llm.features import calibrated, indicators, sigmoid, smallest_keys, texts_of_keys, with_label
 from llm.hashing import MASKS, hashes, word_spans
 from llm.stages import remainder, slices, written
 
@@ -381,20 +381,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[Vote
     generative = label_model(every, labelled, voters.derived, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            targets = pa.array(generative.posterior(voters.votes(batch["text"].to_pylist())))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], targets], ["doc_id", "text", "target"])
+        for batch in batches:
+            fired = batch["votes"].flatten().to_numpy().reshape(-1, many)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(generative.posterior(fired))], ["doc_id", "target"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    targets = docs.mapInArrow(run, f"doc_id {kind}, text string, target double")
-    first = F.xxhash64("doc_id")
+    targets = votes.mapInArrow(run, f"doc_id {kind}, target double")
     sides = [
-        targets.where(side).orderBy(first, "doc_id").limit(most).select("text", "target")
+        texts_of_keys(docs, smallest_keys(targets.where(side), most), most).select("text", "target")
         for side in ("target >= 0.5", "target < 0.5")
     ]
     model = linear(*examples(sides[0].union(sides[1]), voters))
-    checked = known.orderBy(first, "doc_id").limit(2 * most)
-    votes_, found, ends, given = examples(checked.select("text", F.col("label").cast("double").alias("target")), voters)
+    keys = smallest_keys(known.select("doc_id", F.col("label").cast("double").alias("target")), 2 * most)
+    checked = texts_of_keys(docs, keys, 2 * most).select("text", "target")
+    votes_, found, ends, given = examples(checked, voters)
     if len(set(given.tolist())) == 2:
         slope, offset = calibrated(model.margins(votes_, found, ends), given, np.ones(len(given)))
         model = model._replace(slope=slope, offset=offset)
