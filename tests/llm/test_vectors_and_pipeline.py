@@ -33,6 +33,18 @@ def test_nearest_query_recall(spark):
     assert right / (20 * len(found)) >= 0.95
 
 
+def test_nearest_recall_in_a_forest_of_many_more_leaves(spark):
+    points = np.random.default_rng(5).normal(size=(4000, 32))
+    frame = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<double>")
+    found = ann.search(frame, frame.where("vec_id % 40 = 0"), k=10, leaf_rows=16, leaves=24).collect()
+    assert len(found) == 1000
+    scores = points[::40] @ points.T
+    scores[np.arange(100), np.arange(0, 4000, 40)] = -np.inf
+    true = {(40 * q, int(i)) for q, best in enumerate(np.argsort(-scores, axis=1)[:, :10]) for i in best}
+    # 24 of more than 3,000 leaves hold less than half of the neighbours.
+    assert len(true & {(r["query_id"], r["vec_id"]) for r in found}) >= 950
+
+
 def test_nearest_with_odd_vectors(spark):
     rows = [(k, [float(k % 3), 1.0]) for k in range(12)] + [
         (20, None), (21, [0.0, 0.0]), (22, [float("nan"), 1.0]), (23, [None, 1.0]), (24, [1.0]), (None, [1.0, 1.0]), (5, [2.0, 1.0]),
