@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and random strings exposed by a tokenizer.
 
 A vocabulary made from ordinary text spells words with few tokens, while a random string needs one
-for every one or two characters. Strings of at least 20 key characters that mix digits with
-letters, or cases within a word, are encoded; those with few characters per token are reported.
-Digests of known lengths, UUIDs, plain numbers, dates and addresses are left out first.
+for every one or two characters. Strings of at least 20 key characters are encoded; those with few
+characters per token are reported, or the parts of them between separators that have few.
+Digests of known lengths, UUIDs, plain numbers, dates and names made of words are left out first.
 
 A scan of each batch's bytes finds the texts that can have a match at all; patterns run on those.
 """
@@ -40,6 +40,10 @@ UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 NUMBERS = re.compile(r"[0-9+/_=-]+")
 IDENTIFIER = re.compile(r"[A-Za-z]+[0-9]*([_/-]+[A-Za-z]*[0-9]*)*|[a-z]+([A-Z][a-z]+)+[0-9]*")
+LETTERS = re.compile(r"[a-z]+|[A-Z]+")
+PART = re.compile(r"[A-Za-z0-9]+")
+WORDS = re.compile(r"[+/_=-]*+(?:(?:[A-Z]++|[A-Z]?[a-z]++)(?:[+/_=-]++|\Z))*+")
+PART_LENGTH, REST_LENGTH = 8, 4
 PLACEHOLDER = "[secret]"
 
 
@@ -66,26 +70,79 @@ def known_identifier(value: str) -> bool:
         return True
     if DIGEST.fullmatch(value) and len(value) in DIGEST_LENGTHS:
         return True
+    # Letters of one case have the form of a name whatever they are; their tokens tell.
+    if LETTERS.fullmatch(value):
+        return False
+    if WORDS.fullmatch(value):
+        return True
     # A name has few changes between cases and digits for its length.
     changes = sum(a.islower() != b.islower() or a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))
     return bool(IDENTIFIER.fullmatch(value)) and 5 * changes < len(value)
 
 
+def is_random(value: str, path: str, ratio: float) -> bool:
+    """Few characters per token."""
+    return len(value) < ratio * len(encoding(path).encode_ordinary(value))
+
+
 def random_strings(text: str, path: str, ratio: float) -> list[tuple[int, int]]:
+    """Runs of key characters that are random as a whole, else their random parts between separators."""
     found = []
     for match in CANDIDATE.finditer(text):
         value = match[0].strip("=-_/+")
-        letters = re.sub("[^A-Za-z]", "", value)
-        mixed = any(c.isdigit() for c in value) and bool(letters)
-        mixed |= not (letters.islower() or letters.isupper() or letters.istitle())
-        if len(value) < KEY_LENGTH or not mixed or known_identifier(value):
+        if len(value) < KEY_LENGTH:
             continue
-        if len(value) < ratio * len(encoding(path).encode_ordinary(value)):
-            start = match.start() + match[0].index(value)
+        start = match.start() + match[0].index(value)
+        if not known_identifier(value) and is_random(value, path, ratio):
             found.append((start, start + len(value)))
+        else:
+            found += [(start + a, start + b) for a, b in random_parts(value, path, ratio)]
     return found
 
 
+def random_parts(value: str, path: str, ratio: float) -> list[tuple[int, int]]:
+    """The places of neighbouring parts of ``value`` that are random together, so that an ordinary
+    prefix, suffix or path doesn't hide a secret, nor a separator inside one its length."""
+    if UUID.fullmatch(value) or NUMBERS.fullmatch(value) or len(value) < KEY_LENGTH:
+        return []
+    parts = [(m.start(), m.end()) for m in PART.finditer(value)]
+    if len(parts) < 2:
+        return []
+    # Characters that a random string of as many tokens would have to spare; ordinary words are below nothing.
+    spare = [ratio * len(encoding(path).encode_ordinary(value[a:b])) - (b - a) for a, b in parts]
+    found, k = [], 0
+    while k < len(parts):
+        total, best, last = 0.0, 0.0, None
+        for j in range(k, len(parts)):
+            total += spare[j]
+            if total <= 0:
+                break
+            if total > best:
+                best, last = total, j
+        if last is None:
+            k += 1
+            continue
+        # Paths of short words have many tokens too, but no long part that has.
+        long = any(b - a >= PART_LENGTH and x > 0 for (a, b), x in zip(parts[k : last + 1], spare[k : last + 1]))
+        for a, b in [(parts[k][0], parts[last][1])] * long + parts[k : last + 1]:
+            if b - a >= KEY_LENGTH and not known_identifier(value[a:b]) and is_random(value[a:b], path, ratio):
+                if not found or found[-1][1] <= a:
+                    found.append((a, b))
+        k = last + 1
+    return found
+
+
+def uncovered(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the sorted ``spans`` leave of a run."""
+    left = []
+    for a, _, b in spans:
+        if b > start and a < end:
+            if a > start:
+                left.append((start, a))
+            start = max(start, b)
+    return [*left, (start, end)] if start < end else left
+
+
 def spans_of(text: str, path: str, ratio: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Start, kind (a place in KINDS) and end of all secrets, in order; positions in code points."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LENGTH]
@@ -93,8 +150,14 @@ def spans_of(text: str, path: str, ratio: float = CHARS_PER_TOKEN) -> list[tuple
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(spans)
     for start, end in random_strings(text, path, ratio):
-        if not any(start < e and s < end for s, _, e in base):
-            spans.append((start, 3, end))
+        left = uncovered(start, end, base)
+        if left != [(start, end)]:
+            # Names before or behind a secret are no part of it.
+            left = [
+                (a, b) for a, b in left
+                if b - a >= REST_LENGTH and not WORDS.fullmatch(text[a:b]) and is_random(text[a:b], path, ratio)
+            ]
+        spans += [(a, 3, b) for a, b in left]
     return sorted(spans)
 
 
@@ -140,8 +203,8 @@ def find_secrets(
 
     Null and empty texts have no spans; null ids are kept; repeated rows give repeated results; an
     empty table gives an empty one. Other columns are ignored, whatever their names. Texts are
-    scanned whole. Matches of a kind don't overlap; different kinds can, but a random string is
-    reported only where nothing else was found.
+    scanned whole. Matches of a kind don't overlap; different kinds can, but of a random string only
+    what nothing else covers is reported.
     """
     path = path or default_vocabulary()
     source = texts_of(df, id_col, text_col)

@@ -124,6 +124,22 @@ def test_random_strings_and_redaction(odd, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("prefix", ["", "authorization_header=", "com/services/webhooks/incoming/"])
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz"])
+def test_random_strings_behind_an_ordinary_prefix(prefix, alphabet):
+    generator, missed = np.random.default_rng(3), 0
+    for _ in range(200):
+        text = prefix + "".join(generator.choice(list(alphabet), 24))
+        spans = secrets.spans_of(text, secrets.default_vocabulary())
+        missed += not any(start <= len(prefix) and end == len(text) for start, _, end in spans)
+    assert missed <= (20 if len(alphabet) == 26 else 4)
+
+
+def test_the_rest_of_a_random_run_is_kept():
+    text = "Zq8Rt2Lw9Xv4Bn7Km3Pj6/token=abcdefgh"
+    assert secrets.spans_of(text, secrets.default_vocabulary()) == [(0, 3, 22), (22, 0, len(text))]
+
+
 def test_words_and_names_are_no_secrets():
     path = secrets.default_vocabulary()
     for text in ("configuration_manager_2024_final", "https//example/path/to/some/long/page", "12345678901234567890123", "TheQuickBrownFoxJumpsOverTheLazyDog"):
