@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tests.conftest import COMPLETE
@@ -241,3 +242,16 @@ def test_boosted_trees_give_labels_but_no_probabilities(spark, built):
     assert model.predict(test).where(F.col("y_pred").isin(*SEVERITIES)).count() == 15
     with pytest.raises(NotImplementedError, match="does not support predict_proba"):
         model.predict_proba(test)
+
+
+def test_forest_rows_keep_the_share_of_a_common_answer_pattern(spark):
+    assembler = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    rows = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 1.0, id * 1.0) as a", "if(id % 3 = 0, 2.0, id % 7 * 1.0) as b", "if(id % 3 = 0, 0, int(id % 2)) as label"
+    )
+    prepared = assembler.transform(rows).select("features", "label")
+    few = [(tuple(r["features"].toArray()), r["label"]) for r in training.bounded_rows(prepared, 1000).collect()]
+    assert len(few) == 1000
+    assert few.count(((1.0, 2.0), 0)) == pytest.approx(333, abs=1)
+    assert sum(label for _, label in few) == pytest.approx(333, abs=1)
+    assert training.bounded_rows(prepared, 40_000).count() == 30_000
