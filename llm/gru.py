@@ -13,8 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN = 16
-TRAIN_LANES, TRAIN_STEPS = 384, 16
+HIDDEN = 24
+TRAIN_LANES, TRAIN_STEPS = 64, 20
 SCORE_LANES, SCORE_STEPS = 512, 64
 END = 1
 
@@ -164,13 +164,15 @@ class Network:
 
 
 class Trainer:
-    """Adam over windows of lanes."""
+    """Adam over windows of lanes. Rows of the word tables move only in windows that touch them, so the
+    work of a window doesn't follow the vocabulary."""
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
         self.network = Network({k: v.copy() for k, v in weights.items()})
         self.rate, self.turn, self.tokens = rate, 0, 0
         self.mean = {k: np.zeros_like(v) for k, v in weights.items()}
         self.square = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.gradients = {k: np.zeros_like(v) for k, v in weights.items()}
 
     def learn(self, documents: list[np.ndarray]) -> None:
         """One pass over the documents."""
@@ -182,7 +184,7 @@ class Trainer:
 
     def window(self, lanes: Lanes, at: np.ndarray, inside: np.ndarray, state: np.ndarray) -> np.ndarray:
         net, w = self.network, self.network.w
-        gradients = {k: np.zeros_like(v) for k, v in w.items()}
+        gradients = self.gradients
         states = np.empty((*at.shape, net.hidden), np.float32)
         inputs, fresh = lanes.inputs[at], lanes.fresh[at]
         kept = []
@@ -190,7 +192,8 @@ class Trainer:
             *parts, state = net.step(inputs[t], fresh[t], state)
             kept.append(parts)
             states[t] = state
-        _, by_output = net.output(states[inside], lanes.targets[at[inside]], gradients)
+        targets = lanes.targets[at[inside]]
+        _, by_output = net.output(states[inside], targets, gradients)
         by_state = np.zeros_like(states)
         by_state[inside] = by_output
         by_input = np.empty((*at.shape, 3 * net.hidden), np.float32)
@@ -214,12 +217,18 @@ class Trainer:
         self.tokens += many
         self.turn += 1
         scale = 1 / max(1, many)
-        norm = np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in gradients.values()))
-        scale *= min(1.0, 1.0 / max(norm, 1e-9))
+        own = (np.unique(targets // net.width)[:, None] * net.width + np.arange(net.width)).reshape(-1)
+        touched = {"input": met, "word": own, "word_bias": own}
+        found = {k: g[touched.get(k, slice(None))] * np.float32(scale) for k, g in gradients.items()}
+        norm = np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in found.values()))
+        clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         rate = self.rate * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn)
-        for k, g in gradients.items():
-            g *= scale
-            self.mean[k] += 0.1 * (g - self.mean[k])
-            self.square[k] += 0.001 * (g * g - self.square[k])
-            w[k] -= rate * self.mean[k] / (np.sqrt(self.square[k]) + 1e-6)
+        for k, g in found.items():
+            rows = touched.get(k, slice(None))
+            g *= clip
+            mean = self.mean[k][rows] * np.float32(0.9) + np.float32(0.1) * g
+            square = self.square[k][rows] * np.float32(0.999) + np.float32(0.001) * g * g
+            self.mean[k][rows], self.square[k][rows] = mean, square
+            w[k][rows] -= np.float32(rate) * mean / (np.sqrt(square) + np.float32(1e-6))
+            gradients[k][rows] = 0
         return state

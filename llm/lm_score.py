@@ -1,8 +1,9 @@
 """Log-likelihood of whole documents under a recurrent language model trained on the corpus.
 
-Words are counted over all training documents by their 64-bit hash. The most frequent ones are the
-vocabulary of the recurrent model (``llm.gru``); every other word is its rare-word token, times the
-smoothed share of the word among rare words, so the model gives every possible text a probability.
+Words are counted over all training documents by their 64-bit hash. Those that occur twice, up to the
+``FREQUENT`` most frequent, are the vocabulary of the recurrent model (``llm.gru``), whose classes grow
+with it; every other word is its rare-word token, times the smoothed share of the word among rare
+words, so the model gives every possible text a probability. Words met once train the rare-word token.
 
 The model first learns from a bounded number of documents in one task (``WARM_DOCUMENTS``, smallest
 hash of the id first). From there every task goes over all its training documents once, and the
@@ -28,7 +29,7 @@ from llm.hashing import word_hashes
 from llm.stages import remainder, slices, written
 
 FOLDS, HELD_OUT = 7, 2
-CLASSES, CLASS_WIDTH = 32, 32
+LEAST_COUNT = 2
 RARE = 0
 FREQUENT = 65_536
 WARM_DOCUMENTS = 1_500
@@ -76,11 +77,18 @@ def frequent_words(counts: DataFrame) -> Words:
     top = counts.where(f"word != {END_KEY}").orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
     keys = top["word"].to_numpy(np.int64).view(np.uint64)
     numbers = np.arange(len(keys)) + END + 1
-    numbers[numbers >= CLASSES * CLASS_WIDTH] = RARE
+    numbers[top["n"].to_numpy(np.int64) < LEAST_COUNT] = RARE
     order = np.argsort(keys, kind="stable")
     return Words(keys[order], top["n"].to_numpy(np.int64)[order], numbers[order])
 
 
+def shape(words: Words) -> tuple[int, int]:
+    """Numbers and classes of the model: about as many classes as words in each."""
+    many = int(words.numbers.max(initial=END)) + 1
+    classes = int(np.ceil(np.sqrt(many)))
+    return classes * int(np.ceil(many / classes)), classes
+
+
 def documents(words: Words, texts: list[str | None]) -> list[np.ndarray]:
     found, bounds = word_hashes(texts)
     codes = words.codes(found)
@@ -115,7 +123,7 @@ def averaged_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]
         for batch in slices(batches, most_bytes=TRAIN_BYTES):
             trainer.learn(documents(words, batch["text"].to_pylist()))
         if trainer.tokens:
-            parts = np.array_split(packed(trainer.network.w).astype(np.float64) * trainer.tokens, BLOCKS)
+            parts = np.array_split(packed(trainer.network.w) * np.float32(trainer.tokens), BLOCKS)
             salt = TaskContext.get().partitionId() % SALTS
             yield pa.RecordBatch.from_arrays(
                 [
@@ -128,8 +136,8 @@ def averaged_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]
             )
 
     def added(group):
-        total = np.sum([np.frombuffer(p) for p in group["part"]], axis=0)
-        return group.head(1).assign(tokens=group["tokens"].sum(), part=[total.tobytes()])
+        total = np.sum([np.frombuffer(p, np.float32) for p in group["part"]], axis=0, dtype=np.float64)
+        return group.head(1).assign(tokens=group["tokens"].sum(), part=[total.astype(np.float32).tobytes()])
 
     fields = "block int, salt int, tokens long, part binary"
     parts = docs.select("text").mapInArrow(train, fields)
@@ -138,7 +146,7 @@ def averaged_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]
     rows = sorted(parts.collect(), key=lambda row: row["block"])
     if not rows:
         return start
-    flat = np.concatenate([np.frombuffer(row["part"]) / row["tokens"] for row in rows])
+    flat = np.concatenate([np.frombuffer(row["part"], np.float32) / row["tokens"] for row in rows])
     return unpacked(flat, start)
 
 
@@ -146,7 +154,7 @@ def scored(docs: DataFrame, words: Words, weights: dict[str, np.ndarray]) -> Dat
     """Per row: number, doc_id, held_out, n_tokens, n_known and log sums over frequent words, the
     recurrent model's log10, and the hashes of the words to be looked up."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((words, weights))  # a fixed 2 MB
+    sent = spark.sparkContext.broadcast((words, weights))  # 26 MB at most
     rest = ["doc_id", "held_out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +219,7 @@ def log_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = words.numbers != RARE
     rare_tokens = tokens - ends - int(words.counts[named].sum())
     rare_words = distinct - (ends > 0) - int(named.sum())
-    start = start_weights(CLASSES * CLASS_WIDTH, CLASSES)
+    start = start_weights(*shape(words))
     weights = averaged_weights(learned, words, warm_weights(learned, words, start))
     rows = written(scored(docs, words, weights), "scored")
     looked_up = (

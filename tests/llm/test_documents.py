@@ -236,6 +236,13 @@ def test_language_model_query(spark, documents):
     assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
 
 
+def test_vocabulary_of_the_model_follows_the_words_counted(spark):
+    words = lm_score.frequent_words(spark.range(1, 6001).selectExpr("id as word", "if(id <= 5000, 3L, 1L) as n"))
+    assert (words.numbers != lm_score.RARE).sum() == 5000
+    numbers, classes = lm_score.shape(words)
+    assert numbers > words.numbers.max() and numbers % classes == 0 and classes >= 70
+
+
 def test_language_model_on_odd_rows(odd, empty):
     rows = lm_score.log_likelihood(odd).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
