@@ -39,7 +39,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 NUMBERS = re.compile(r"[0-9+/_=-]+")
-IDENTIFIER = re.compile(r"[A-Za-z]+[0-9]*([_/-]+[A-Za-z]*[0-9]*)*|[a-z]+([A-Z][a-z]+)+[0-9]*")
+# Possessive throughout: a run of separators has one way to match, however long it is.
+IDENTIFIER = re.compile(r"[A-Za-z]++[0-9]*+(?:[_/-]++[A-Za-z]*+[0-9]*+)*+|[a-z]++(?:[A-Z][a-z]++)++[0-9]*+")
 LETTERS = re.compile(r"[a-z]+|[A-Z]+")
 PART = re.compile(r"[A-Za-z0-9]+")
 WORDS = re.compile(r"[+/_=-]*+(?:(?:[A-Z]++|[A-Z]?[a-z]++)(?:[+/_=-]++|\Z))*+")

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -146,6 +147,23 @@ def test_words_and_names_are_no_secrets():
         assert secrets.random_strings(text, path, secrets.CHARS_PER_TOKEN) == []
 
 
+@pytest.mark.parametrize("separator", list("-_/+="))
+def test_long_runs_of_separators_take_linear_time(separator):
+    path = secrets.default_vocabulary()
+    secrets.encoding(path)
+    for head in ("Item1", "Table2", "aB", "z9"):
+        for run in (separator * 10_000, f"a{separator}" * 5_000, f"{separator}9" * 5_000):
+            text = f"{head}{run}+colum9x"
+            start = time.perf_counter()
+            for pattern in (secrets.IDENTIFIER, secrets.WORDS, secrets.UUID, secrets.DIGEST, secrets.NUMBERS, secrets.LETTERS):
+                pattern.fullmatch(text)
+            for pattern in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.CANDIDATE, secrets.PART):
+                list(pattern.finditer(text))
+            assert time.perf_counter() - start < 0.1
+            secrets.scan([text], path, secrets.CHARS_PER_TOKEN)
+            assert time.perf_counter() - start < 1
+
+
 def test_tail_is_the_binomial_distribution(spark):
     cases = [(0, 10), (3, 1000), (1, 400), (7, 5000), (40, 20000), (10**6 * 8, 10**9), (200, 20000)]
     frame = spark.createDataFrame(cases, "k long, n long").selectExpr("k", "n", quality_rules.tail("k", "n", 0.01) + " as p")
