@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import ann, bpe, lm_score, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity
+from llm import ann, bpe, decontamination, lm_score, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity
 from llm.stages import table
 
 TOKEN_LIMIT = 4096
@@ -64,6 +64,19 @@ def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(documents, table(spark, folder, "benchmark"), keep_text=False)
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -75,6 +88,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_score": op9_lm_score,
     "op10_quality_model": op10_quality_model,
+    "op11_decontamination": op11_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_decontamination": r"""
+WITH item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+),
+win AS (
+  SELECT DISTINCT item, least(len(words), 10) AS length,
+         array_to_string(words[first : first + least(len(words), 10) - 1], ' ') AS content
+  FROM item, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS places(first)
+  WHERE len(words) > 0
+),
+doc AS (
+  SELECT row_number() OVER () AS number, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM documents
+),
+spot AS (
+  SELECT number, length, first, array_to_string(words[first : first + length - 1], ' ') AS content
+  FROM doc, (SELECT DISTINCT length FROM win) AS lengths, unnest(range(1, len(words) - length + 2)) AS places(first)
+),
+hit AS (SELECT number, spot.length, first, item FROM spot JOIN win USING (length, content)),
+covered AS (
+  SELECT number, count(DISTINCT place) AS n_hit
+  FROM (SELECT DISTINCT number, first, length FROM hit), unnest(range(first, first + length)) AS places(place)
+  GROUP BY number
+),
+met AS (
+  SELECT number, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT number, item FROM hit) GROUP BY number
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (number) LEFT JOIN met USING (number)
+""",
+}
