@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import ann, bpe, decontamination, lm_score, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity
+from llm import ann, bpe, decontamination, lm_score, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity, whitening
 from llm.stages import table
 
 TOKEN_LIMIT = 4096
@@ -77,6 +77,20 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    each = F.arrays_zip(F.col("whitened"), F.col("explained"))
+    return white.select("row.vec_id", "n", "deviation", "identity_error", F.posexplode(each).alias("place", "of")).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        F.expr("try_cast(deviation as long)").alias("deviation"),
+        "of.whitened",
+        "of.explained",
+        "identity_error",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -89,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_quality_model": op10_quality_model,
     "op11_decontamination": op11_decontamination,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {
