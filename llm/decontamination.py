@@ -115,14 +115,19 @@ def find_leaks(
         F.collect_set(F.when(hit, F.col("items"))).alias("sets"),
     )
     covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["first"], h["last"])))
-    each = each.select("row", "n_words", "sets", F.sort_array(F.array_distinct(covered)).alias("covered"))
-    # Runs of covered words; ``covered`` is sorted and has no repeats.
-    starts = F.expr("filter(covered, (p, i) -> i = 0 or get(covered, i - 1) < p - 1)")
-    ends = F.expr("filter(covered, (p, i) -> i = size(covered) - 1 or get(covered, i + 1) > p + 1)")
-    each = each.withColumn("spans", F.arrays_zip(starts.alias("first"), ends.alias("last")))
+    each = each.select(
+        "row", "n_words", "sets", (F.size("hits") > 0).alias("contaminated"),
+        F.sort_array(F.array_distinct(covered)).alias("covered"),
+    )
+    # Runs of covered words. The array is bound once (c), so that no rewriting evaluates it for each element.
+    runs = F.expr(
+        "transform(array(covered), c -> arrays_zip("
+        "filter(c, (p, i) -> i = 0 or get(c, i - 1) < p - 1), filter(c, (p, i) -> i = size(c) - 1 or get(c, i + 1) > p + 1)))[0]"
+    )
+    each = each.withColumn("spans", F.transform(runs, lambda r: F.struct(r["0"].alias("first"), r["1"].alias("last"))))
     n_hit = F.size("covered").cast("long")
     items = F.array_sort(F.array_distinct(F.flatten("sets")))
-    return each.select("row", "n_words", "spans", n_hit.alias("n_hit"), items.alias("items"), (F.size("spans") > 0).alias("contaminated"))
+    return each.select("row", "n_words", "spans", n_hit.alias("n_hit"), items.alias("items"), "contaminated")
 
 
 def without_documents(df: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
