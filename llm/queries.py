@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import ann, bpe, decontamination, lm_score, neardup, packing, quality_model, quality_rules, secrets, token_counts, toxicity, whitening
+from llm import ann, bpe, decontamination, lm_score, neardup, packing, quality_model, quality_rules, secrets, spelling, token_counts, toxicity, whitening
 from llm.stages import table
 
 TOKEN_LIMIT = 4096
 QUERY_STEP = 20
+SPOIL = 199
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +92,10 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(table(spark, folder, "documents"), spoil=SPOIL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_model": op10_quality_model,
     "op11_decontamination": op11_decontamination,
     "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {

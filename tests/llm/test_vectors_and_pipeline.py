@@ -92,5 +92,5 @@ def test_pipeline_on_odd_rows(spark, odd, empty):
 
 def test_registered():
     names = registry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert names["pipeline"] is corpus_pipeline.run
