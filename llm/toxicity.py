@@ -5,6 +5,9 @@ were mined from the labelled training rows for languages and words that no list
 model explains when voters fire together: given the hidden class they fire independently, except
 for pairs with a correlation of their own.
 
+Mined stems are beginnings of words with a number of different words: one insult may be an accident
+where three forms of it in one text are not, so each beginning is tested for one, two and three.
+
 * Means and covariances of all voters are summed over the whole training table.
 * The hidden class makes the covariance of two voters the product of their strengths times the
   variance of the class; strengths come from fitting that product off the diagonal. Pairs that stay
@@ -58,9 +61,14 @@ CENSORED = re.compile(r"\b\w{1,3}[*@#$]{2,}\w{0,3}\b")
 PATTERNS = ["two_hits", "two_themes", "dense", "address", "censored", "wish"]
 NEAR_WORDS = 4
 STEM_LENGTHS = range(4, 9)
-MOST_STEMS = 100
-LEAST_STEM_ROWS = 4
+#: So many different words with one beginning, or more, are a voter of their own.
+STEM_WORDS = (1, 2, 3)
+#: Labelled toxic rows that a mined voter fires on: so many, and one in so many of all of them.
+LEAST_STEM_ROWS, STEM_SHARE = 4, 200
 LEAST_STEM_ODDS = 20.0
+#: A clean row counts as much against a beginning as so many toxic rows count for it.
+CLEAN_WEIGHT = 5
+LEAST_WORD_ROWS = 5
 BITS = 18
 SAMPLE_ROWS = 5_000
 FOLDS, HELD_OUT = 3, 1
@@ -115,18 +123,34 @@ def beginnings(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: i
     return eight[starts[rows]] & MASKS[size], rows
 
 
+def different_words(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, text_of: np.ndarray):
+    """Starts, lengths and texts of the words, each once for each text."""
+    keys = hashes(raw, starts, lengths)
+    order = np.lexsort((keys, text_of))
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (text_of[order[1:]] != text_of[order[:-1]])
+    rows = order[new]
+    return starts[rows], lengths[rows], text_of[rows]
+
+
 class Voters:
-    """The voters: lexicons, patterns, and mined stems (numbers whose bytes are the stem)."""
+    """The voters: lexicons, patterns, and mined stems (numbers whose bytes are the stem, with a least number of different words)."""
 
-    def __init__(self, stems: list[int]):
-        self.names = [*LEXICONS, *PATTERNS, *(f"stem {s.to_bytes(8, 'little').rstrip(bytes(1))!r}" for s in stems)]
-        self.derived = np.array([n in ("two_hits", "two_themes", "dense", "address") for n in self.names])
-        self.stems = {}
+    def __init__(self, stems: list[tuple[int, int]]):
+        texts = [f"stem {s.to_bytes(8, 'little').rstrip(bytes(1))!r} x {least}" for s, least in stems]
+        self.names = [*LEXICONS, *PATTERNS, *texts]
+        # Several words with a beginning follow from one, and from two.
         first = len(LEXICONS) + len(PATTERNS)
+        self.derived = np.array([n in ("two_hits", "two_themes", "dense", "address") for n in self.names])
+        self.derived[first:] = [least > 1 for _, least in stems]
+        self.stems = []
         for size in STEM_LENGTHS:
-            own = sorted((s, first + k) for k, s in enumerate(stems) if (s.bit_length() + 7) // 8 == size)
-            if own:
-                self.stems[size] = np.array([s for s, _ in own], np.uint64), np.array([k for _, k in own])
+            for least in STEM_WORDS:
+                own = sorted(
+                    (s, first + k) for k, (s, n) in enumerate(stems) if n == least and (s.bit_length() + 7) // 8 == size
+                )
+                if own:
+                    self.stems.append((size, least, np.array([s for s, _ in own], np.uint64), np.array([k for _, k in own])))
 
     def votes(self, texts: list[str | None]) -> np.ndarray:
         """A row of 0 and 1 for every text."""
@@ -155,57 +179,69 @@ class Voters:
             for k, key in enumerate(wish[1:], 1):
                 at = at[(keys[at + k] == key) & (text_of[at + k] == text_of[at])]
             fired[text_of[at], many + 5] = 1
-        for size, (stems, columns) in self.stems.items():
+        if self.stems:
+            starts, lengths, text_of = different_words(raw, starts, lengths, text_of)
+        for size, least, stems, columns in self.stems:
             values, rows = beginnings(raw, starts, lengths, size)
             hit, place = found_in(stems, values)
-            fired[text_of[rows[hit]], columns[place]] = 1
+            cells = text_of[rows[hit]] * len(self.names) + columns[place]
+            met, count = np.unique(cells, return_counts=True)
+            fired.reshape(-1)[met[count >= least]] = 1
         return fired
 
 
-def mined_stems(rows: DataFrame) -> list[int]:
-    """Beginnings of words that are common in toxic rows and rare in others, of ``rows`` (text, label).
+def mined_stems(rows: DataFrame) -> list[tuple[int, int]]:
+    """Beginnings of words, with a number of different words, common in toxic rows and rare in others, of ``rows`` (text, label).
 
-    Rows with each beginning are counted by class over all rows; at most MOST_STEMS come back. Of
-    beginnings that contain each other, the one with most toxic rows is taken.
+    Rows with each beginning and number are counted by class over all rows. Of beginnings that contain each
+    other, the one that parts the classes best is taken for each number. What passes has its share of the toxic
+    rows, so the result is bounded by the different words of a row, not by the rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=4 << 20):
             labels = batch["label"].to_numpy()
             raw, starts, lengths, bounds = letters(batch["text"].to_pylist())
-            text_of = np.repeat(np.arange(len(labels)), np.diff(bounds))
+            starts, lengths, text_of = different_words(raw, starts, lengths, np.repeat(np.arange(len(labels)), np.diff(bounds)))
             for size in STEM_LENGTHS:
                 values, words = beginnings(raw, starts, lengths, size)
                 order = np.lexsort((text_of[words], values))
                 values, texts = values[order], text_of[words][order]
                 new = np.ones(len(values), bool)
                 new[1:] = (values[1:] != values[:-1]) | (texts[1:] != texts[:-1])
-                values, toxic = values[new], labels[texts[new]]
-                stems, first = np.unique(values, return_index=True)
-                ends = np.append(first[1:], len(values))
-                sums = np.concatenate([[0], np.cumsum(toxic)]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(stems.view(np.int64)), pa.array(ends - first), pa.array(sums[ends] - sums[first])],
-                    ["stem", "rows", "toxic"],
-                )
+                at = np.flatnonzero(new)
+                count, values, toxic = np.diff(np.append(at, len(values))), values[at], labels[texts[at]]
+                for least in STEM_WORDS:
+                    many = count >= least
+                    stems, first = np.unique(values[many], return_index=True)
+                    ends = np.append(first[1:], int(many.sum()))
+                    sums = np.concatenate([[0], np.cumsum(toxic[many])]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(stems.view(np.int64)), pa.array(np.full(len(stems), least, np.int32)), pa.array(ends - first),
+                         pa.array(sums[ends] - sums[first])],
+                        ["stem", "least", "rows", "toxic"],
+                    )
 
     totals = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     toxic, clean = int(totals[1]), int(totals[0] - totals[1])
     if not toxic or not clean:
         return []
-    counts = rows.select("text", "label").mapInArrow(run, "stem long, rows long, toxic long").groupBy("stem").agg(
+    counts = rows.select("text", "label").mapInArrow(run, "stem long, least int, rows long, toxic long").groupBy("stem", "least").agg(
         F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic")
     )
-    least = max(LEAST_STEM_ROWS, toxic // 500)
+    enough = max(LEAST_STEM_ROWS, toxic // STEM_SHARE)
     odds = (F.col("toxic") / toxic) / ((F.col("rows") - F.col("toxic") + 1) / clean)
-    best = counts.where((F.col("toxic") >= least) & (odds >= LEAST_STEM_ODDS))
-    taken: list[bytes] = []
-    # Nested beginnings are at most five to a stem, longer ones of a stem a few dozen.
-    for row in best.orderBy(F.desc("toxic"), F.length(F.hex("stem")), "stem").limit(50 * MOST_STEMS).collect():
-        stem = int(row["stem"]).to_bytes(8, "little", signed=True).rstrip(b"\0")
-        if not any(stem.startswith(t) or t.startswith(stem) for t in taken):
-            taken.append(stem)
-    return [int.from_bytes(t, "little") for t in taken[:MOST_STEMS]]
+    passed = counts.where((F.col("toxic") >= enough) & (odds >= LEAST_STEM_ODDS)).collect()
+    found = [(int(r["stem"]).to_bytes(8, "little", signed=True).rstrip(b"\0"), r["least"], r["toxic"], r["rows"]) for r in passed]
+    taken: set[tuple[bytes, int]] = set()
+    # Beginnings of what is taken, so that a longer or shorter one is seen at once.
+    inside: set[tuple[bytes, int]] = set()
+    for stem, least, toxic_rows, all_rows in sorted(found, key=lambda f: ((CLEAN_WEIGHT + 1) * -f[2] + CLEAN_WEIGHT * f[3], len(f[0]), f)):
+        starts = {(stem[:k], least) for k in range(STEM_LENGTHS[0], len(stem) + 1)}
+        if (stem, least) not in inside and taken.isdisjoint(starts):
+            taken.add((stem, least))
+            inside |= starts
+    return sorted((int.from_bytes(stem, "little"), least) for stem, least in taken)
 
 
 class LabelModel(NamedTuple):
@@ -354,8 +390,8 @@ def linear(votes: np.ndarray, found: np.ndarray, ends: np.ndarray, target: np.nd
     many = votes.shape[1]
     model = [np.zeros(many), np.zeros(1 << BITS), np.zeros(1)]
     squares = [np.full(many, 1e-6), np.full(1 << BITS, 1e-6), np.full(1, 1e-6)]
-    # Words of very few sample rows stay out: they tell more about those rows than about others.
-    often = np.bincount(found, minlength=1 << BITS) >= max(5, len(target) // 200)
+    # Words of very few sample rows stay out, whatever the sample: they tell more about those rows than about others.
+    often = np.bincount(found, minlength=1 << BITS) >= LEAST_WORD_ROWS
     scale = 1 / np.sqrt(np.maximum(np.diff(ends), 1))
     row_of = np.repeat(np.arange(len(target)), np.diff(ends))
     for _ in range(PASSES):
@@ -396,7 +432,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[Vote
     checked = texts_of_keys(docs, keys, 2 * most).select("text", "target")
     votes_, found, ends, given = examples(checked, voters)
     if len(set(given.tolist())) == 2:
-        slope, offset = calibrated(model.margins(votes_, found, ends), given, np.ones(len(given)))
+        # Both classes weigh the same, so a score above one half is likelier toxic than not before the
+        # share of toxic rows is known; that share differs between languages, which no score may read.
+        toxic_share = given.mean()
+        weight = np.where(given == 1, 0.5 / toxic_share, 0.5 / (1 - toxic_share))
+        slope, offset = calibrated(model.margins(votes_, found, ends), given, weight)
         model = model._replace(slope=slope, offset=offset)
     return voters, model
 
