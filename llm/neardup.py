@@ -10,9 +10,11 @@
 3. Every bucket links its classes to one head, in the form of a star: the class with most company in
    all its buckets, which in a group of copies is the text they were made from. Edges are confirmed
    on the full sets, and components are formed.
-4. Where a bucket still holds several components, pairs across them are confirmed too, each in the
-   first bucket that both share. Inside a component more links change nothing, so no link between
-   different texts is lost, and copies are not expanded into pairs.
+4. Where a bucket still holds several components, they are joined in rounds, as in Boruvka's spanning
+   trees: first each component offers its most promising pair to another one, then each class its next
+   most promising ones, more of them every round, until no class has any left. Inside a component more
+   links change nothing, so a pair whose components have met is never tried. No link between different
+   texts is lost, and only refused pairs cost more than a spanning tree.
 5. Components come from alternating large-star and small-star steps over the confirmed links.
 
 Hashes have 64 bits; a set with a false member is less likely than a hardware fault.
@@ -24,8 +26,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.hashing import MIX, mixed, word_hashes
@@ -42,6 +45,7 @@ SKETCH_LONGS = SKETCH_BINS // 32
 MOST_DIFFERENT = 142
 LEAST_SKETCHED = 64
 BROADCAST_KEYS = 500_000
+BLOCK_ROWS = 2_048
 
 
 @lru_cache
@@ -225,8 +229,121 @@ def promising(x: str, y: str) -> str:
     return f"{sizes} and (least({x}.n, {y}.n) < {LEAST_SKETCHED} or {' + '.join(terms)} <= {MOST_DIFFERENT})"
 
 
+def sketch_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bins in which sketches differ, for every row of ``x`` and of ``y``."""
+    apart = np.zeros((len(x), len(y)), np.uint16)
+    for k in range(SKETCH_LONGS):
+        z = x[:, k : k + 1] ^ y[:, k]
+        apart += np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555))
+    return apart
+
+
+def best_offers(asking: pd.DataFrame, offered: pd.DataFrame, take: int) -> pd.DataFrame:
+    """The nearest ``take`` promising partners of each asking class behind its cursor, in one pair of blocks."""
+    def sketch(rows):
+        return np.frombuffer(b"".join(rows["packed"]), np.uint64).reshape(-1, SKETCH_LONGS)
+
+    columns = ["class", "component", "first", "size", "n"]
+    names, now, origin, size, n = (offered[c].to_numpy() for c in columns)
+    theirs, found = sketch(offered), [np.zeros((0, 3), np.int64)]
+    for start in range(0, len(asking), 256):
+        own = asking.iloc[start : start + 256]
+        name, at, source, weight, m, after, after_name = (
+            own[c].to_numpy()[:, None] for c in [*columns, "after", "after_class"]
+        )
+        apart = sketch_distances(sketch(own), theirs).astype(np.int64)
+        # A pair is offered by the class whose first component was smaller, and by it alone.
+        fits = (at != now) & ((weight < size) | (weight == size) & (source < origin))
+        fits &= 100 * np.minimum(m, n) >= SIMILARITY_PERCENT * np.maximum(m, n)
+        fits &= (apart <= MOST_DIFFERENT) | (np.minimum(m, n) < LEAST_SKETCHED)
+        fits &= (apart > after) | (apart == after) & (names > after_name)
+        row, column = np.nonzero(fits)
+        order = np.lexsort((names[column], apart[row, column], row))
+        row, column = row[order], column[order]
+        few = np.arange(len(row)) - np.searchsorted(row, row) < take
+        row, column = row[few], column[few]
+        found.append(np.stack([name[row, 0], names[column], apart[row, column]], 1))
+    return pd.DataFrame(np.concatenate(found), columns=["class", "other", "apart"])
+
+
+def offers(open_rows: DataFrame, asking: DataFrame, take: int) -> DataFrame:
+    """class, other and apart: up to ``take`` partners of each class of ``asking``, the most promising first.
+
+    Members of a bucket are dealt into numbered blocks on either side, so that no bucket is one task;
+    from a pair of blocks at most ``take`` rows leave for each class.
+    """
+    both = open_rows.join(asking.select("class", "after", "after_class"), "class", "left")
+    blocks = both.groupBy("bucket").agg(
+        F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("c_blocks"),
+        F.ceil(F.count("after") / BLOCK_ROWS).cast("int").alias("q_blocks"),
+    ).where("q_blocks > 0")
+    sized = both.join(blocks, "bucket")
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("class"), F.col(f"{mine}_blocks")).cast("int")
+        spread = rows.withColumn(f"{mine}_block", block).withColumn(
+            f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+        )
+        return spread.select(*[F.col(c).alias(c) for c in (
+            "bucket", "q_block", "c_block", "class", "component", "first", "size", "n", "packed", "after", "after_class"
+        )])
+
+    keys = ["bucket", "q_block", "c_block"]
+    left, right = dealt(sized.where("after is not null"), "q", "c"), dealt(sized, "c", "q")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        lambda a, b: best_offers(a, b, take), "class long, other long, apart long"
+    ).distinct()
+    turn = F.row_number().over(Window.partitionBy("class").orderBy("apart", "other"))
+    return found.withColumn("turn", turn).where(F.col("turn") <= take).drop("turn")
+
+
+def bridged(members: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """first and component: what the components in shared buckets are called after all links across them."""
+    rows = labelled(members.select("bucket", "class"), groups)
+    split = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    rows = rows.join(split.select("bucket"), "bucket").withColumnRenamed("component", "first")
+    sizes = labelled(sets.select("class"), groups).groupBy("component").agg(F.count("*").alias("size"))
+    rows = rows.join(sizes.withColumnRenamed("component", "first"), "first")
+    rows = written(rows.join(sets.select("class", "n", "packed"), "class"), "open")
+    names = written(rows.select("first", F.col("first").alias("component")).distinct(), "names")
+    asking = written(
+        rows.select("class", F.lit(-1).cast("long").alias("after"), F.lit(0).cast("long").alias("after_class")).distinct(), "asking"
+    )
+    take, alone = 1, True
+    while not asking.isEmpty():
+        now = rows.join(names, "first")
+        several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+        found = written(offers(now.join(several.select("bucket"), "bucket", "left_semi"), asking, take), "offers")
+        origin = rows.select("class", "first").distinct().join(names, "first").select("class", "component")
+        ends = found.join(origin, "class").join(origin.toDF("other", "component2"), "other")
+        if alone:
+            # One pair for each component, its best one; the classes' own turns come after.
+            best = ends.groupBy("component").agg(F.min(F.struct("apart", "class", "other", "component2")).alias("best"))
+            ends = best.select("component", "best.*")
+        pairs = written(ends.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"),
+                                    "component", "component2").dropDuplicates(["a", "b"]), "tried")
+        links = similar(pairs, sets).join(pairs, ["a", "b"]).select(F.col("component").alias("a"), F.col("component2").alias("b"))
+        joined = components(written(links.distinct(), "bridges")).toDF("was", "becomes")
+        names = written(
+            names.join(joined, F.col("component") == F.col("was"), "left").select("first", F.coalesce("becomes", "component").alias("component")),
+            "names",
+        )
+        if not alone:
+            # A class goes on behind its last partner, if it had as many as it was allowed.
+            last = F.max(F.struct("apart", "other")).alias("last")
+            asking = written(
+                found.groupBy("class").agg(F.count("*").alias("k"), last).where(F.col("k") == take).select(
+                    "class", F.col("last.apart").alias("after"), F.col("last.other").alias("after_class")
+                ),
+                "asking",
+            )
+            take *= 4
+        alone = False
+    return names
+
+
 def full_sets(rows: DataFrame) -> DataFrame:
-    """class, n, sketch and shingles (array of hashes) of rows with class and text."""
+    """class, n, sketch (also as bytes) and shingles (array of hashes) of rows with class and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -241,12 +358,13 @@ def full_sets(rows: DataFrame) -> DataFrame:
                     batch["class"],
                     pa.array(sizes),
                     pa.ListArray.from_arrays(pa.array(each), pa.array(sketches.reshape(-1))),
+                    pa.array([row.tobytes() for row in sketches], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["class", "n", "sketch", "shingles"],
+                ["class", "n", "sketch", "packed", "shingles"],
             )
 
-    return rows.select("class", "text").mapInArrow(run, "class long, n long, sketch array<bigint>, shingles array<bigint>")
+    return rows.select("class", "text").mapInArrow(run, "class long, n long, sketch array<bigint>, packed binary, shingles array<bigint>")
 
 
 def labelled(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -284,34 +402,10 @@ def links_between(rows: DataFrame, firsts: DataFrame) -> DataFrame | None:
     groups = written(components(written(similar(stars, sets), "confirmed")), "components")
 
     # Pairs across components in buckets that still have several.
-    open_rows = labelled(members.select("bucket", "class"), groups)
-    split = open_rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    open_rows = open_rows.join(split.select("bucket"), "bucket").join(sets.select("class", "n", "sketch"), "class")
-    # A pair counts in the first bucket that both classes share.
-    where = open_rows.groupBy("class").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))  # at most one for each band
-    open_rows = written(open_rows.join(where, "class"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = x.join(
-        y,
-        F.expr(
-            "x.bucket = y.bucket and x.component < y.component and " + promising("x", "y")
-            + " and x.bucket = array_min(array_intersect(x.buckets, y.buckets))"
-        ),
-    ).select("x.class", "x.component", F.col("y.class").alias("class2"), F.col("y.component").alias("component2"))
-    across = across.select(
-        F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b"), "component", "component2"
-    )
-    across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
-    bridges = across.join(similar(across, sets), ["a", "b"]).select(
-        F.col("component").alias("a"), F.col("component2").alias("b")
-    ).distinct()
-    joined = written(components(written(bridges, "bridges")), "joined")
+    names = bridged(members, sets, groups).withColumnRenamed("component", "becomes")
     # Components that were bridged take the name of the joined one.
-    joined = joined.select(F.col("node").alias("was"), F.col("component").alias("becomes"))
-    all_nodes = groups.union(joined.select(F.col("was").alias("node"), F.col("was").alias("component"))).distinct()
-    return all_nodes.join(joined, F.col("component") == F.col("was"), "left").select(
-        "node", F.coalesce("becomes", "component").alias("component")
-    ).distinct()
+    nodes = labelled(sets.select("class"), groups).join(names, F.col("component") == F.col("first"), "left")
+    return nodes.select(F.col("class").alias("node"), F.coalesce("becomes", "component").alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
