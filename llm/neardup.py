@@ -45,7 +45,12 @@ SKETCH_LONGS = SKETCH_BINS // 32
 MOST_DIFFERENT = 142
 LEAST_SKETCHED = 64
 BROADCAST_KEYS = 500_000
-BLOCK_ROWS = 2_048
+BLOCK_ROWS, LOT_ROWS = 2_048, 8_192
+PAIRS_AT_ONCE = 1 << 18
+#: Sets of so many shingles, or fewer, go along with their sketches.
+MARKED = 256
+#: Each round a class may offer so many times as many partners as in the one before.
+GROWTH = 8
 
 
 @lru_cache
@@ -230,65 +235,103 @@ def promising(x: str, y: str) -> str:
 
 
 def sketch_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bins in which sketches differ, for every row of ``x`` and of ``y``."""
-    apart = np.zeros((len(x), len(y)), np.uint16)
-    for k in range(SKETCH_LONGS):
-        z = x[:, k : k + 1] ^ y[:, k]
-        apart += np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555))
-    return apart
+    """Bins in which sketches differ, row by row."""
+    z = x ^ y
+    return np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
+
+
+def marks_in_common(row: np.ndarray, column: np.ndarray, asking: pd.DataFrame, offered: pd.DataFrame) -> np.ndarray:
+    """How many marks of the asking rows the offered ones have, pair by pair; pairs are sorted by ``row``."""
+    counts = np.array([len(x) // 4 for x in offered["marks"]], np.int64)
+    flat, ends = np.frombuffer(b"".join(offered["marks"]), np.uint32), np.cumsum(counts)
+    common = np.zeros(len(row), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
+    for start, end in zip(first, [*first[1:], len(row)]):
+        own = np.frombuffer(asking["marks"].iat[row[start]], np.uint32)
+        theirs = column[start:end]
+        many = counts[theirs]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ends[theirs] - many, many)
+        values = flat[place]
+        met = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        common[start:end] = np.add.reduceat(met, np.cumsum(many) - many)
+    return common
 
 
 def best_offers(asking: pd.DataFrame, offered: pd.DataFrame, take: int) -> pd.DataFrame:
-    """The nearest ``take`` promising partners of each asking class behind its cursor, in one pair of blocks."""
+    """The nearest ``take`` promising partners of each asking row behind its cursor, among the offered rows of its bucket."""
     def sketch(rows):
         return np.frombuffer(b"".join(rows["packed"]), np.uint64).reshape(-1, SKETCH_LONGS)
 
-    columns = ["class", "component", "first", "size", "n"]
-    names, now, origin, size, n = (offered[c].to_numpy() for c in columns)
-    theirs, found = sketch(offered), [np.zeros((0, 3), np.int64)]
-    for start in range(0, len(asking), 256):
-        own = asking.iloc[start : start + 256]
-        name, at, source, weight, m, after, after_name = (
-            own[c].to_numpy()[:, None] for c in [*columns, "after", "after_class"]
-        )
-        apart = sketch_distances(sketch(own), theirs).astype(np.int64)
-        # A pair is offered by the class whose first component was smaller, and by it alone.
-        fits = (at != now) & ((weight < size) | (weight == size) & (source < origin))
-        fits &= 100 * np.minimum(m, n) >= SIMILARITY_PERCENT * np.maximum(m, n)
-        fits &= (apart <= MOST_DIFFERENT) | (np.minimum(m, n) < LEAST_SKETCHED)
-        fits &= (apart > after) | (apart == after) & (names > after_name)
-        row, column = np.nonzero(fits)
-        order = np.lexsort((names[column], apart[row, column], row))
-        row, column = row[order], column[order]
-        few = np.arange(len(row)) - np.searchsorted(row, row) < take
-        row, column = row[few], column[few]
-        found.append(np.stack([name[row, 0], names[column], apart[row, column]], 1))
+    found = [np.zeros((0, 3), np.int64)]
+    if len(asking) and len(offered):
+        columns = ["class", "component", "first", "size", "n"]
+        offered = offered.sort_values("bucket", kind="stable")
+        buckets, mine = offered["bucket"].to_numpy(), asking["bucket"].to_numpy()
+        low, high = np.searchsorted(buckets, mine), np.searchsorted(buckets, mine, "right")
+        names, now, origin, size, n = (offered[c].to_numpy() for c in columns)
+        name, at, source, weight, m = (asking[c].to_numpy() for c in columns)
+        after, after_name = asking["after"].to_numpy().astype(np.int64), asking["after_class"].to_numpy().astype(np.int64)
+        own, theirs = sketch(asking), sketch(offered)
+        ends = np.cumsum(high - low)
+        start = 0
+        while start < len(asking):
+            # Rows with about PAIRS_AT_ONCE pairs together.
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + PAIRS_AT_ONCE, "right")))
+            many = high[start:end] - low[start:end]
+            row = np.repeat(np.arange(start, end), many)
+            column = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]
+            start = end
+            # A pair is offered by the class whose first component was smaller, and by it alone.
+            fits = (at[row] != now[column]) & (
+                (weight[row] < size[column]) | (weight[row] == size[column]) & (source[row] < origin[column])
+            )
+            row, column = row[fits], column[fits]
+            least, most = np.minimum(m[row], n[column]), np.maximum(m[row], n[column])
+            fits = 100 * least >= SIMILARITY_PERCENT * most
+            row, column, least = row[fits], column[fits], least[fits]
+            apart = sketch_distances(own[row], theirs[column])
+            fits = (apart <= MOST_DIFFERENT) | (least < LEAST_SKETCHED)
+            fits &= (apart > after[row]) | (apart == after[row]) & (names[column] > after_name[row])
+            row, column, apart = row[fits], column[fits], apart[fits]
+            # Small sets are here as a whole, so what the sketches let through is settled before it is offered.
+            small = np.flatnonzero((m[row] <= MARKED) & (n[column] <= MARKED))
+            common = marks_in_common(row[small], column[small], asking, offered)
+            refused = 100 * common < SIMILARITY_PERCENT * (m[row[small]] + n[column[small]] - common)
+            row, column, apart = (np.delete(v, small[refused]) for v in (row, column, apart))
+            order = np.lexsort((names[column], apart, row))
+            row, column, apart = row[order], column[order], apart[order]
+            few = np.arange(len(row)) - np.searchsorted(row, row) < take
+            found.append(np.stack([name[row[few]], names[column[few]], apart[few]], 1))
     return pd.DataFrame(np.concatenate(found), columns=["class", "other", "apart"])
 
 
 def offers(open_rows: DataFrame, asking: DataFrame, take: int) -> DataFrame:
     """class, other and apart: up to ``take`` partners of each class of ``asking``, the most promising first.
 
-    Members of a bucket are dealt into numbered blocks on either side, so that no bucket is one task;
-    from a pair of blocks at most ``take`` rows leave for each class.
+    Members of a large bucket are dealt into numbered blocks on either side, so that no bucket is one
+    task, and small buckets share lots; from a lot or a pair of blocks at most ``take`` rows leave for each row.
     """
     both = open_rows.join(asking.select("class", "after", "after_class"), "class", "left")
     blocks = both.groupBy("bucket").agg(
         F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("c_blocks"),
         F.ceil(F.count("after") / BLOCK_ROWS).cast("int").alias("q_blocks"),
+        F.count("*").alias("k"),
     ).where("q_blocks > 0")
-    sized = both.join(blocks, "bucket")
+    blocks = written(blocks, "blocks")
+    lots = int(blocks.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]) // LOT_ROWS + 1
+    sized = both.join(blocks, "bucket").withColumn("large", F.col("k") > BLOCK_ROWS).withColumn(
+        "lot", F.when(F.col("large"), F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(lots)))
+    )
 
     def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64("class"), F.col(f"{mine}_blocks")).cast("int")
         spread = rows.withColumn(f"{mine}_block", block).withColumn(
             f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
         )
-        return spread.select(*[F.col(c).alias(c) for c in (
-            "bucket", "q_block", "c_block", "class", "component", "first", "size", "n", "packed", "after", "after_class"
-        )])
+        return spread.select(*[F.col(c).alias(c) for c in (*keys, "bucket", "class", "component", "first", "size", "n", "packed", "marks", "after", "after_class")])
 
-    keys = ["bucket", "q_block", "c_block"]
+    keys = ["large", "lot", "q_block", "c_block"]
     left, right = dealt(sized.where("after is not null"), "q", "c"), dealt(sized, "c", "q")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         lambda a, b: best_offers(a, b, take), "class long, other long, apart long"
@@ -304,11 +347,12 @@ def bridged(members: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame
     rows = rows.join(split.select("bucket"), "bucket").withColumnRenamed("component", "first")
     sizes = labelled(sets.select("class"), groups).groupBy("component").agg(F.count("*").alias("size"))
     rows = rows.join(sizes.withColumnRenamed("component", "first"), "first")
-    rows = written(rows.join(sets.select("class", "n", "packed"), "class"), "open")
+    rows = written(rows.join(sets.select("class", "n", "packed", "marks"), "class"), "open")
     names = written(rows.select("first", F.col("first").alias("component")).distinct(), "names")
     asking = written(
         rows.select("class", F.lit(-1).cast("long").alias("after"), F.lit(0).cast("long").alias("after_class")).distinct(), "asking"
     )
+    # Partners that a class may offer in a round.
     take, alone = 1, True
     while not asking.isEmpty():
         now = rows.join(names, "first")
@@ -323,11 +367,11 @@ def bridged(members: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame
         pairs = written(ends.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"),
                                     "component", "component2").dropDuplicates(["a", "b"]), "tried")
         links = similar(pairs, sets).join(pairs, ["a", "b"]).select(F.col("component").alias("a"), F.col("component2").alias("b"))
-        joined = components(written(links.distinct(), "bridges")).toDF("was", "becomes")
-        names = written(
-            names.join(joined, F.col("component") == F.col("was"), "left").select("first", F.coalesce("becomes", "component").alias("component")),
-            "names",
-        )
+        links = written(links.distinct(), "bridges")
+        if not links.isEmpty():
+            joined = components(links).toDF("was", "becomes")
+            new = names.join(joined, F.col("component") == F.col("was"), "left")
+            names = written(new.select("first", F.coalesce("becomes", "component").alias("component")), "names")
         if not alone:
             # A class goes on behind its last partner, if it had as many as it was allowed.
             last = F.max(F.struct("apart", "other")).alias("last")
@@ -337,8 +381,9 @@ def bridged(members: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame
                 ),
                 "asking",
             )
-            take *= 4
-        alone = False
+            take *= GROWTH
+        else:
+            alone, take = False, GROWTH
     return names
 
 
@@ -359,12 +404,14 @@ def full_sets(rows: DataFrame) -> DataFrame:
                     pa.array(sizes),
                     pa.ListArray.from_arrays(pa.array(each), pa.array(sketches.reshape(-1))),
                     pa.array([row.tobytes() for row in sketches], pa.binary()),
+                    # Halves of hashes: what sets have in common, their halves have in common.
+                    pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) <= MARKED else b"" for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["class", "n", "sketch", "packed", "shingles"],
+                ["class", "n", "sketch", "packed", "marks", "shingles"],
             )
 
-    return rows.select("class", "text").mapInArrow(run, "class long, n long, sketch array<bigint>, packed binary, shingles array<bigint>")
+    return rows.select("class", "text").mapInArrow(run, "class long, n long, sketch array<bigint>, packed binary, marks binary, shingles array<bigint>")
 
 
 def labelled(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
