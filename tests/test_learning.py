@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import COMPLETE
 from visitgauge.operators.features import FeatureModel, fit_features, numeric_statistics, value_counts
+from visitgauge.operators import neighbours
 from visitgauge.operators.neighbours import nearest_in_class
 from visitgauge.operators.oversample import oversample
 from visitgauge.plans import audit as audit_plan
@@ -61,23 +62,57 @@ def test_encoding(spark, tmp_path):
         model.transform(df.drop("DPQ010"), [])
 
 
-@pytest.mark.parametrize(("pivots", "block"), [(1, 4096), (6, 16), (16, 7)])
-def test_neighbours_equal_brute_force(spark, pivots, block):
-    rng = np.random.default_rng(1)
-    x = np.round(np.concatenate([rng.normal(0, 1, (80, 4)), rng.normal(6, 2, (60, 4))]), 1)
-    x = np.unique(x, axis=0)
-    label = ["a" if i % 3 else "b" for i in range(len(x))]
-    rows = [(label[i], i, [float(v) for v in x[i]]) for i in range(len(x))]
-    points = spark.createDataFrame(rows, "label string, vid bigint, x array<double>")
+def coded_points(n: int, seed: int = 1) -> np.ndarray:
+    """Distinct vectors of nine answers, an age and indicator columns of six codes."""
+    rng = np.random.default_rng(seed)
+    answers = rng.choice(4, (n, 9), p=[0.5, 0.25, 0.15, 0.1])
+    codes = [np.eye(m)[rng.integers(0, m, n)] for m in (2, 5, 12, 5, 6, 6)]
+    return np.unique(np.hstack([answers, rng.integers(12, 80, (n, 1)) / 10, *codes]), axis=0)
+
+
+def plain_neighbours(x: np.ndarray, label: list[str], k: int) -> dict[int, list[int]]:
     found = {}
-    for r in nearest_in_class(points, 4, "label", pivots, block).collect():
-        found.setdefault(r["vid"], {})[r["rank"]] = r["neighbour"]
     for i in range(len(x)):
         others = [j for j in range(len(x)) if j != i and label[j] == label[i]]
-        others.sort(key=lambda j: (np.sqrt(((x[i] - x[j]) ** 2).sum()), j))
-        got = [found[i][rank] for rank in range(1, 5)]
-        d = [np.sqrt(((x[i] - x[j]) ** 2).sum()) for j in got]
-        assert np.allclose(d, [np.sqrt(((x[i] - x[j]) ** 2).sum()) for j in others[:4]])
+        found[i] = sorted(others, key=lambda j: (np.sqrt(((x[i] - x[j]) ** 2).sum()), j))[:k]
+    return found
+
+
+def point_frame(spark, x, label):
+    rows = [(label[i], i, [float(v) for v in x[i]]) for i in range(len(x))]
+    return spark.createDataFrame(rows, "label string, vid bigint, x array<double>").repartition(4)
+
+
+@pytest.mark.parametrize(("leaf", "block", "sample"), [(4096, 4096, 4096), (6, 5, 30), (16, 4096, 4096)])
+def test_neighbours_equal_brute_force(spark, leaf, block, sample):
+    """One leaf for each class, many small leaves of a small sample, and code-like gaps with ties."""
+    x = coded_points(300)
+    label = ["a" if i % 3 else "b" for i in range(len(x))]
+    label[0] = "alone"
+    found = {}
+    for r in nearest_in_class(point_frame(spark, x, label), 4, "label", leaf, block, sample).collect():
+        found.setdefault(r["vid"], {})[r["rank"]] = r["neighbour"]
+    for i, others in plain_neighbours(x, label, 4).items():
+        assert [found.get(i, {}).get(rank) for rank in range(1, 5)] == (others or [None] * 4)
+
+
+def test_leaves_farther_than_the_bound_are_not_visited(spark):
+    """Boxes rule out most of the pairs on coded answers, more of them on more rows."""
+    shares = []
+    for n in (1_000, 8_000):
+        x = coded_points(n)
+        tree = neighbours._tree(x, 64)
+        leaf = tree.leaves(x)
+        many = leaf.max() + 1
+        low = np.stack([x[leaf == k].min(0) for k in range(many)])
+        high = np.stack([x[leaf == k].max(0) for k in range(many)])
+        boxes = neighbours.Boxes(np.bincount(leaf), low, high)
+        asked = x[:: max(1, n // 200)]
+        apart = np.sort(((asked[:, None, :] - x) ** 2).sum(2), axis=1)[:, 5]
+        visited = boxes.squared_bounds(asked) <= apart[:, None]
+        shares.append(float((visited * boxes.rows).sum() / (len(asked) * n)))
+    # Independent codes are the hardest case: 0.98 and 0.75 of the rows here.
+    assert shares[1] < shares[0] / 1.2 and shares[1] < 0.85
 
 
 def test_oversampling_reaches_the_largest_class(spark):
@@ -93,7 +128,7 @@ def test_oversampling_reaches_the_largest_class(spark):
     made = [r for r in full if r["synthetic"]]
     assert all((r["a"], r["b"]) == (9.0, 9.0) for r in made if r["SEVERITY"] == "same")
     assert all(5.0 <= r["a"] <= 7.0 and r["b"] == 1.0 for r in made if r["SEVERITY"] == "small")
-    again = oversample(df.repartition(5), ["a", "b"]).collect()
+    again = oversample(df.repartition(5), ["a", "b"], copies_per_row=3).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, full))
 
 
@@ -120,11 +155,23 @@ def test_bootstrap_writes_everything(spark, built):
     both = train.unionByName(test)
     assert {r[0] for r in both.select("SEVERITY").distinct().collect()} == set(SEVERITIES)
     a, b, names = artifacts.read_split(spark, built["train"], built["test"])
-    assert len(a.columns) == len(names) + 1 and b.count() == 15
+    assert set(a.columns) == {*names, "SEVERITY", "SEQN"} and b.count() == 15
     with pytest.raises(FileNotFoundError, match="Processed train/test files are missing"):
         artifacts.read_split(spark, "/nowhere/train", built["test"])
 
 
+def test_training_oversamples_every_class_unless_told_otherwise(spark, built):
+    train, test, names = artifacts.read_split(spark, built["train"], built["test"])
+    counts = {r["SEVERITY"]: r["count"] for r in train.groupBy("SEVERITY").count().collect()}
+    largest = max(counts.values()) * len(counts)
+    assert training.TrainedModel.load(spark, built["model"]).metrics["train_size"] == largest
+    _, compared = training.train_models(train, test, names, trees=2, oversampled=False)
+    assert {r["train_size"] for r in compared.collect()} == {sum(counts.values())}
+    uneven = train.where("SEVERITY != 'Severe'").unionByName(train.where("SEVERITY = 'Severe'").limit(2))
+    _, size = training.fit_candidates(uneven, names, trees=2)
+    assert size == largest
+
+
 def test_fairness_of_the_trained_model(spark, built):
     report = artifacts.read_fairness_report(spark, built["fairness_report"])
     rows = report.collect()
@@ -227,6 +274,31 @@ def test_manifest_of_missing_and_single_files(spark, survey_files):
     assert rows["there"]["size_bytes"] == len(content) and not rows["gone"]["exists"]
 
 
+def test_manifest_of_large_files_and_many_files(spark, tmp_path):
+    """A file above 2 GB (sparse) is hashed in parts; groups of files give a hash of hashes."""
+    import hashlib
+
+    large = tmp_path / "large file%.bin"
+    with large.open("wb") as file:
+        file.write(b"begin")
+        file.truncate((2 << 30) + 4096)
+    folder = tmp_path / "folder"
+    folder.mkdir()
+    for k in range(7):
+        (folder / f"part-{k}").write_bytes(bytes([k]) * (k * 700 + 1))
+    paths = {"large": str(large), "folder": str(folder)}
+    rows = {r["artifact"]: r for r in artifacts.artifact_manifest(spark, paths, whole_bytes=2000, group=3).collect()}
+    with large.open("rb") as file:
+        assert rows["large"]["sha256"] == hashlib.file_digest(file, "sha256").hexdigest()
+    assert rows["large"]["size_bytes"] == (2 << 30) + 4096
+    each = [hashlib.sha256(bytes([k]) * (k * 700 + 1)).hexdigest() for k in range(7)]
+    groups = [hashlib.sha256("".join(each[k : k + 3]).encode()).hexdigest() for k in (0, 3)] + [each[6]]
+    assert rows["folder"]["sha256"] == hashlib.sha256("".join(groups).encode()).hexdigest()
+    assert rows["folder"]["size_bytes"] == sum(k * 700 + 1 for k in range(7))
+    whole = artifacts.artifact_manifest(spark, {"folder": str(folder)}).first()
+    assert whole["sha256"] == hashlib.sha256("".join(each).encode()).hexdigest()
+
+
 def test_boosted_trees_give_labels_but_no_probabilities(spark, built):
     train, test, names = artifacts.read_split(spark, built["train"], built["test"])
     from pyspark.ml import PipelineModel

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitgauge.operators.quality import require_columns
-from visitgauge.schema import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, TARGET
+from visitgauge.schema import CATEGORICAL_FEATURES, FEATURES, KEY, NUMERIC_FEATURES, TARGET
 
 # A one-hot column is made per category, so a code list this long is a wrong column.
 MAX_CATEGORIES = 10_000
@@ -249,7 +249,7 @@ def fit_features(train: DataFrame) -> FeatureModel:
 
 
 def transformed_table(model: FeatureModel, df: DataFrame) -> DataFrame:
-    """Feature columns and the target, checked to have the fitted width."""
+    """Feature columns, the target and the respondent key if there is one, checked to have the fitted width."""
     columns = model.columns()
     if len(columns) != len(model.feature_names):
         raise ValueError(
@@ -257,5 +257,6 @@ def transformed_table(model: FeatureModel, df: DataFrame) -> DataFrame:
             f"{len(columns)} != {len(model.feature_names)}"
         )
     return df.select(
-        *[c.alias(n) for n, c in columns.items()], F.col(TARGET).cast("string").alias(TARGET)
+        *[c.alias(n) for n, c in columns.items()], F.col(TARGET).cast("string").alias(TARGET),
+        *[c for c in [KEY] if c in df.columns],
     )

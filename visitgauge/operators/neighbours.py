@@ -1,192 +1,302 @@
 """Exact nearest neighbours within a class, without forming all pairs as rows.
 
-The method is the pivot-based k-nearest-neighbour join of Lu, Shen, Chen and Ooi
-(PVLDB 2012). Points go to the cell of their nearest pivot. From the pivot
-distances alone a bound on the k-th neighbour distance of each cell follows, and
-by the triangle inequality only points that can beat it are sent to the cell.
-Cells are cut into blocks of bounded size on both sides; a block pair keeps the
-best k per query, so no group grows with the data and nothing is left out.
+Answers and codes have few values, so most columns leave gaps between them. Each class is cut
+along its gaps into boxes, and the boxes give lower bounds of distances:
+
+1. A tree of cuts is drawn for each class on a sample of bounded size; all rows are sent down that tree.
+   A cut is worth the square of the gap it runs through, times the share of rows on its smaller
+   side, so codes and answers that tell many rows apart come first.
+2. Every row searches its own leaf and the leaves next to it. That bounds the distance of its k-th neighbour.
+3. Only then it visits the other leaves, those whose box is not farther than that bound. What was not
+   visited can't hold a nearer row, so the result is exact whatever the sample.
+
+Leaves are cut into blocks of bounded size on both sides; a pair of blocks keeps the best k of each
+row. On more rows the bounds are tighter, and a smaller share of the leaves is visited.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PIVOTS = 32
+from visitgauge.session import materialise
+
+LEAF_ROWS = 256
 BLOCK_ROWS = 4096
+# Rows of each class that shape its tree, and those that a single cut is chosen by.
+SAMPLE_ROWS, CUT_ROWS = 50_000, 1_000
 # Relative slack for rounding in the distance bounds; it only lets more candidates through.
-SLACK = 1e-6
+SLACK = 1e-9
+NEXT_LEAVES = 4
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """A tree: inner nodes have a dimension, a cut and two children; negative children are leaves (~number)."""
+
+    dimension: np.ndarray
+    cut: np.ndarray
+    below: np.ndarray
+    above: np.ndarray
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64) if len(self.cut) else np.full(len(x), -1)
+        inside = np.flatnonzero(node >= 0)
+        while len(inside):
+            at = node[inside]
+            low = x[inside, self.dimension[at]] <= self.cut[at]
+            node[inside] = np.where(low, self.below[at], self.above[at])
+            inside = inside[node[inside] >= 0]
+        return ~node
 
 
-def _slack(a: np.ndarray) -> float:
-    return SLACK * (1.0 + float(np.abs(a).max(initial=0.0)) * a.shape[-1])
+def _best_cut(x: np.ndarray) -> tuple[int, float] | None:
+    """Dimension and place of the cut of most worth; None if all rows are equal."""
+    ordered = np.sort(x[:CUT_ROWS], axis=0)
+    m = len(ordered)
+    gaps = np.diff(ordered, axis=0)
+    side = np.minimum(np.arange(1, m), np.arange(m - 1, 0, -1)) / m
+    worth = gaps**2 * side[:, None]
+    if not worth.size or worth.max() <= 0:
+        return None
+    row, column = divmod(int(worth.argmax()), x.shape[1])
+    return column, float(ordered[row, column] + ordered[row + 1, column]) / 2
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0.0))
+def _tree(x: np.ndarray, leaf_rows: int) -> Cuts:
+    nodes: list[list] = []
+    leaves = 0
+    stack = [(np.arange(len(x)), None, 0)]
+    while stack:
+        rows, parent, side = stack.pop()
+        found = _best_cut(x[rows]) if len(rows) > leaf_rows else None
+        if found is None:
+            number, leaves = ~leaves, leaves + 1
+        else:
+            number = len(nodes)
+            nodes.append([found[0], found[1], 0, 0])
+            low = x[rows, found[0]] <= found[1]
+            stack += [(rows[low], number, 2), (rows[~low], number, 3)]
+        if parent is not None:
+            nodes[parent][side] = number
+    columns = list(zip(*nodes)) if nodes else [(), (), (), ()]
+    return Cuts(*(np.array(c, float if k == 1 else np.int64) for k, c in enumerate(columns)))
 
 
-def _pivots(points: DataFrame, label: str, n: int) -> dict[str, np.ndarray]:
-    """Up to ``n`` points per class in hash order: a bounded driver-side table."""
+def _trees(points: DataFrame, label: str, leaf_rows: int, sample_rows: int) -> dict[str, Cuts]:
+    """One tree for each class, from up to ``sample_rows`` of its rows in hash order."""
     order = Window.partitionBy(label).orderBy(F.xxhash64("vid"), "vid")
-    rows = (
-        points.select(label, "vid", "x")
-        .withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= n)
-        .collect()
-    )
-    found: dict[str, list] = {}
-    for row in rows:
-        found.setdefault(row[label], []).append(row["x"])
-    return {name: np.array(xs) for name, xs in found.items()}
+    sizes = {row[label]: row["n"] for row in points.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    rows = points.select(label, "vid", "x").withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= sample_rows)
+    found: dict[str, list] = {name: [] for name in sizes}
+    for row in rows.orderBy(label, "_turn").select(label, "x").toLocalIterator():
+        found[row[label]].append(row["x"])
+    # A sampled row stands for several.
+    return {
+        name: _tree(np.array(x, float), max(8, leaf_rows * len(x) // sizes[name])) for name, x in found.items()
+    }
+
+
+def _packed(x: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in np.ascontiguousarray(x, dtype=np.float64)]
+
+
+def _matrix(packed: pd.Series, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.float64).reshape(-1, size)
 
 
-def _with_cells(points: DataFrame, label: str, pivots: dict[str, np.ndarray]) -> DataFrame:
+def _in_leaves(points: DataFrame, label: str, trees: dict[str, Cuts]) -> DataFrame:
+    """The class, ``vid``, leaf and packed vector of every row."""
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cell = np.zeros(len(batch), dtype=np.int32)
-            near = np.zeros(len(batch))
+            leaf = np.zeros(len(batch), np.int32)
+            packed = np.empty(len(batch), object)
             for name, at in batch.groupby(label).indices.items():
-                d = _distances(np.stack(batch["x"].iloc[at].to_numpy()), pivots[name])
-                cell[at] = d.argmin(1)
-                near[at] = d.min(1)
-            yield batch.assign(cell=cell, near=near)
-
-    schema = T.StructType(
-        [*points.schema.fields, T.StructField("cell", T.IntegerType()),
-         T.StructField("near", T.DoubleType())]
+                x = np.stack(batch["x"].iloc[at].to_numpy())
+                leaf[at] = trees[name].leaves(x)
+                packed[at] = _packed(x)
+            yield pd.DataFrame({label: batch[label], "vid": batch["vid"], "leaf": leaf, "packed": packed})
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = f"`{label}` {kinds[label]}, vid {kinds['vid']}, leaf int, packed binary"
+    return points.select(label, "vid", "x").mapInPandas(assign, schema)
+
+
+@dataclass(frozen=True)
+class Boxes:
+    """Rows, lowest and highest values of the leaves of a class, and which leaves lie next to each."""
+
+    rows: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def squared_bounds(self, x: np.ndarray) -> np.ndarray:
+        """Least squared distance of every row of ``x`` to every box."""
+        found = np.zeros((len(x), len(self.rows)))
+        for k in range(x.shape[1]):
+            out = np.maximum(self.low[:, k] - x[:, k : k + 1], x[:, k : k + 1] - self.high[:, k])
+            found += np.square(np.maximum(out, 0, out=out), out=out)
+        return found
+
+    def near(self, k: int) -> list[np.ndarray]:
+        """Each leaf with the nearest others: NEXT_LEAVES, and more until ``k`` + 1 rows are met."""
+        lists = []
+        for own in range(len(self.rows)):
+            out = np.maximum(np.maximum(self.low - self.high[own], self.low[own] - self.high), 0)
+            bounds = (out**2).sum(1)
+            bounds[own] = -1
+            order = np.argsort(bounds, kind="stable")
+            enough = int(np.searchsorted(np.cumsum(self.rows[order]), k + 1)) + 1
+            lists.append(np.sort(order[: max(enough, 1 + NEXT_LEAVES)]))
+        return lists
+
+
+def _boxes(leaved: DataFrame, label: str, size: int) -> dict[str, Boxes]:
+    """Boxes of the leaves that have rows; their number is bounded by the sample's."""
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (name, leaf), part in batch.groupby([label, "leaf"]):
+                x = _matrix(part["packed"], size)
+                yield pd.DataFrame(
+                    {label: name, "leaf": leaf, "place": np.arange(size), "n": len(x), "low": x.min(0), "high": x.max(0)}
+                )
+
+    kind = leaved.schema[label].dataType.simpleString()
+    parts = leaved.mapInPandas(reduce, f"`{label}` {kind}, leaf int, place int, n long, low double, high double")
+    rows = parts.groupBy(label, "leaf", "place").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found: dict[str, list] = {}
+    for row in rows.collect():
+        found.setdefault(row[label], []).append(row)
+    boxes = {}
+    for name, own in found.items():
+        many = max(r["leaf"] for r in own) + 1
+        n, low, high = np.zeros(many, np.int64), np.full((many, size), np.inf), np.full((many, size), -np.inf)
+        for r in own:
+            n[r["leaf"]] = r["n"]
+            low[r["leaf"], r["place"]], high[r["leaf"], r["place"]] = r["low"], r["high"]
+        boxes[name] = Boxes(n, low, high)
+    return boxes
+
+
+def _searched(
+    asking: DataFrame, leaved: DataFrame, label: str, size: int, k: int, block_rows: int
+) -> DataFrame:
+    """The best ``k`` of each row of ``asking`` in the leaf it asks (column ``leaf``)."""
+    keys = [label, "leaf"]
+    own = leaved.groupBy(*keys).agg(F.count("*").alias("_c"))
+    theirs = asking.groupBy(*keys).agg(F.count("*").alias("_q"))
+    blocks = own.join(theirs, keys).select(
+        *keys,
+        F.ceil(F.col("_c") / block_rows).cast("int").alias("c_blocks"),
+        F.ceil(F.col("_q") / block_rows).cast("int").alias("q_blocks"),
     )
-    return points.mapInPandas(assign, schema)
-
-
-def _reach(
-    cells: DataFrame, label: str, pivots: dict[str, np.ndarray], k: int
-) -> dict[str, np.ndarray]:
-    """Per class, the least pivot distance at which a point of cell j matters to cell i."""
-    order = Window.partitionBy(label, "cell").orderBy("near", "vid")
-    nearest = (
-        cells.select(label, "cell", "near", "vid")
-        .withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= k + 1)
-        .groupBy(label, "cell")
-        .agg(F.array_sort(F.collect_list("near")).alias("nearest"))
-        .collect()
+
+    def spread(side: DataFrame, mine: str, other: str) -> DataFrame:
+        """Rows with their own block, repeated for every block of the other side. One row for each leaf is broadcast."""
+        sized = side.join(F.broadcast(blocks), keys)
+        block = F.pmod(F.xxhash64("vid"), F.col(f"{mine}_blocks")).cast("int")
+        return sized.withColumn(f"{mine}_block", block).withColumn(
+            f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+        ).select(*[F.col(c).alias(c) for c in [*keys, "q_block", "c_block", "vid", "packed"]])
+
+    group = [*keys, "q_block", "c_block"]
+    kind = asking.schema[label].dataType.simpleString()
+    key_kind = asking.schema["vid"].dataType.simpleString()
+
+    def best(key: tuple, queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"vid": [], "neighbour": [], "distance": []})]
+        if len(queries) and len(others):
+            a, b = _matrix(queries["packed"], size), _matrix(others["packed"], size)
+            names, ids = queries["vid"].to_numpy(), others["vid"].to_numpy()
+            squares = (b * b).sum(1)
+            # The short form of the squares loses about this much to rounding.
+            loss = 1e-12 * (1 + size) * (1 + squares.max() + (a * a).sum(1).max())
+            for start in range(0, len(a), 512):
+                part, asked = a[start : start + 512], names[start : start + 512]
+                d = (part * part).sum(1)[:, None] + squares - 2 * (part @ b.T)
+                d[asked[:, None] == ids] = np.inf
+                take = min(k, len(ids))
+                # All rows up to the k-th distance, so that ties are settled by id below.
+                limit = np.partition(d, take - 1, axis=1)[:, take - 1]
+                row, column = np.nonzero((d <= limit[:, None] + loss) & np.isfinite(d))
+                exact = np.sqrt(((part[row] - b[column]) ** 2).sum(1))
+                order = np.lexsort((ids[column], exact, row))
+                row, column, exact = row[order], column[order], exact[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                few = place < k
+                out.append(pd.DataFrame({"vid": asked[row[few]], "neighbour": ids[column[few]], "distance": exact[few]}))
+        found = pd.concat(out[1:] or out)
+        found.insert(0, "label", key[0])
+        return found
+
+    return (
+        spread(asking, "q", "c").groupBy(*group).cogroup(spread(leaved, "c", "q").groupBy(*group))
+        .applyInPandas(best, f"label {kind}, vid {key_kind}, neighbour {key_kind}, distance double")
     )
-    radius = cells.groupBy(label, "cell").agg(F.max("near").alias("radius")).collect()
-    reach = {}
-    for name, at in pivots.items():
-        m = len(at)
-        apart = _distances(at, at)
-        outer = np.zeros(m)
-        for row in radius:
-            if row[label] == name:
-                outer[row["cell"]] = row["radius"]
-        inner = [(row["cell"], row["nearest"]) for row in nearest if row[label] == name]
-        bound = np.full(m, np.inf)
-        for i in range(m):
-            # Distance from anywhere in cell i to these points is at most this; one of
-            # the k + 1 may be the query itself.
-            tops = np.sort(
-                np.concatenate([outer[i] + apart[i, j] + np.array(d) for j, d in inner])
-            )
-            if len(tops) > k:
-                bound[i] = tops[k]
-        reach[name] = apart - outer[:, None] - bound[:, None] - _slack(at) - SLACK * outer.max()
-    return reach
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("vid").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest_in_class(
     points: DataFrame,
     k: int,
     label: str = "label",
-    pivots: int = PIVOTS,
+    leaf_rows: int = LEAF_ROWS,
     block_rows: int = BLOCK_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest other points of the same class: (label, vid, neighbour, distance, rank).
 
     ``points`` has a class, a unique ``vid`` and distinct vectors ``x``; hand in a
-    stored table, it is read several times. Ties go to the lower ``vid``.
+    stored table, it is read several times. Ties go to the lower ``vid``. A class with fewer
+    than ``k`` other points gives all of them.
     """
-    centres = _pivots(points, label, pivots)
-    cells = _with_cells(points, label, centres)
-    reach = _reach(cells, label, centres, k)
-
-    def targets(names: pd.Series, cell: pd.Series, near: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                np.flatnonzero(reach[n][:, c] <= d).astype(np.int32)
-                for n, c, d in zip(names, cell, near)
-            ]
-        )
-
-    send = F.pandas_udf(targets, "array<int>")
-    routed = cells.withColumn("target", F.explode(send(label, "cell", "near")))
-    blocks = (
-        routed.groupBy(label, "target")
-        .agg(
-            F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("c_blocks"),
-            F.ceil(F.count_if(F.col("cell") == F.col("target")) / block_rows)
-            .cast("int")
-            .alias("q_blocks"),
-        )
-        .withColumnRenamed("target", "_cell")
-    )
-
-    keys = [label, "_cell", "q_block", "c_block"]
+    first = points.select(F.size("x").alias("size")).first()
+    if first is None:
+        names = points.select(label, "vid", F.col("vid").alias("neighbour"))
+        return names.withColumns({"distance": F.lit(0.0), "rank": F.lit(1)})
+    size = first["size"]
+    trees = _trees(points, label, leaf_rows, sample_rows)
+    leaved = materialise(_in_leaves(points, label, trees))
+    boxes = _boxes(leaved, label, size)
+    near = {name: own.near(k) for name, own in boxes.items()}
 
-    def spread(side: DataFrame, cell: str, own: str, other: str) -> DataFrame:
-        """Rows with their own block, repeated for every block of the other side."""
-        # One row per class and cell: at most classes x pivots rows.
-        sized = side.withColumnRenamed(cell, "_cell").join(
-            F.broadcast(blocks), [label, "_cell"]
-        )
-        mine = F.pmod(F.xxhash64("vid"), F.col(f"{own}_blocks")).cast("int")
-        return sized.withColumn(f"{own}_block", mine).withColumn(
-            f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
-        ).select(*[F.col(c).alias(c) for c in [*keys, "vid", "x"]])
+    def next_leaves(names: pd.Series, leaf: pd.Series) -> pd.Series:
+        return pd.Series([near[n][f] for n, f in zip(names, leaf)])
 
-    asking = spread(cells, "cell", "q", "c").groupBy(*keys)
-    offered = spread(routed.drop("cell"), "target", "c", "q").groupBy(*keys)
+    start = F.pandas_udf(next_leaves, "array<int>")
+    asking = leaved.withColumn("leaf", F.explode(start(label, "leaf")))
+    found = materialise(_ranked(_searched(asking, leaved, label, size, k, block_rows), k).drop("rank"))
+    bound = found.groupBy("vid").agg(F.count("*").alias("met"), F.max("distance").alias("farthest"))
 
-    def best(key: tuple, queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or others.empty:
-            return pd.DataFrame({"label": [], "vid": [], "neighbour": [], "distance": []})
-        a, b = np.stack(queries["x"].to_numpy()), np.stack(others["x"].to_numpy())
-        ids = others["vid"].to_numpy()
-        out, slack = [], max(_slack(a), _slack(b))
-        for start in range(0, len(a), 256):
-            part = slice(start, start + 256)
-            vids = queries["vid"].to_numpy()[part]
-            d = _distances(a[part], b)
-            d[vids[:, None] == ids[None, :]] = np.inf
-            take = min(k, len(ids))
-            # All rows up to the k-th distance, so that ties are settled by id below.
-            limit = np.partition(d, take - 1, axis=1)[:, take - 1]
-            row, column = np.nonzero((d <= limit[:, None] + slack) & np.isfinite(d))
-            exact = np.sqrt(((a[part][row] - b[column]) ** 2).sum(1))
-            frame = pd.DataFrame(
-                {"vid": vids[row], "neighbour": ids[column], "distance": exact}
-            ).sort_values(["vid", "distance", "neighbour"])
-            out.append(frame.groupby("vid").head(k))
-        found = pd.concat(out)
-        found.insert(0, "label", key[0])
-        return found
+    def further(names: pd.Series, leaf: pd.Series, packed: pd.Series, farthest: pd.Series) -> pd.Series:
+        """Leaves not searched yet that a row as near as the k-th may be in."""
+        out = np.empty(len(names), object)
+        for name, at in names.groupby(names).indices.items():
+            x = _matrix(packed.iloc[at], size)
+            for first in range(0, len(at), 1024):
+                part = at[first : first + 1024]
+                reach = farthest.to_numpy()[part]
+                few = boxes[name].squared_bounds(x[first : first + 1024]) <= (reach**2 * (1 + SLACK) + SLACK)[:, None]
+                for k_, own in enumerate(part):
+                    few[k_, near[name][leaf.iloc[own]]] = False
+                    out[own] = np.flatnonzero(few[k_]).astype(np.int32)
+        return pd.Series(out)
 
-    kind = points.schema[label].dataType.simpleString()
-    key_kind = points.schema["vid"].dataType.simpleString()
-    local = asking.cogroup(offered).applyInPandas(
-        best, f"label {kind}, vid {key_kind}, neighbour {key_kind}, distance double"
-    )
-    order = Window.partitionBy("vid").orderBy("distance", "neighbour")
-    return (
-        local.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select(F.col("label").alias(label), "vid", "neighbour", "distance", "rank")
+    rest = F.pandas_udf(further, "array<int>")
+    reach = F.when(F.col("met") >= k, F.col("farthest")).otherwise(F.lit(float("inf")))
+    asking = leaved.join(bound, "vid", "left").withColumn("leaf", F.explode(rest(label, "leaf", "packed", F.coalesce(reach, F.lit(float("inf"))))))
+    more = _searched(asking.select(label, "vid", "leaf", "packed"), leaved, label, size, k, block_rows)
+    return _ranked(found.union(more), k).select(
+        F.col("label").alias(label), "vid", "neighbour", "distance", "rank"
     )

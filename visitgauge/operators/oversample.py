@@ -11,12 +11,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitgauge.operators.neighbours import BLOCK_ROWS, PIVOTS, nearest_in_class
+from visitgauge.operators.neighbours import BLOCK_ROWS, LEAF_ROWS, nearest_in_class
 from visitgauge.operators.split import class_counts, first_in_hash_order
 from visitgauge.schema import KEY, TARGET
 from visitgauge.session import materialise
 
 
+# Copies that one task makes of one vector at a time.
+COPIES_PER_ROW = 10_000
+
+
+def distinct_points(
+    train: DataFrame, features: Sequence[str], label: str = TARGET, key: str = KEY, extra: Column | None = None
+) -> DataFrame:
+    """Distinct vectors of each class: label, ``vid`` (their lowest key), ``x``, ``same`` (rows) and ``extra``."""
+    chosen = F.lit(False) if extra is None else extra
+    vector = F.array(*[F.col(c).cast("double") for c in features])
+    return train.groupBy(label, vector.alias("x")).agg(
+        F.min(key).alias("vid"), F.count(F.lit(1)).alias("same"), F.count_if(chosen).alias("extra")
+    )
+
+
 def _uniform(seed: int, *keys: Column) -> Column:
     """Number in [0, 1) from a hash of the keys."""
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
@@ -29,13 +44,16 @@ def oversample(
     key: str = KEY,
     label: str = TARGET,
     neighbours: int = 5,
-    pivots: int = PIVOTS,
+    leaf_rows: int = LEAF_ROWS,
     block_rows: int = BLOCK_ROWS,
+    copies_per_row: int = COPIES_PER_ROW,
 ) -> DataFrame:
     """Training rows plus synthetic ones, so every class reaches the largest class.
 
     Returns the label, the features and ``synthetic``. With fewer than two rows in
     some class nothing is added. Equal vectors are searched once, with their number.
+    Copies of a vector are made in parts of ``copies_per_row``, spread over tasks, so a
+    vector that many rows share is no task of its own.
     """
     original = train.select(label, *features, F.lit(False).alias("synthetic"))
     # One row per class.
@@ -54,19 +72,14 @@ def oversample(
     minority = train.where(F.col(label).isin(*[w[0] for w in wanted]))
     chosen = first_in_hash_order(minority, plan, seed, key, label, "_extra")
     points = materialise(
-        chosen.groupBy(label, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-        .agg(
-            F.min(key).alias("vid"),
-            F.count(F.lit(1)).alias("same"),
-            F.count_if("_extra").alias("extra"),
-        )
+        distinct_points(chosen, features, label, key, F.col("_extra"))
         .join(F.broadcast(plan), label)
         .select(
             label, "vid", "x", "same",
             (F.col("same") * F.col("each") + F.col("extra")).alias("copies"),
         )
     )
-    found = nearest_in_class(points.select(label, "vid", "x"), k, label, pivots, block_rows)
+    found = nearest_in_class(points.select(label, "vid", "x"), k, label, leaf_rows, block_rows)
     # A vector held by several rows is its own neighbour that many times less one.
     others = found.join(points.select(F.col("vid").alias("neighbour"), "same"), "neighbour")
     listed = others.groupBy("vid").agg(
@@ -90,7 +103,17 @@ def oversample(
             ),
         )
         .where("copies > 0")
-        .select(label, "vid", "x", "near_ids", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    )
+    size = F.lit(copies_per_row)
+    parts = picks.select(
+        label, "vid", "x", "near_ids", "copies",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / size))).alias("part"),
+    )
+    # Dealt by vector and part, so that the parts of one vector are made in many tasks.
+    parts = parts.repartition(label, "vid", "part")
+    last = F.least(F.col("copies"), (F.col("part") + 1) * size)
+    picks = parts.select(
+        label, "vid", "x", "near_ids", F.explode(F.sequence(F.col("part") * size + 1, last)).alias("copy")
     )
     place = F.floor(_uniform(seed, F.col("vid"), F.col("copy")) * F.size("near_ids")).cast("int")
     chosen_pairs = picks.select(

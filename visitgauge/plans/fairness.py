@@ -67,8 +67,9 @@ def bootstrap(
     test_size: float = 0.3,
     seed: int = 42,
     trees: int = 200,
+    **options,
 ) -> dict[str, str]:
-    """Prepare, train and report; returns the paths of everything written."""
+    """Prepare, train and report; returns the paths of everything written. Options go to ``train_models``."""
     preprocess(spark, demographic_path, questionnaire_path, output_dir, test_size, seed)
     paths = {
         "train": f"{output_dir}/train",
@@ -79,7 +80,7 @@ def bootstrap(
         "model": f"{output_dir}/model",
         "fairness_report": f"{output_dir}/fairness_report",
     }
-    train_and_save(spark, paths["train"], paths["test"], paths["model"], seed=seed, trees=trees)
+    train_and_save(spark, paths["train"], paths["test"], paths["model"], seed=seed, trees=trees, **options)
     evaluate_fairness(
         spark, paths["test_raw"], paths["preprocessor"], paths["model"], paths["fairness_report"]
     )
