@@ -90,6 +90,53 @@ def test_many_files_give_what_one_file_gives(spark, tmp_path, files_per_batch):
     }
 
 
+def test_days_stay_in_state_only_around_the_watermark(spark, tmp_path):
+    """150 files give what one gives; the state holds a few days; visits behind the watermark count on the side."""
+    rows = [(k, "A", dt.datetime(2024, 1, 1) + dt.timedelta(hours=10 * k), k % 28) for k in range(150)]
+    late = [(900 + k, "B", dt.datetime(2024, 1, 1 + k), 5) for k in range(3)]
+    found = []
+    for name, files in (("many", 150), ("one", 1)):
+        source, out, state = (str(tmp_path / f"{name}-{n}") for n in ("in", "out", "state"))
+        frame = spark.createDataFrame([(*r, "Mild", None) for r in rows], SCHEMA)
+        frame.repartitionByRange(files, "created_at").write.parquet(source)
+        stream = streams.read_stream(spark, source, frame.schema, files_per_batch=25)
+        query = streams.daily_activity(stream, out, state)
+        if name == "many":
+            held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+            assert len(held) >= 6 and held[-1] <= 15
+        add(spark, source, late)
+        query = streams.daily_activity(streams.read_stream(spark, source, frame.schema, files_per_batch=25), out, state)
+        assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress) >= 3
+        found.append(sorted(map(tuple, streams.read_daily_activity(spark, out).collect())))
+    assert found[0] == found[1]
+    days = {}
+    for _, _, at, total in rows + late:
+        days.setdefault(f"{at:%Y-%m-%d}", []).append(total)
+    assert {(d, n) for d, n, _ in found[0]} == {(d, len(t)) for d, t in days.items()}
+
+
+def test_batches_read_the_buckets_of_their_patients(spark, tmp_path, monkeypatch):
+    """Files read follow the batch's patients, compacted or not, and results don't change with compaction."""
+    monkeypatch.setattr(streams, "COMPACT_AFTER", 3)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    everyone = [(k, f"P{k}", day(1), k % 27) for k in range(400)]
+    last = [(1000 + k, "P7", day(2 + k), k) for k in range(7)]
+    for rows in [everyone, *[[r] for r in last]]:
+        add(spark, source, rows)
+        schema = spark.read.parquet(source).schema
+        streams.visit_changes(streams.read_stream(spark, source, schema), out, state)
+    found = {r["visit_id"]: r["previous_total"] for r in streams.read_visit_changes(spark, out).collect()}
+    assert found == {k: None for k in range(400)} | {1000: 7} | {1000 + k: k - 1 for k in range(1, 7)}
+    assert sorted(p.name for p in (tmp_path / "out" / "base").iterdir()) == ["version=2", "version=5"]
+    assert sorted(p.name for p in (tmp_path / "out" / "visits").iterdir()) == [f"batch={n}" for n in (3, 4, 5, 6, 7)]
+    bucket = spark.createDataFrame([("P7",)], "patient_id string").select(streams._bucket()).first()[0]
+    some = streams.stored_visits(spark, out, 7, [bucket])
+    assert len(some.inputFiles()) > len([f for f in some.inputFiles() if f"bucket={bucket}/" in f])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    assert {r["patient_id"] for r in some.collect()} >= {"P7"} and some.count() < 60
+
+
 def test_running_counts_grow_and_old_versions_go(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     for rows in ([(1, "A", day(1), 5)], [(2, "A", day(2), 5), (3, "B", day(2), 5)], [(4, "C", day(3), 5)]):
