@@ -145,6 +145,8 @@ def test_item_quality(spark):
     df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in ITEMS))
     assert quality.item_quality(df).first() == (4, 1, "7.0,9.0")
     assert quality.item_quality(df.limit(0)).first() == (0, 0, "")
+    assert quality.item_quality(df, most_listed=1).first() == (4, 1, "7.0")
+    assert {r["value"] for r in quality.invalid_values(df).collect()} == {7.0, 9.0}
 
 
 def test_contract_splits_requests(spark):

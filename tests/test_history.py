@@ -98,14 +98,45 @@ def test_hot_rows_leave_no_single_large_group(spark):
     assert spread.count() == hot.count()
 
 
-def test_trend_arrays_are_whole_and_ordered(spark):
-    arrays = history.trend_arrays(random_visits(spark), per_row=50, hot_rows=100).collect()
+def test_trend_arrays_are_whole_and_follow_months(spark):
+    visits = random_visits(spark)
+    arrays = history.trend_arrays(visits, hot_rows=100).collect()
     assert sum(len(r["trend"]) for r in arrays) == 2000
-    assert max(len(r["trend"]) for r in arrays) == 50
+    assert all(int(f"{p['created_at']:%Y%m}") == r["part"] for r in arrays for p in r["trend"])
     hot = sorted((r["part"], r["trend"]) for r in arrays if r["patient_id"] == "hot")
     points = [p for _, part in hot for p in part]
     assert [p["position"] for p in points] == list(range(1, len(points) + 1))
     assert points == sorted(points, key=lambda p: (p["created_at"], p["visit_id"]))
+    # Months that were complete don't change when later ones come.
+    first = hot[0][0]
+    early = history.trend_arrays(visits.where(F.date_format("created_at", "yyyyMM").cast("int") <= first)).collect()
+    assert [r["trend"] for r in early if r["patient_id"] == "hot"] == [hot[0][1]]
+
+
+def test_stats_count_any_level_and_fall_back_to_the_saved_one(spark):
+    rows = [(1, "Mild", "Severe", "High"), (2, None, "Severe", ""), (3, "", None, "Odd"), (4, "New level", "Mild", "Low")]
+    visits = spark.createDataFrame(rows, "visit_id bigint, predicted_severity string, severity string, risk_band string")
+    visits = visits.withColumns(
+        {"created_at": F.make_timestamp(F.lit(2024), F.lit(1), F.col("visit_id"), F.lit(0), F.lit(0), F.lit(0)),
+         "phq9_total": F.lit(3), "risk_score": F.lit(0.1234567)}
+    )
+    row = history.dashboard_stats(visits).first()
+    assert row["severity_counts"] == {"Mild": 1, "Severe": 1, "Unknown": 1, "New level": 1}
+    assert row["risk_band_counts"] == {"High": 1, "Low": 2, "Medium": 0, "Odd": 1}
+    other = history.stats_variant(visits).first()
+    assert other["severity_counts"] == row["severity_counts"]
+    assert other["risk_band_counts"] == {"High": 2, "Low": 1, "Medium": 0, "Odd": 1}
+    empty = history.dashboard_stats(visits.limit(0)).first()
+    assert empty["severity_counts"] == {} and empty["risk_band_counts"] == {"High": 0, "Medium": 0, "Low": 0}
+
+
+def test_service_comparison_falls_back_to_the_nested_total(spark):
+    rows = [(1, "A", None, (7,)), (2, "A", 0, (4,)), (3, "B", 5, (9,)), (4, "B", 6, None)]
+    visits = spark.createDataFrame(rows, "visit_id bigint, patient_id string, phq9_total int, input_data struct<PHQ9_TOTAL: int>")
+    visits = visits.withColumns({"created_at": F.current_timestamp(), "risk_score": F.lit(0.5)})
+    changes = {r["patient_id"]: r for r in history.patient_comparison(visits, history.SERVICE_WORDS).collect()}
+    assert (changes["A"]["previous_total"], changes["A"]["latest_total"]) == (7, 4) and changes["B"]["phq9_change"] == 1
+    assert {r["phq9_change"] for r in history.patient_comparison(visits).collect()} == {0, 1}
 
 
 def test_directory(visits):

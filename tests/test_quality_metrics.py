@@ -143,7 +143,12 @@ def published_report(spark):
 
 
 def test_summary_of_the_published_report(spark):
-    row = fairness.fairness_summary(published_report(spark)).first()
+    report = published_report(spark)
+    row = fairness.fairness_summary(report).first()
+    ages = row["groups"]["AGE_GROUP"]
+    assert set(ages[0].asDict()) == set(report.columns)
+    assert [a["risk_percentage"] for a in ages] == sorted((a["risk_percentage"] for a in ages), reverse=True)
+    assert fairness.summary_records(fairness.fairness_summary(report)).drop("place").exceptAll(report).count() == 0
     assert row["bias_detected"] and round(row["max_disparity"], 4) == 23.2509
     assert (row["highest_risk_age_group"], row["lowest_risk_age_group"]) == ("45-59", "30-44")
     assert (row["highest_risk_gender"], row["lowest_risk_gender"]) == ("2", "1")

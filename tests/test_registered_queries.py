@@ -52,7 +52,7 @@ def test_query_equals_twin(spark, database, name):
     assert ordered(result.collect(), result.columns) == ordered(cursor.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS) - {"score_batch", "train_fairness"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS)))
 def test_query_without_twin_runs(spark, name):
     assert QUERIES[name](spark, TABLES).count() > 0
 

@@ -195,9 +195,10 @@ def fairness_ranking(report: DataFrame) -> DataFrame:
 
 
 def fairness_summary(report: DataFrame) -> DataFrame:
-    """One row: extreme groups, bias verdict and the ranked groups of each column.
+    """One row: extreme groups, bias verdict and the full report records of each column in ``groups``.
 
-    An empty report gives the "not available" row.
+    The records of a column (a map entry) come by risk, highest first. An empty report gives the
+    "not available" row.
     """
     risk = F.col("risk_percentage")
     per_column = report.groupBy("group_column").agg(
@@ -207,9 +208,9 @@ def fairness_summary(report: DataFrame) -> DataFrame:
         (F.max(risk) - F.min(risk)).alias("spread"),
         F.transform(
             F.array_sort(
-                F.collect_list(F.struct((-risk).alias("r"), "group_value", "risk_percentage"))
+                F.collect_list(F.struct((-risk).alias("r"), "group_value", F.struct(*report.columns).alias("record")))
             ),
-            lambda g: F.struct(g["group_value"], g["risk_percentage"]),
+            lambda g: g["record"],
         ).alias("groups"),
     )
 
@@ -233,6 +234,14 @@ def fairness_summary(report: DataFrame) -> DataFrame:
     )
 
 
+def summary_records(summary: DataFrame) -> DataFrame:
+    """The report records inside a summary as rows, with their ``place`` in their column, from 1."""
+    columns = summary.select(F.explode("groups").alias("group_column", "records"))
+    return columns.select(F.posexplode("records").alias("_place", "_record")).select(
+        (F.col("_place") + 1).alias("place"), "_record.*"
+    )
+
+
 def with_fairness_flag(
     visits: DataFrame, summary: DataFrame | None, band: str = "risk_band"
 ) -> DataFrame:

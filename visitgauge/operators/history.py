@@ -7,6 +7,8 @@ A visit table has ``visit_id``, ``patient_id``, ``patient_name``, ``created_at``
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ from visitgauge.functions.identity import filled, first_filled, visit_day
 from visitgauge.functions.scoring import binary_half_even, binary_half_up, half_up, risk_band
 from visitgauge.operators.sequence import HOT_ROWS, with_previous
 from visitgauge.schema import (
-    AGE, DEMOGRAPHIC_CODES, NOT_ENOUGH_VISITS, SEVERITIES, STATS_WINDOW,
+    AGE, DEMOGRAPHIC_CODES, NOT_ENOUGH_VISITS, SEVERITIES, STATS_WINDOW, TOTAL,
 )
 
 ORDER = ["created_at", "visit_id"]
+BANDS = ["High", "Medium", "Low"]
 
 STORE_WORDS = {
     "less": ("improved", "Patient improved by ", " PHQ-9 points since last visit."),
@@ -33,6 +36,15 @@ SERVICE_WORDS = {
 }
 
 
+def _saved_total(visits: DataFrame, nested: bool) -> Column:
+    """The total as a whole number; with ``nested`` that of the saved input stands in for none and for 0."""
+    total = F.col("phq9_total")
+    fields = dict(visits.dtypes).get("input_data", "")
+    if nested and fields.startswith("struct") and TOTAL in visits.schema["input_data"].dataType.names:
+        total = F.coalesce(F.nullif(total, F.lit(0)), F.col("input_data")[TOTAL])
+    return F.coalesce(total, F.lit(0)).cast("bigint")
+
+
 def _newest_order() -> list[Column]:
     return [F.desc(c) for c in ORDER]
 
@@ -98,7 +110,7 @@ def patient_comparison(visits: DataFrame, words: dict = STORE_WORDS) -> DataFram
     newest_first = Window.partitionBy("patient_id").orderBy(*_newest_order())
     two = (
         visits.where(filled(F.col("patient_id")).isNotNull())
-        .select("patient_id", *ORDER, "phq9_total", "risk_score")
+        .select("patient_id", *ORDER, _saved_total(visits, words is SERVICE_WORDS).alias("total"), "risk_score")
         .withColumn("rn", F.row_number().over(newest_first))
         .where(F.col("rn") <= 2)
     )
@@ -106,7 +118,7 @@ def patient_comparison(visits: DataFrame, words: dict = STORE_WORDS) -> DataFram
     def at(rank: int, value: Column) -> Column:
         return F.max(F.when(F.col("rn") == rank, value))
 
-    total = F.coalesce(F.col("phq9_total"), F.lit(0)).cast("bigint")
+    total = F.col("total")
     score = F.coalesce(F.col("risk_score"), F.lit(0.0))
     pairs = two.groupBy("patient_id").agg(
         *[
@@ -157,16 +169,14 @@ def patient_trend(visits: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return numbered.withColumn("change", F.col("total") - F.col("previous_total"))
 
 
-def trend_arrays(
-    visits: DataFrame, per_row: int = 1000, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Visits of each patient as arrays, oldest first.
+def trend_arrays(visits: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Visits of each patient as arrays, oldest first, one array for each calendar month.
 
-    An array holds at most ``per_row`` visits; a longer history continues in the
-    next ``part``, so nothing is dropped and no row grows without limit.
+    ``part`` is the month as YYYYMM. The shape follows the dates alone, so an array never changes
+    when later months come, and it holds what a patient can be seen in a month.
     """
     trend = patient_trend(visits, hot_rows)
-    part = F.floor((F.col("position") - 1) / per_row).cast("int")
+    part = F.date_format("created_at", "yyyyMM").cast("int")
     point = F.struct("position", "created_at", "visit_id", "total", "risk_percent")
     return trend.groupBy("patient_id", part.alias("part")).agg(
         F.array_sort(F.collect_list(point)).alias("trend")
@@ -245,62 +255,104 @@ def patient_label(name: Column, patient_id: Column, visits: Column) -> Column:
 
 
 def _score_sum() -> Column:
-    # Scores carry at most four decimals; a decimal sum does not depend on row order.
-    return F.sum(F.coalesce("risk_score", F.lit(0.0)).cast("decimal(18,6)")).cast("double")
+    # A decimal sum does not depend on row order. Saved scores have four decimals; of others twelve count.
+    return F.sum(F.coalesce("risk_score", F.lit(0.0)).cast("decimal(26,12)"))
 
 
 def _mean_or_zero(total: Column, count: Column, digits: int) -> Column:
     return F.coalesce(binary_half_even(F.try_divide(total, count), digits), F.lit(0.0))
 
 
+def _level(visits: DataFrame) -> Column:
+    """The predicted level, else the saved one (where visits have it), else "Unknown"."""
+    also = [F.col("severity")] if "severity" in visits.columns else []
+    return first_filled(F.col("predicted_severity"), *also, F.lit("Unknown"))
+
+
+def _count_map(name: str, always: Sequence[str] = ()) -> Column:
+    """Map of rows by value of the column ``name`` from groups that have it and ``n``, in order; ``always`` even at 0."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col("n"))))
+    zero = F.array(*[F.struct(F.lit(x).alias("name"), F.lit(0).cast("bigint").alias("n")) for x in always])
+    pairs = F.concat(listed, zero) if always else listed
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["name"])))
+    sums = F.transform(
+        names,
+        lambda x: F.aggregate(
+            F.filter(pairs, lambda p: p["name"] == x), F.lit(0).cast("bigint"), lambda total, p: total + p["n"]
+        ),
+    )
+    return F.map_from_arrays(names, sums)
+
+
+def _by_level_and_band(visits: DataFrame, level: Column, band: Column) -> DataFrame:
+    """Counts and sums by level and band: few rows, combined before they are shuffled."""
+    return visits.groupBy(level.alias("level"), band.alias("band")).agg(
+        F.count(F.lit(1)).alias("n"),
+        _score_sum().alias("score"),
+        F.sum(F.coalesce(F.col("phq9_total"), F.lit(0)).cast("bigint")).alias("phq"),
+        F.max(F.struct(*ORDER)).alias("newest"),
+    )
+
+
+def _rows_where(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
+
+
 def dashboard_stats(visits: DataFrame, newest_only: int | None = STATS_WINDOW) -> DataFrame:
-    """Dashboard row over the newest 500 visits; ``None`` takes all of them."""
+    """Dashboard row over the newest 500 visits; ``None`` takes all of them.
+
+    ``severity_counts`` and ``risk_band_counts`` are maps over all values that occur; the three usual
+    bands are in the latter even at 0.
+    """
     seen = newest(visits, newest_only) if newest_only else visits
     band = F.coalesce(filled(F.col("risk_band")), F.lit("Low"))
-    level = first_filled(F.col("predicted_severity"), F.lit("Unknown"))
-    count = F.count(F.lit(1))
-    levels = [*SEVERITIES, "Unknown"]
-    return seen.agg(
-        count.alias("total_predictions"),
-        *[F.count_if(band == b).alias(f"{b.lower()}_risk_count") for b in ("High", "Medium", "Low")],
-        _mean_or_zero(_score_sum(), count, 4).alias("average_risk_score"),
-        _mean_or_zero(
-            F.sum(F.coalesce(F.col("phq9_total"), F.lit(0)).cast("bigint")), count, 2
-        ).alias("average_phq9_total"),
-        F.max("created_at").alias("latest_prediction_time"),
+    groups = _by_level_and_band(seen, _level(visits), band)
+    total = _rows_where(F.lit(True))
+    return groups.agg(
+        total.alias("total_predictions"),
+        *[_rows_where(F.col("band") == b).alias(f"{b.lower()}_risk_count") for b in BANDS],
+        _mean_or_zero(F.sum("score").cast("double"), total, 4).alias("average_risk_score"),
+        _mean_or_zero(F.sum("phq"), total, 2).alias("average_phq9_total"),
+        F.max("newest.created_at").alias("latest_prediction_time"),
         *[
-            F.count_if(level == name).alias("n_" + name.lower().replace(" ", "_"))
-            for name in levels
+            _rows_where(F.col("level") == name).alias("n_" + name.lower().replace(" ", "_"))
+            for name in [*SEVERITIES, "Unknown"]
         ],
+        _count_map("level").alias("severity_counts"),
+        _count_map("band", BANDS).alias("risk_band_counts"),
     )
 
 
 def stats_variant(visits: DataFrame) -> DataFrame:
-    """Stats over all given visits, with the most common level (ties: seen first)."""
-    level = first_filled(F.col("predicted_severity"), F.lit("Unknown"))
-    band = F.coalesce(filled(F.col("risk_band")), risk_band(F.col("predicted_severity")))
-    per_level = visits.groupBy(level.alias("level")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(band == b).alias(b) for b in ("High", "Medium", "Low")],
-        F.sum(F.coalesce("risk_score", F.lit(0.0)).cast("decimal(18,6)")).alias("score"),
-        F.max(F.struct(*ORDER)).alias("newest"),
+    """Stats over all given visits, with the most common level (ties: seen first) and both count maps."""
+    saved = F.col("severity") if "severity" in visits.columns else F.col("predicted_severity")
+    band = F.coalesce(filled(F.col("risk_band")), risk_band(saved))
+    groups = _by_level_and_band(visits, _level(visits), band)
+    total = _rows_where(F.lit(True))
+    per_level = Window.partitionBy("level")
+    # Rows of a level in all its bands, and its newest visit; the groups are few.
+    groups = groups.withColumns(
+        {"level_n": F.sum("n").over(per_level), "level_newest": F.max("newest").over(per_level)}
     )
-    return per_level.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_predictions"),
-        *[
-            F.coalesce(F.sum(b), F.lit(0)).cast("bigint").alias(f"{b.lower()}_risk_patients")
-            for b in ("High", "Medium", "Low")
-        ],
-        _mean_or_zero(F.sum("score").cast("double"), F.sum("n"), 4).alias(
-            "average_risk_score"
-        ),
-        F.coalesce(F.max_by("level", F.struct("n", "newest")), F.lit("N/A")).alias(
+    return groups.agg(
+        total.alias("total_predictions"),
+        *[_rows_where(F.col("band") == b).alias(f"{b.lower()}_risk_patients") for b in BANDS],
+        _mean_or_zero(F.sum("score").cast("double"), total, 4).alias("average_risk_score"),
+        F.coalesce(F.max_by("level", F.struct("level_n", "level_newest")), F.lit("N/A")).alias(
             "most_common_severity"
         ),
         F.max("newest.created_at").alias("latest_prediction_time"),
+        _count_map("level").alias("severity_counts"),
+        _count_map("band", BANDS).alias("risk_band_counts"),
     )
 
 
+def map_text(counts: str) -> Column:
+    """A count map as text, by name."""
+    entries = F.array_sort(F.map_entries(counts))
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+
+
 def daily_activity(visits: DataFrame) -> DataFrame:
     """Visits and mean total per day."""
     day = visit_day(F.col("visit_date"), F.col("created_at"))

@@ -115,24 +115,35 @@ def item_cell_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def item_quality(df: DataFrame) -> DataFrame:
-    """One row: faulty cells, complete rows and the distinct invalid values seen."""
+#: Invalid values that the one-row report lists; ``invalid_values`` has them all.
+MOST_LISTED = 1_000
+
+
+def invalid_values(df: DataFrame) -> DataFrame:
+    """Every invalid answer value with the number of its cells, a row each."""
+    counts = item_cell_counts(df).where(F.col("kind") == "invalid_cell")
+    return counts.select("value", F.col("n").alias("n_cells"))
+
+
+def item_quality(df: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
+    """One row: faulty cells, complete rows and the distinct invalid values seen.
+
+    The values are listed as text up to ``most_listed``; free numbers in a column don't fill one row.
+    """
     counts = item_cell_counts(df)
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
 
     kind = F.col("kind")
+    # Ordered rather than filtered first, so that both parts share one exchange of the counts.
+    text = F.when(kind == "invalid_cell", F.col("value").cast("string")).alias("text")
+    first = counts.select(text).orderBy(F.col("text").asc_nulls_last()).limit(most_listed)
+    listed = first.agg(F.array_join(F.array_sort(F.collect_list("text")), ",")).scalar()
     return counts.agg(
         total(kind != "complete_row").alias("invalid_or_missing_cell_count"),
         total(kind == "complete_row").alias("complete_valid_rows"),
-        F.array_join(
-            F.array_sort(
-                F.collect_list(F.when(kind == "invalid_cell", F.col("value").cast("string")))
-            ),
-            ",",
-        ).alias("observed_invalid_values"),
-    )
+    ).withColumn("observed_invalid_values", listed)
 
 
 def total_consistency(df: DataFrame) -> DataFrame:

@@ -191,6 +191,11 @@ ORACLES["item_quality"] = with_views(
     """,
     "fx_visit",
 )
+ORACLES["item_invalid_values"] = with_views(
+    f"SELECT CAST(v AS DOUBLE) AS value, count(*) AS n_cells FROM (SELECT unnest([{', '.join(ITEMS)}]) AS v"
+    " FROM fx_visit) c WHERE v NOT IN (0, 1, 2, 3) GROUP BY v",
+    "fx_visit",
+)
 ORACLES["total_consistency"] = with_views(
     f"SELECT count(*) AS n_rows, bool_and(phq9_total = {TOTAL}) AS totals_match FROM fx_history",
     "fx_history",
@@ -646,10 +651,15 @@ _SUMMARY = f"""
       {_extreme('RIDRETH1', 'up')} AS highest_risk_race,
       coalesce(widest, 0) AS max_disparity, coalesce(widest, 0) >= 15 AS bias_detected,
       CASE WHEN coalesce(widest, 0) >= 15 THEN {_quoted(schema.BIAS_FOUND)}
-        ELSE {_quoted(schema.BIAS_NOT_FOUND)} END AS fairness_warning
+        ELSE {_quoted(schema.BIAS_NOT_FOUND)} END AS fairness_warning,
+      (SELECT string_agg(line, '; ' ORDER BY line) FROM (SELECT group_column || '=' ||
+        string_agg(group_value, '>' ORDER BY up) AS line FROM ranked GROUP BY group_column) g) AS groups
     FROM spread
 """
 ORACLES["fairness_summary"] = fair_sql(f", {_RANKED} {_SUMMARY}")
+ORACLES["fairness_records"] = fair_sql(
+    f", {_RANKED} SELECT * EXCLUDE (up, down), CAST(up AS INT) AS place FROM ranked"
+)
 ORACLES["fairness_inventory"] = fair_sql(
     """
     SELECT count(*) AS row_count,
@@ -754,7 +764,7 @@ ORACLES["patient_trend"] = with_views(
     f"WITH {_TREND} SELECT *, total - previous_total AS change FROM t", "fx_history"
 )
 ORACLES["trend_points"] = with_views(
-    f"WITH {_TREND} SELECT patient_id, CAST((position - 1) // 10 AS INT) AS part, position, visit_id,"
+    f"WITH {_TREND} SELECT patient_id, CAST(strftime(created_at, '%Y%m') AS INT) AS part, position, visit_id,"
     " total, risk_percent FROM t",
     "fx_history",
 )
@@ -792,6 +802,23 @@ ORACLES["patient_directory"] = with_views(
     """,
     "fx_history",
 )
+def _map_text(name: str, value: str, source: str, always: str = "") -> str:
+    """SQL: counts by value as ``name:n`` texts, in order; ``always`` lists values that come even at 0."""
+    zero = f" UNION ALL SELECT unnest([{always}]), 0" if always else ""
+    return (
+        f"(SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT v, CAST(sum(n) AS BIGINT) AS n FROM"
+        f" (SELECT {value} AS v, count(*) AS n FROM {source} GROUP BY 1{zero}) u GROUP BY v) c) AS {name}"
+    )
+
+
+def _stats_maps(source: str, band: str) -> str:
+    level = "coalesce(nullif(predicted_severity, ''), 'Unknown')"
+    return (
+        _map_text("severity_counts", level, source)
+        + ", " + _map_text("risk_band_counts", band, source, "'High', 'Medium', 'Low'")
+    )
+
+
 _DASHBOARD = """
     SELECT count(*) AS total_predictions,
       count(*) FILTER (WHERE risk_band = 'High') AS high_risk_count,
@@ -806,13 +833,16 @@ _DASHBOARD = """
       count(*) FILTER (WHERE predicted_severity = 'Moderate') AS n_moderate,
       count(*) FILTER (WHERE predicted_severity = 'Moderately Severe') AS n_moderately_severe,
       count(*) FILTER (WHERE predicted_severity = 'Severe') AS n_severe,
-      count(*) FILTER (WHERE coalesce(predicted_severity, '') = '') AS n_unknown
+      count(*) FILTER (WHERE coalesce(predicted_severity, '') = '') AS n_unknown,
 """
+_NEWEST = "(SELECT * FROM fx_history ORDER BY created_at DESC, visit_id DESC LIMIT 500) h"
+_SAVED_BAND = "coalesce(nullif(risk_band, ''), 'Low')"
 ORACLES["dashboard_stats"] = with_views(
-    f"{_DASHBOARD} FROM (SELECT * FROM fx_history ORDER BY created_at DESC, visit_id DESC LIMIT 500) h",
-    "fx_history",
+    f"{_DASHBOARD} {_stats_maps(_NEWEST, _SAVED_BAND)} FROM {_NEWEST}", "fx_history"
+)
+ORACLES["dashboard_stats_all"] = with_views(
+    f"{_DASHBOARD} {_stats_maps('fx_history', _SAVED_BAND)} FROM fx_history", "fx_history"
 )
-ORACLES["dashboard_stats_all"] = with_views(f"{_DASHBOARD} FROM fx_history", "fx_history")
 ORACLES["stats_variant"] = with_views(
     f"""
     WITH b AS (SELECT *, coalesce(nullif(risk_band, ''), {_band('predicted_severity', 'High')}) AS band
@@ -826,7 +856,8 @@ ORACLES["stats_variant"] = with_views(
       CAST(printf('%.4f', sum(CAST(coalesce(risk_score, 0) AS DECIMAL(18, 6)))::DOUBLE / count(*)) AS DOUBLE)
         AS average_risk_score,
       (SELECT predicted_severity FROM l ORDER BY n DESC, newest DESC LIMIT 1) AS most_common_severity,
-      max(created_at) AS latest_prediction_time
+      max(created_at) AS latest_prediction_time,
+      {_stats_maps('b', 'band')}
     FROM b
     """,
     "fx_history",
@@ -959,6 +990,46 @@ ORACLES["label_index"] = clean_sql(
     " SELECT SEQN, SEVERITY, label FROM clean JOIN l USING (SEVERITY)"
 )
 
+_NUMBERS = [*ITEMS, "RIDAGEYR"]
+_CODES = ["RIAGENDR", "RIDRETH1", "DMDMARTL"]
+ORACLES["smote_neighbours"] = clean_sql(
+    "WITH points AS (SELECT SEVERITY, min(SEQN) AS vid, "
+    + ", ".join(f"{c}" for c in [*_NUMBERS, *_CODES])
+    + " FROM (SELECT SEVERITY, SEQN, "
+    + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in _NUMBERS)
+    + ", " + ", ".join(_CODES) + " FROM clean) c GROUP BY ALL),"
+    " pairs AS (SELECT a.SEVERITY, a.vid, b.vid AS neighbour, sqrt("
+    + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _NUMBERS)
+    + " + " + " + ".join(
+        f"CASE WHEN a.{c} IS NOT DISTINCT FROM b.{c} THEN 0 WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 1 ELSE 2 END" for c in _CODES
+    )
+    + ") AS distance FROM points a JOIN points b ON a.SEVERITY = b.SEVERITY AND a.vid <> b.vid)"
+    " SELECT SEVERITY, vid AS SEQN, neighbour, CAST(place AS INT) AS rank, distance FROM (SELECT *,"
+    " row_number() OVER (PARTITION BY vid ORDER BY distance, neighbour) AS place FROM pairs) r WHERE place <= 5"
+)
+ORACLES["train_checks"] = clean_sql(
+    f"WITH {_SPLIT}, c AS (SELECT SEVERITY, count(*) AS n FROM spl WHERE NOT is_test GROUP BY SEVERITY),"
+    " s AS (SELECT CAST(CASE WHEN min(n) < 2 THEN sum(n) ELSE count(*) * max(n) END AS BIGINT) AS train_size FROM c)"
+    " SELECT CAST(ordinal AS INT) AS ordinal, candidate, train_size, true AS measures_are_shares FROM s,"
+    " (VALUES (0, 'Logistic Regression'), (1, 'Random Forest')) AS m(ordinal, candidate)"
+)
+ORACLES["train_fairness_groups"] = clean_sql(
+    f"WITH {_SPLIT}, g AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{g}' AS group_column, " + (g if g == "AGE_GROUP" else f"CAST(CAST({g} AS BIGINT) AS VARCHAR)")
+        + " AS group_value FROM clean JOIN spl USING (SEQN) WHERE is_test"
+        for g in GROUPS
+    )
+    + ") SELECT group_column, group_value, CASE WHEN group_column = 'AGE_GROUP' THEN group_value"
+    f" {_LABEL_CASES} ELSE 'Unknown / Other (' || group_value || ')' END AS group_label,"
+    " count(*) AS sample_size, true AS rates_are_shares FROM g WHERE group_value IS NOT NULL GROUP BY 1, 2"
+)
+ORACLES["score_batch_checks"] = with_views(
+    f"WITH {_RULES} SELECT visit_id, patient_id, phq9_total, rule_based_severity, risk_band,"
+    " true AS probabilities_sum_to_one, true AS score_is_largest, true AS label_is_likeliest, true AS agreement_fits"
+    " FROM judged",
+    "fx_request",
+)
 ORACLES["smote_class_counts"] = clean_sql(
     f"WITH {_SPLIT}, c AS (SELECT SEVERITY, count(*) AS n FROM spl WHERE NOT is_test GROUP BY SEVERITY)"
     " SELECT SEVERITY, (SELECT max(n) FROM c) AS n_rows, (SELECT max(n) FROM c) - n AS n_synthetic FROM c"

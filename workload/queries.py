@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +15,8 @@ from visitgauge.functions import cleaning, identity, scoring
 from visitgauge.operators import (
     agreement, fairness, features, history, merging, quality, split,
 )
-from visitgauge.operators.oversample import oversample
+from visitgauge.operators.neighbours import nearest_in_class
+from visitgauge.operators.oversample import distinct_points, oversample
 from visitgauge.plans import audit as audit_plan
 from visitgauge.plans import fairness as fairness_plan
 from visitgauge.plans import preprocess as prep
@@ -126,6 +128,11 @@ def item_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.item_quality(views.visits(spark, sf))
 
 
+@query
+def item_invalid_values(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.invalid_values(views.visits(spark, sf))
+
+
 @query
 def total_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return quality.total_consistency(
@@ -433,7 +440,22 @@ def risk_percentage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fairness_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return fairness.fairness_summary(_report(spark, sf)).drop("groups")
+    """The verdict, with the order of the groups of each column as text; see ``fairness_records`` for their records."""
+    summary = fairness.fairness_summary(_report(spark, sf))
+    order = F.array_join(
+        F.transform(
+            F.array_sort(F.map_entries("groups")),
+            lambda g: F.concat_ws("=", g["key"], F.array_join(F.transform(g["value"], lambda r: r["group_value"]), ">")),
+        ),
+        "; ",
+    )
+    return summary.withColumn("groups", order)
+
+
+@query
+def fairness_records(spark: SparkSession, sf: str) -> DataFrame:
+    """All report records inside the summary, by column and place."""
+    return fairness.summary_records(fairness.fairness_summary(_report(spark, sf)))
 
 
 @query
@@ -493,8 +515,8 @@ def patient_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def trend_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Trend arrays of ten visits each, unfolded again."""
-    arrays = history.trend_arrays(views.history(spark, sf), per_row=10)
+    """Trend arrays by month, unfolded again."""
+    arrays = history.trend_arrays(views.history(spark, sf))
     return arrays.select("patient_id", "part", F.inline("trend")).drop("created_at")
 
 
@@ -523,19 +545,23 @@ def patient_directory(spark: SparkSession, sf: str) -> DataFrame:
     return history.patient_directory(views.history(spark, sf))
 
 
+def _with_map_texts(stats: DataFrame) -> DataFrame:
+    return stats.withColumns({c: history.map_text(c) for c in ("severity_counts", "risk_band_counts")})
+
+
 @query
 def dashboard_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return history.dashboard_stats(views.history(spark, sf))
+    return _with_map_texts(history.dashboard_stats(views.history(spark, sf)))
 
 
 @query
 def dashboard_stats_all(spark: SparkSession, sf: str) -> DataFrame:
-    return history.dashboard_stats(views.history(spark, sf), newest_only=None)
+    return _with_map_texts(history.dashboard_stats(views.history(spark, sf), newest_only=None))
 
 
 @query
 def stats_variant(spark: SparkSession, sf: str) -> DataFrame:
-    return history.stats_variant(views.history(spark, sf))
+    return _with_map_texts(history.stats_variant(views.history(spark, sf)))
 
 
 @query
@@ -652,6 +678,26 @@ def smote(spark: SparkSession, sf: str) -> DataFrame:
     return _oversampled(spark, sf)
 
 
+#: Codes whose indicator columns count in ``smote_neighbours``, with their number of values.
+NEIGHBOUR_CODES = {"RIAGENDR": 2, "RIDRETH1": 5, "DMDMARTL": 6}
+
+
+@query
+def smote_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest rows of each class on answers, age and codes, as oversampling finds them; whole numbers, so ties are exact."""
+    indicators = {
+        f"{name}_{v}": F.coalesce(F.col(name) == v, F.lit(False)).cast("double")
+        for name, values in NEIGHBOUR_CODES.items()
+        for v in range(1, values + 1)
+    }
+    numbers = {name: F.coalesce(F.col(name), F.lit(0)).cast("double") for name in [*ITEMS, AGE]}
+    columns = {**numbers, **indicators}
+    coded = _clean(spark, sf).select(KEY, TARGET, *[c.alias(f"x_{n}") for n, c in columns.items()])
+    points = materialise(distinct_points(coded, [f"x_{n}" for n in columns]).select(TARGET, "vid", "x"))
+    found = nearest_in_class(points, 5, TARGET)
+    return found.select(TARGET, F.col("vid").alias(KEY), "neighbour", "rank", "distance")
+
+
 @query
 def smote_class_counts(spark: SparkSession, sf: str) -> DataFrame:
     return (
@@ -669,6 +715,24 @@ def train_models(spark: SparkSession, sf: str) -> DataFrame:
     return _trained(spark, sf).compared
 
 
+@query
+def train_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What SQL can tell of the trained candidates: their order, the resampled rows, and that measures are shares."""
+    compared = _trained(spark, sf).compared
+    shares = reduce(Column.__and__, [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1")])
+    return compared.select("ordinal", "candidate", "train_size", shares.alias("measures_are_shares"))
+
+
+@query
+def train_fairness_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and sizes of the trained model's fairness report, and that its rates are shares."""
+    trained = _trained(spark, sf)
+    report = fairness_plan.trained_fairness(trained.test_raw, trained.model, trained.fitted)
+    rates = ["accuracy", "precision", "recall", "f1", "false_positive_rate", "false_negative_rate", "selection_rate"]
+    shares = reduce(Column.__and__, [F.col(c).between(0, 1) for c in rates])
+    return report.select("group_column", "group_value", "group_label", "sample_size", shares.alias("rates_are_shares"))
+
+
 @query
 def train_fairness(spark: SparkSession, sf: str) -> DataFrame:
     trained = _trained(spark, sf)
@@ -686,6 +750,22 @@ def score_batch(spark: SparkSession, sf: str) -> DataFrame:
     return scored.drop("timestamp")
 
 
+@query
+def score_batch_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule columns of fully scored requests, and that probabilities, score and agreement fit together."""
+    scored = score_batch(spark, sf)
+    chances = F.map_values("probabilities")
+    total = F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
+    # Each of the five is rounded to four decimals.
+    return scored.select(
+        "visit_id", "patient_id", "phq9_total", "rule_based_severity", "risk_band",
+        (F.abs(total - 1) < 0.0005).alias("probabilities_sum_to_one"),
+        (F.col("risk_score") == F.array_max(chances)).alias("score_is_largest"),
+        (F.element_at("probabilities", F.col("model_predicted_severity")) == F.col("risk_score")).alias("label_is_likeliest"),
+        (F.col("model_agreement") == (F.col("model_predicted_severity") == F.col("rule_based_severity"))).alias("agreement_fits"),
+    )
+
+
 @query
 def boundary_checks(spark: SparkSession, sf: str) -> DataFrame:
     trained = _trained(spark, sf)
