@@ -49,8 +49,8 @@ BLOCK_ROWS, LOT_ROWS = 2_048, 8_192
 PAIRS_AT_ONCE = 1 << 18
 #: Sets of so many shingles, or fewer, go along with their sketches.
 MARKED = 256
-#: Each round a class may offer so many times as many partners as in the one before.
-GROWTH = 8
+#: Partners that a class may offer in the first round, and how many times as many in each later one.
+FIRST_OFFERS, GROWTH = 8, 8
 
 
 @lru_cache
@@ -240,14 +240,14 @@ def sketch_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
 
 
-def marks_in_common(row: np.ndarray, column: np.ndarray, asking: pd.DataFrame, offered: pd.DataFrame) -> np.ndarray:
-    """How many marks of the asking rows the offered ones have, pair by pair; pairs are sorted by ``row``."""
-    counts = np.array([len(x) // 4 for x in offered["marks"]], np.int64)
-    flat, ends = np.frombuffer(b"".join(offered["marks"]), np.uint32), np.cumsum(counts)
+def marks_in_common(row: np.ndarray, column: np.ndarray, marks: pd.Series) -> np.ndarray:
+    """How many marks of one row another one has, pair by pair; pairs are sorted by ``row``."""
+    counts = np.array([len(x) // 2 for x in marks], np.int64)
+    flat, ends = np.frombuffer(b"".join(marks), np.uint16), np.cumsum(counts)
     common = np.zeros(len(row), np.int64)
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
     for start, end in zip(first, [*first[1:], len(row)]):
-        own = np.frombuffer(asking["marks"].iat[row[start]], np.uint32)
+        own = np.frombuffer(marks.iat[row[start]], np.uint16)
         theirs = column[start:end]
         many = counts[theirs]
         place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ends[theirs] - many, many)
@@ -257,134 +257,152 @@ def marks_in_common(row: np.ndarray, column: np.ndarray, asking: pd.DataFrame, o
     return common
 
 
-def best_offers(asking: pd.DataFrame, offered: pd.DataFrame, take: int) -> pd.DataFrame:
-    """The nearest ``take`` promising partners of each asking row behind its cursor, among the offered rows of its bucket."""
-    def sketch(rows):
-        return np.frombuffer(b"".join(rows["packed"]), np.uint64).reshape(-1, SKETCH_LONGS)
-
+def best_offers(rows: pd.DataFrame, take: int) -> pd.DataFrame:
+    """The nearest ``take`` promising partners of each row that asks behind its cursor, among those of its bucket that are offered."""
+    rows = rows.sort_values("bucket", kind="stable")
+    asks, offered = np.flatnonzero(rows["asks"]), np.flatnonzero(rows["offered"])
     found = [np.zeros((0, 3), np.int64)]
-    if len(asking) and len(offered):
-        columns = ["class", "component", "first", "size", "n"]
-        offered = offered.sort_values("bucket", kind="stable")
-        buckets, mine = offered["bucket"].to_numpy(), asking["bucket"].to_numpy()
-        low, high = np.searchsorted(buckets, mine), np.searchsorted(buckets, mine, "right")
-        names, now, origin, size, n = (offered[c].to_numpy() for c in columns)
-        name, at, source, weight, m = (asking[c].to_numpy() for c in columns)
-        after, after_name = asking["after"].to_numpy().astype(np.int64), asking["after_class"].to_numpy().astype(np.int64)
-        own, theirs = sketch(asking), sketch(offered)
-        ends = np.cumsum(high - low)
+    if len(asks) and len(offered):
+        bucket, names, now, origin, size, n, after, after_name = (
+            rows[c].fillna(0).to_numpy().astype(np.int64)
+            for c in ("bucket", "class", "component", "first", "size", "n", "after", "after_class")
+        )
+        sketches = np.frombuffer(b"".join(rows["packed"]), np.uint64).reshape(-1, SKETCH_LONGS)
+        low = np.searchsorted(bucket[offered], bucket[asks])
+        ends = np.cumsum(np.searchsorted(bucket[offered], bucket[asks], "right") - low)
         start = 0
-        while start < len(asking):
+        while start < len(asks):
             # Rows with about PAIRS_AT_ONCE pairs together.
             before = ends[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(ends, before + PAIRS_AT_ONCE, "right")))
-            many = high[start:end] - low[start:end]
+            many = np.diff(ends[start:end], prepend=before)
             row = np.repeat(np.arange(start, end), many)
-            column = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]
-            start = end
+            column = offered[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]]
+            row, start = asks[row], end
             # A pair is offered by the class whose first component was smaller, and by it alone.
-            fits = (at[row] != now[column]) & (
-                (weight[row] < size[column]) | (weight[row] == size[column]) & (source[row] < origin[column])
+            fits = (now[row] != now[column]) & (
+                (size[row] < size[column]) | (size[row] == size[column]) & (origin[row] < origin[column])
             )
             row, column = row[fits], column[fits]
-            least, most = np.minimum(m[row], n[column]), np.maximum(m[row], n[column])
+            least, most = np.minimum(n[row], n[column]), np.maximum(n[row], n[column])
             fits = 100 * least >= SIMILARITY_PERCENT * most
             row, column, least = row[fits], column[fits], least[fits]
-            apart = sketch_distances(own[row], theirs[column])
+            apart = sketch_distances(sketches[row], sketches[column])
             fits = (apart <= MOST_DIFFERENT) | (least < LEAST_SKETCHED)
             fits &= (apart > after[row]) | (apart == after[row]) & (names[column] > after_name[row])
             row, column, apart = row[fits], column[fits], apart[fits]
             # Small sets are here as a whole, so what the sketches let through is settled before it is offered.
-            small = np.flatnonzero((m[row] <= MARKED) & (n[column] <= MARKED))
-            common = marks_in_common(row[small], column[small], asking, offered)
-            refused = 100 * common < SIMILARITY_PERCENT * (m[row[small]] + n[column[small]] - common)
+            small = np.flatnonzero((n[row] <= MARKED) & (n[column] <= MARKED))
+            common = marks_in_common(row[small], column[small], rows["marks"])
+            refused = 100 * common < SIMILARITY_PERCENT * (n[row[small]] + n[column[small]] - common)
             row, column, apart = (np.delete(v, small[refused]) for v in (row, column, apart))
             order = np.lexsort((names[column], apart, row))
             row, column, apart = row[order], column[order], apart[order]
             few = np.arange(len(row)) - np.searchsorted(row, row) < take
-            found.append(np.stack([name[row[few]], names[column[few]], apart[few]], 1))
+            found.append(np.stack([names[row[few]], names[column[few]], apart[few]], 1))
     return pd.DataFrame(np.concatenate(found), columns=["class", "other", "apart"])
 
 
-def offers(open_rows: DataFrame, asking: DataFrame, take: int) -> DataFrame:
-    """class, other and apart: up to ``take`` partners of each class of ``asking``, the most promising first.
+def narrow(rows: DataFrame) -> DataFrame:
+    """Written rows of a few numbers, to be broadcast up to ``BROADCAST_KEYS`` of them; beyond that both sides are shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+
 
-    Members of a large bucket are dealt into numbered blocks on either side, so that no bucket is one
-    task, and small buckets share lots; from a lot or a pair of blocks at most ``take`` rows leave for each row.
+def offers(members: DataFrame, state: DataFrame, sets: DataFrame, take: int) -> DataFrame:
+    """class, other and apart: up to ``take`` partners of each asking class (with a cursor), the most promising first.
+
+    ``members`` (bucket, class) of buckets without a class that asks, or with one component, are left out. Members of
+    a large bucket are dealt into numbered blocks, which meet pair by pair, so that no bucket is one task; small
+    buckets share lots, each with one row for each member. At most ``take`` rows leave a group for each of its rows.
     """
-    both = open_rows.join(asking.select("class", "after", "after_class"), "class", "left")
-    blocks = both.groupBy("bucket").agg(
-        F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("c_blocks"),
-        F.ceil(F.count("after") / BLOCK_ROWS).cast("int").alias("q_blocks"),
-        F.count("*").alias("k"),
-    ).where("q_blocks > 0")
+    rows = members.join(narrow(state), "class")
+    blocks = rows.groupBy("bucket").agg(
+        F.count("*").alias("k"), F.count("after").alias("asking"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+    ).where("asking > 0 and low != high").select("bucket", "k", F.ceil(F.col("k") / BLOCK_ROWS).cast("int").alias("blocks"))
     blocks = written(blocks, "blocks")
     lots = int(blocks.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]) // LOT_ROWS + 1
-    sized = both.join(blocks, "bucket").withColumn("large", F.col("k") > BLOCK_ROWS).withColumn(
-        "lot", F.when(F.col("large"), F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(lots)))
-    )
-
-    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("class"), F.col(f"{mine}_blocks")).cast("int")
-        spread = rows.withColumn(f"{mine}_block", block).withColumn(
-            f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+    sized = rows.join(narrow(blocks), "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # In a large bucket a row asks in all pairs with its own block first, and is offered in all with it second.
+    asks, yes = F.col("after").isNotNull(), F.lit(True)
+    lot = F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(lots)))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    roles = F.when(
+        F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), asks.alias("asks"), yes.alias("offered")))
+    ).otherwise(
+        F.concat(
+            F.transform(F.filter(every, lambda _: asks), lambda y: F.struct(F.col("block").alias("x"), y.alias("y"), yes.alias("asks"), (~yes).alias("offered"))),
+            F.transform(every, lambda x: F.struct(x.alias("x"), F.col("block").alias("y"), (~yes).alias("asks"), yes.alias("offered"))),
         )
-        return spread.select(*[F.col(c).alias(c) for c in (*keys, "bucket", "class", "component", "first", "size", "n", "packed", "marks", "after", "after_class")])
-
-    keys = ["large", "lot", "q_block", "c_block"]
-    left, right = dealt(sized.where("after is not null"), "q", "c"), dealt(sized, "c", "q")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        lambda a, b: best_offers(a, b, take), "class long, other long, apart long"
-    ).distinct()
-    turn = F.row_number().over(Window.partitionBy("class").orderBy("apart", "other"))
-    return found.withColumn("turn", turn).where(F.col("turn") <= take).drop("turn")
+    )
+    dealt = sized.withColumns({"lot": lot, "large": F.col("blocks") > 1}).select("*", F.inline(roles))
+    wide = dealt.join(sets.select("class", "n", "packed", "marks"), "class")
+    found = wide.groupBy("large", "lot", "x", "y").applyInPandas(
+        lambda group: best_offers(group, take), "class long, other long, apart long"
+    )
+    # A pair can come from several buckets; equal rows have one rank.
+    turn = F.dense_rank().over(Window.partitionBy("class").orderBy("apart", "other"))
+    return found.withColumn("turn", turn).where(F.col("turn") <= take).dropDuplicates(["class", "other"]).drop("turn")
 
 
 def bridged(members: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """first and component: what the components in shared buckets are called after all links across them."""
+    """first and component: what the components in shared buckets are called after all links across them.
+
+    The state has a row for each class in a bucket with several components: its first component and the
+    number of classes in it, its present component, and behind which partner it goes on asking (null: none left).
+    """
     rows = labelled(members.select("bucket", "class"), groups)
     split = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    rows = rows.join(split.select("bucket"), "bucket").withColumnRenamed("component", "first")
+    rows = written(rows.join(split.select("bucket"), "bucket").withColumnRenamed("component", "first"), "open")
     sizes = labelled(sets.select("class"), groups).groupBy("component").agg(F.count("*").alias("size"))
-    rows = rows.join(sizes.withColumnRenamed("component", "first"), "first")
-    rows = written(rows.join(sets.select("class", "n", "packed", "marks"), "class"), "open")
-    names = written(rows.select("first", F.col("first").alias("component")).distinct(), "names")
-    asking = written(
-        rows.select("class", F.lit(-1).cast("long").alias("after"), F.lit(0).cast("long").alias("after_class")).distinct(), "asking"
+    state = written(
+        rows.select("class", "first").distinct().join(sizes.withColumnRenamed("component", "first"), "first").select(
+            "class", "first", "size", F.col("first").alias("component"),
+            F.lit(-1).cast("long").alias("after"), F.lit(0).cast("long").alias("after_class"),
+        ),
+        "state",
     )
-    # Partners that a class may offer in a round.
-    take, alone = 1, True
-    while not asking.isEmpty():
-        now = rows.join(names, "first")
-        several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        found = written(offers(now.join(several.select("bucket"), "bucket", "left_semi"), asking, take), "offers")
-        origin = rows.select("class", "first").distinct().join(names, "first").select("class", "component")
+    members = rows.select("bucket", "class")
+
+    def across(found: DataFrame, state: DataFrame) -> DataFrame:
+        """Offers whose classes are in different components now."""
+        origin = narrow(state.select("class", "component"))
         ends = found.join(origin, "class").join(origin.toDF("other", "component2"), "other")
-        if alone:
-            # One pair for each component, its best one; the classes' own turns come after.
-            best = ends.groupBy("component").agg(F.min(F.struct("apart", "class", "other", "component2")).alias("best"))
-            ends = best.select("component", "best.*")
-        pairs = written(ends.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"),
-                                    "component", "component2").dropDuplicates(["a", "b"]), "tried")
-        links = similar(pairs, sets).join(pairs, ["a", "b"]).select(F.col("component").alias("a"), F.col("component2").alias("b"))
-        links = written(links.distinct(), "bridges")
-        if not links.isEmpty():
-            joined = components(links).toDF("was", "becomes")
-            new = names.join(joined, F.col("component") == F.col("was"), "left")
-            names = written(new.select("first", F.coalesce("becomes", "component").alias("component")), "names")
-        if not alone:
-            # A class goes on behind its last partner, if it had as many as it was allowed.
-            last = F.max(F.struct("apart", "other")).alias("last")
-            asking = written(
-                found.groupBy("class").agg(F.count("*").alias("k"), last).where(F.col("k") == take).select(
-                    "class", F.col("last.apart").alias("after"), F.col("last.other").alias("after_class")
-                ),
-                "asking",
-            )
-            take *= GROWTH
-        else:
-            alone, take = False, GROWTH
-    return names
+        return ends.where("component != component2")
+
+    def joined(pairs: DataFrame, state: DataFrame) -> DataFrame:
+        """The state after the pairs (class, other, component, component2) were confirmed or refused."""
+        tried = written(
+            pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"), "component", "component2")
+            .dropDuplicates(["a", "b"]), "tried",
+        )
+        if tried.isEmpty():
+            return state
+        links = similar(tried, sets).join(narrow(tried), ["a", "b"])
+        links = written(links.select(F.col("component").alias("a"), F.col("component2").alias("b")).distinct(), "bridges")
+        if links.isEmpty():
+            return state
+        names = narrow(written(components(links).toDF("component", "becomes"), "joined"))
+        new = state.join(names, "component", "left").withColumn("component", F.coalesce("becomes", "component"))
+        return written(new.select("class", "first", "size", "component", "after", "after_class"), "state")
+
+    take = FIRST_OFFERS
+    while not state.where("after is not null").isEmpty():
+        found = written(offers(members, state, sets, take), "offers")
+        ends = across(found, state)
+        # First the best pair of each component alone; what still leads to another component comes after.
+        best = ends.groupBy("component").agg(F.min(F.struct("apart", "class", "other", "component2")).alias("best"))
+        state = joined(best.select("component", "best.*"), state)
+        state = joined(across(found, state), state)
+        # A class goes on behind its last partner, if it had as many as it was allowed.
+        last = found.groupBy("class").agg(F.count("*").alias("k"), F.max(F.struct("apart", "other")).alias("last"))
+        last = last.where(F.col("k") == take).select(
+            "class", F.col("last.apart").alias("after"), F.col("last.other").alias("after_class")
+        )
+        new = state.drop("after", "after_class").join(narrow(written(last, "asking")), "class", "left")
+        state = written(new.select("class", "first", "size", "component", "after", "after_class"), "state")
+        take *= GROWTH
+    return state.select("first", "component").distinct()
 
 
 def full_sets(rows: DataFrame) -> DataFrame:
@@ -404,8 +422,8 @@ def full_sets(rows: DataFrame) -> DataFrame:
                     pa.array(sizes),
                     pa.ListArray.from_arrays(pa.array(each), pa.array(sketches.reshape(-1))),
                     pa.array([row.tobytes() for row in sketches], pa.binary()),
-                    # Halves of hashes: what sets have in common, their halves have in common.
-                    pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) <= MARKED else b"" for s in sets], pa.binary()),
+                    # Beginnings of hashes, in order: what sets have in common, their marks have in common.
+                    pa.array([(s >> np.uint64(48)).astype(np.uint16).tobytes() if len(s) <= MARKED else b"" for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
                 ["class", "n", "sketch", "packed", "marks", "shingles"],

@@ -338,6 +338,39 @@ def test_recurrent_model_is_a_distribution_and_carries_its_state():
     assert net.score(docs) == pytest.approx(alone, rel=1e-4)
 
 
+def test_gradients_equal_finite_differences():
+    """One window of the trainer against differences of the loss, weight by weight, over two documents in one lane."""
+    generator = np.random.default_rng(5)
+    documents = [generator.integers(2, 24, 7).astype(np.int32), generator.integers(2, 24, 5).astype(np.int32)]
+    start = gru.start_weights(24, 4, 5)
+    tokens = sum(len(d) + 1 for d in documents)
+
+    def loss(weights):
+        return -gru.Network(weights).score(documents).sum() * np.log(10) / tokens
+
+    trainer = gru.Trainer(start, 0.0)
+    lanes = gru.Lanes(documents, 1)
+    (at, inside), = lanes.windows(tokens)
+    trainer.window(lanes, at, inside, np.zeros((1, 5), np.float32))
+    # After one step from nothing the mean is a tenth of the (evenly clipped) gradient.
+    found = {k: v.astype(float) * 10 for k, v in trainer.mean.items()}
+    plain = {}
+    for name, values in start.items():
+        plain[name] = np.zeros(values.shape)
+        for place in np.ndindex(*values.shape):
+            ends = []
+            for side in (1e-2, -1e-2):
+                moved = {k: v.copy() for k, v in start.items()}
+                moved[name][place] += np.float32(side)
+                ends.append(loss(moved))
+            plain[name][place] = (ends[0] - ends[1]) / 2e-2
+    whole, other = (np.concatenate([x[k].ravel() for k in sorted(start)]) for x in (found, plain))
+    scale = (whole @ other) / (other @ other)
+    assert 0 < scale <= 1.001
+    for name in start:
+        assert np.abs(found[name] - scale * plain[name]).max() < 2e-3 * scale * np.abs(other).max()
+
+
 def test_recurrent_training_lowers_the_loss():
     docs = [np.tile([3, 9, 5, 40], 20).astype(np.int32) for _ in range(30)]
     trainer = gru.Trainer(gru.start_weights(64, 8, 8), 1e-2)
