@@ -11,8 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tests.conftest import COMPLETE
+from visitgauge.operators import features, neighbours
 from visitgauge.operators.features import FeatureModel, fit_features, numeric_statistics, value_counts
-from visitgauge.operators import neighbours
 from visitgauge.operators.neighbours import nearest_in_class
 from visitgauge.operators.oversample import oversample
 from visitgauge.plans import audit as audit_plan
@@ -47,6 +47,47 @@ def test_statistics_equal_numpy(spark):
         assert stats[name]["std"] == pytest.approx(full.std(), rel=1e-12)
 
 
+def test_medians_of_free_numbers(spark):
+    rng = np.random.default_rng(11)
+    columns = {
+        "even": rng.normal(0, 1e6, 1000), "odd": rng.lognormal(0, 40, 1001), "hot": np.r_[np.full(700, 3.25), rng.normal(0, 1, 300)],
+        "two": np.array([1.5, -7.5]), "one": np.array([4.0]), "wide": np.array([-1.7e308, 1.7e308, 5e-324, 0.0]),
+    }
+    rows = [(name, float(x), 1) for name, values in columns.items() for x in values] + [("odd", None, 5)]
+    counts = spark.createDataFrame(rows, "column string, number double, n bigint").repartition(6)
+    for bins in (1024, 4):
+        assert features.medians(counts, bins) == {name: np.median(values) for name, values in columns.items()}
+
+
+def test_very_many_categories_encode_and_train(spark):
+    """100,000 categories, and one unknown, in sparse vectors; the dense columns are never made."""
+    many = 100_000
+    rows = spark.range(many + 4_000).select(
+        *[((F.col("id") % 90) if c == "RIDAGEYR" else (F.col("id") % 4)).cast("double").alias(c) for c in NUMERIC_FEATURES],
+        *[(F.concat(F.lit("code "), (F.col("id") % many).cast("string")) if c == "RIDRETH1" else (F.col("id") % 3).cast("string")).alias(c)
+          for c in CATEGORICAL_FEATURES],
+        F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("label"),
+    )
+    model = fit_features(rows)
+    assert model.sizes["RIDRETH1"] == many and "categories" not in model.__dict__
+    places = model.index.where("column = 'RIDRETH1'")
+    assert places.select("place").distinct().count() == many
+    assert places.orderBy("place").first()["category"] == "code 0"
+    encoded = model.encode(rows, ["label", "RIDRETH1"])
+    row = encoded.where("RIDRETH1 = 'code 77'").first()["features"]
+    assert row.size == model.width == len(NUMERIC_FEATURES) + many + 3 * (len(CATEGORICAL_FEATURES) - 1)
+    at = len(NUMERIC_FEATURES) + sum(model.sizes[c] for c in CATEGORICAL_FEATURES[: CATEGORICAL_FEATURES.index("RIDRETH1")])
+    place = places.where("category = 'code 77'").first()["place"]
+    assert row[at + place - 1] == 1.0 and sum(row.toArray()[at : at + many]) == 1.0
+    unknown = model.encode(rows.limit(1).withColumn("RIDRETH1", F.lit("nothing known")), []).first()["features"]
+    assert sum(unknown.toArray()[at : at + many]) == 0.0
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+
+    indexed = StringIndexer(inputCol="label", outputCol="y").fit(encoded).transform(encoded)
+    assert LogisticRegression(labelCol="y", maxIter=3).fit(indexed).numFeatures == model.width
+
+
 def test_encoding(spark, tmp_path):
     df = feature_rows(spark)
     model = fit_features(df)
@@ -58,6 +99,9 @@ def test_encoding(spark, tmp_path):
     row = model.transform(odd, []).first().asDict()
     assert sum(v for k, v in row.items() if k.startswith("cat__RIAGENDR_")) == 0.0
     assert row[f"cat__RIDRETH1_{model.fills['RIDRETH1']}"] == 1.0
+    vectors = model.encode(df, ["RIDAGEYR"]).select("features").collect()
+    dense = model.transform(df, []).collect()
+    assert sorted(tuple(r["features"].toArray()) for r in vectors) == sorted(map(tuple, dense))
     with pytest.raises(ValueError, match="missing required columns"):
         model.transform(df.drop("DPQ010"), [])
 
@@ -299,6 +343,27 @@ def test_manifest_of_large_files_and_many_files(spark, tmp_path):
     assert whole["sha256"] == hashlib.sha256("".join(each).encode()).hexdigest()
 
 
+def test_boosted_trees_compete_with_probabilities(spark, built, tmp_path):
+    """Through the real path: fitted as a candidate, stored, read back, and used in batch scoring."""
+    train, test, names = artifacts.read_split(spark, built["train"], built["test"])
+    models, _ = training.fit_candidates(train, names, trees=2, boosted=True, rounds=3)
+    assert [m.model_type for m in models] == [training.LOGISTIC, training.FOREST, training.BOOSTED]
+    model = models[-1]
+    assert model.gives_probabilities and len(model.curves) == len(model.labels)
+    model.save(spark, str(tmp_path / "boosted"))
+    again = training.TrainedModel.load(spark, str(tmp_path / "boosted"))
+    rows = again.predict_proba(test).select("y_pred", "class_probabilities").collect()
+    assert len(rows) == 15
+    for row in rows:
+        assert sum(row["class_probabilities"]) == pytest.approx(1)
+        assert row["y_pred"] == model.labels[int(np.argmax(row["class_probabilities"]))]
+    compared = training.compare_models(models, test).collect()
+    assert {r["candidate"] for r in compared} == {m.model_type for m in models}
+    fitted = FeatureModel.load(spark, built["preprocessor"])
+    scored = scoring.score_batch(scoring.boundary_requests(spark), again, fitted).collect()
+    assert all(sum(r["probabilities"].values()) == pytest.approx(1, abs=1e-3) and r["risk_score"] > 0 for r in scored)
+
+
 def test_boosted_trees_give_labels_but_no_probabilities(spark, built):
     train, test, names = artifacts.read_split(spark, built["train"], built["test"])
     from pyspark.ml import PipelineModel

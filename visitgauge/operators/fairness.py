@@ -32,13 +32,10 @@ REPORT_COLUMNS = [
 
 
 def group_text(name: str) -> Column:
-    """Group value as text: whole codes without a decimal point."""
-    if name == "AGE_GROUP":
-        return F.col(name)
-    value = F.col(name).cast("double")
-    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(
-        value.cast("string")
-    )
+    """Group value as text: whole codes without a decimal point, other texts as they are."""
+    value = F.col(name).try_cast("double")
+    whole = value == F.floor(value)
+    return F.when(whole, value.cast("bigint").cast("string")).otherwise(F.col(name).cast("string"))
 
 
 def _aggregates(labels: Sequence[str]) -> list[Column]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -628,9 +629,14 @@ def scaled_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def onehot_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Indicator columns, read from the sparse vectors."""
     clean = _clean(spark, sf)
-    encoded = features.fit_features(clean).one_hot()
-    return clean.select(KEY, *[c.alias(n) for n, c in encoded.items()])
+    fitted = features.fit_features(clean)
+    first = len(fitted.scaled())
+    values = fitted.encode(clean, [KEY]).select(KEY, vector_to_array("features").alias("values"))
+    return values.select(
+        KEY, *[F.col("values")[first + k].alias(name) for k, name in enumerate(fitted.feature_names[first:])]
+    )
 
 
 @query
