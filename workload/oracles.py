@@ -1025,7 +1025,7 @@ ORACLES["train_fairness_groups"] = clean_sql(
     " count(*) AS sample_size, true AS rates_are_shares FROM g WHERE group_value IS NOT NULL GROUP BY 1, 2"
 )
 ORACLES["score_batch_checks"] = with_views(
-    f"WITH {_RULES} SELECT visit_id, patient_id, phq9_total, rule_based_severity, risk_band,"
+    f"WITH {_RULES} SELECT visit_id, patient_id, phq9_total, predicted_severity, risk_band,"
     " true AS probabilities_sum_to_one, true AS score_is_largest, true AS label_is_likeliest, true AS agreement_fits"
     " FROM judged",
     "fx_request",

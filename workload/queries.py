@@ -764,7 +764,7 @@ def score_batch_checks(spark: SparkSession, sf: str) -> DataFrame:
     total = F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
     # Each of the five is rounded to four decimals.
     return scored.select(
-        "visit_id", "patient_id", "phq9_total", "rule_based_severity", "risk_band",
+        "visit_id", "patient_id", "phq9_total", "predicted_severity", "risk_band",
         (F.abs(total - 1) < 0.0005).alias("probabilities_sum_to_one"),
         (F.col("risk_score") == F.array_max(chances)).alias("score_is_largest"),
         (F.element_at("probabilities", F.col("model_predicted_severity")) == F.col("risk_score")).alias("label_is_likeliest"),
