@@ -84,7 +84,7 @@ def medians(counts: DataFrame, bins: int = MEDIAN_BINS) -> dict[str, float]:
         # Halves, so that the width of an interval has no overflow; of the smallest numbers they are 0.
         share = F.try_divide(F.col("number") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2)
         ends = F.when(F.col("number") > F.col("low"), F.lit(bins - 1)).otherwise(F.lit(0))
-        place = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), ends)
+        place = F.when(share.isNull(), ends).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)))
         counted = inside.groupBy("column", "side", place.alias("bin")).agg(
             F.sum("n").alias("n"), F.min("number").alias("low"), F.max("number").alias("high")
         )
