@@ -18,7 +18,7 @@ from visitgauge.operators.oversample import oversample
 from visitgauge.plans import audit as audit_plan
 from visitgauge.plans import fairness as fairness_plan
 from visitgauge.plans import scoring, training
-from visitgauge.schema import FEATURES, NUMERIC_FEATURES, SEVERITIES
+from visitgauge.schema import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, SEVERITIES
 from visitgauge.sources import artifacts
 
 
