@@ -364,6 +364,16 @@ def test_boosted_trees_compete_with_probabilities(spark, built, tmp_path):
     assert all(sum(r["probabilities"].values()) == pytest.approx(1, abs=1e-3) and r["risk_score"] > 0 for r in scored)
 
 
+def test_boosted_members_write_columns_of_their_own(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.dense(float(k % 7), float(k)), float(k % 2)) for k in range(40)]
+    fit = training.BoostedTrees(rounds=1, depth=1).fit(spark.createDataFrame(rows, ["features", "label"]))
+    assert len(fit.curves) == 2
+    names = [(m.getPredictionCol(), m.getRawPredictionCol(), m.getProbabilityCol()) for m in fit.members]
+    assert names == [(f"prediction_{k}", f"raw_{k}", f"probability_{k}") for k in range(2)]
+
+
 def test_boosted_trees_give_labels_but_no_probabilities(spark, built):
     train, test, names = artifacts.read_split(spark, built["train"], built["test"])
     from pyspark.ml import PipelineModel
