@@ -6,8 +6,9 @@ row of an array, next to the ranks of adjacent pairs. Each round finds the small
 Words of similar length share one NumPy array, so a round serves thousands of words. Words longer
 than ``SHORT`` bytes use a heap, as scanning them would take quadratic time.
 
-A worker keeps the ids of the words it has met in a table of bounded size, keyed by a 64-bit hash
-of the word's bytes and length (two of 2,000,000 words share one with a probability below 1e-6).
+A task keeps the ids of the words it has met in a table that grows to a bounded size, keyed by a 64-bit
+hash of the word's bytes and length (two of 2,000,000 words share one with a probability below 1e-6).
+The table goes at the end of the task, as idle workers outlive it and would hold it in later stages.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +28,7 @@ from llm.hashing import hashes
 from llm.stages import slices, texts_of
 
 SHORT = 48
-TABLE_BITS = 22
+FIRST_BITS, TABLE_BITS = 16, 22
 NO_RANK = np.int32(2**31 - 1)
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # Unicode White_Space, as first and last code points.
@@ -98,19 +100,39 @@ def word_starts(codes: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Ids of words by hash: open addressing with linear steps, emptied when half full."""
+    """Ids of words by hash: open addressing with linear steps. Half full, it doubles up to ``most`` bits;
+    there it is emptied."""
 
-    def __init__(self, bits: int = TABLE_BITS):
-        self.bits = bits
+    def __init__(self, most: int = TABLE_BITS):
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
+        self.bits = min(FIRST_BITS, self.most)
+        self.resize()
+        self.pool = np.zeros(1 << 16, "<u4")
+        self.filled = self.words = 0
+
+    def resize(self) -> None:
         size = 1 << self.bits
         self.keys = np.zeros(size, np.uint64)
         self.first = np.zeros(size, np.int32)
         self.count = np.zeros(size, np.int32)
-        self.pool = np.zeros(1 << 16, "<u4")
-        self.filled = self.words = 0
+
+    def full(self, more: int) -> bool:
+        """Whether so many more words don't fit at the present size."""
+        return 2 * (self.words + more) > 1 << self.bits
+
+    def reserve(self, more: int) -> None:
+        """Grow as far as so many more words need, at most to ``most`` bits."""
+        bits = self.bits
+        while self.full(more) and self.bits < self.most:
+            self.bits += 1
+        if self.bits > bits:
+            held = np.flatnonzero(self.keys)
+            keys, first, count = self.keys[held], self.first[held], self.count[held]
+            self.resize()
+            self.put(keys, first, count)
 
     def home(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -137,6 +159,9 @@ class WordTable:
         first = self.filled + np.cumsum(counts) - counts
         self.filled += len(ids)
         self.words += len(keys)
+        self.put(keys, first, counts)
+
+    def put(self, keys: np.ndarray, first: np.ndarray, counts: np.ndarray) -> None:
         place, rows = self.home(keys), np.arange(len(keys))
         while len(rows):
             at = place[rows]
@@ -313,16 +338,22 @@ class Codec:
         missing = np.flatnonzero(places < 0)
         if len(missing):
             new, at = np.unique(keys[missing], return_index=True)
-            if 2 * (table.words + len(new)) > len(table.keys):
+            bits = table.bits
+            table.reserve(len(new))
+            if table.full(len(new)):
                 table.clear()
                 missing = np.arange(len(keys))
                 new, at = np.unique(keys, return_index=True)
-                while 2 * len(new) > len(table.keys):  # one very long text may have more words
+                table.reserve(len(new))
+                while table.full(len(new)):  # one very long text may have more words
                     table.bits += 1
-                    table.clear()
+                    table.resize()
             at = missing[at]
             self.learn(raw, new, starts[at], lengths[at])
-            places[missing] = table.find(keys[missing])
+            if table.bits == bits:
+                places[missing] = table.find(keys[missing])
+            else:  # all words have moved
+                places = table.find(keys)
         counts = table.count[places]
         ends = np.cumsum(counts, dtype=np.int64)
         take = np.arange(int(ends[-1])) + np.repeat(table.first[places] - (ends - counts), counts)
@@ -346,6 +377,16 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@contextmanager
+def task_codec(path: str) -> Iterator[Codec]:
+    """The worker's codec, whose words are forgotten at the end of the task."""
+    own = codec(path)
+    try:
+        yield own
+    finally:
+        own.table.clear()
+
+
 def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every text: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit).
 
@@ -356,12 +397,12 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for batch in slices(batches):
-            ids = own.encode_batch(batch["text"].to_pylist())
-            counts = pa.array([len(x) for x in ids], pa.int64())
-            packed = pa.array([x.tobytes() for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], counts, packed], names)
+        with task_codec(path) as own:
+            for batch in slices(batches):
+                ids = own.encode_batch(batch["text"].to_pylist())
+                counts = pa.array([len(x) for x in ids], pa.int64())
+                packed = pa.array([x.tobytes() for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], counts, packed], names)
 
     source = texts_of(df, id_col, text_col)
     names = ["doc_id", "n_tokens", "ids"]

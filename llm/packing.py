@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.bpe import codec, default_vocabulary
+from llm.bpe import default_vocabulary, task_codec
 from llm.stages import slices, texts_of, written
 
 SEQUENCE = 2048
@@ -89,20 +89,20 @@ def pieces(
     kind = source.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        end = np.array([end_id], "<u4")
-        for batch in slices(batches):
-            rows, found = [], []
-            for row, ids in enumerate(own.encode_batch(batch["text"].to_pylist())):
-                ids = np.concatenate([ids, end])
-                for piece, (start, length) in enumerate(cut(len(ids), capacity)):
-                    raw = ids[start : start + length].tobytes()
-                    rows.append(row)
-                    found.append((piece, start, length, zlib.crc32(raw), raw if with_ids else None))
-            columns = list(zip(*found))[: 5 if with_ids else 4]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows, pa.int64())), *arrays], names)
+        with task_codec(path) as own:
+            end = np.array([end_id], "<u4")
+            for batch in slices(batches):
+                rows, found = [], []
+                for row, ids in enumerate(own.encode_batch(batch["text"].to_pylist())):
+                    ids = np.concatenate([ids, end])
+                    for piece, (start, length) in enumerate(cut(len(ids), capacity)):
+                        raw = ids[start : start + length].tobytes()
+                        rows.append(row)
+                        found.append((piece, start, length, zlib.crc32(raw), raw if with_ids else None))
+                columns = list(zip(*found))[: 5 if with_ids else 4]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows, pa.int64())), *arrays], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     fields = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"

@@ -59,6 +59,20 @@ def test_full_table_is_emptied(library):
     assert codec.encode_batch([" ".join(texts)])[0].tolist() == ids_of(library, " ".join(texts))
 
 
+def test_table_grows_with_its_words_and_ends_with_the_task(library):
+    def held(table):
+        return sum(x.nbytes for x in (table.keys, table.first, table.count, table.pool))
+
+    generator = random.Random(4)
+    texts = [" ".join("".join(generator.choices("abcdefghij", k=7)) for _ in range(6000)) for _ in range(12)]
+    with bpe.task_codec(bpe.default_vocabulary()) as codec:
+        codec.table.clear()
+        for text in texts + texts:
+            assert codec.encode_batch([text])[0].tolist() == ids_of(library, text)
+        assert codec.table.words > 60_000 and 2 * codec.table.words <= len(codec.table.keys) < 1 << bpe.TABLE_BITS
+    assert codec.table.words == 0 and held(codec.table) < 2 << 20
+
+
 def test_encode_and_decode_odd_rows(spark, odd, empty, library):
     encoded = bpe.encode(odd)
     for row in bpe.decode(encoded.join(odd.select("doc_id", "text").dropDuplicates(["doc_id"]).withColumnRenamed("text", "given"), "doc_id")).collect():
