@@ -217,18 +217,33 @@ class Trainer:
         self.tokens += many
         self.turn += 1
         scale = 1 / max(1, many)
-        own = (np.unique(targets // net.width)[:, None] * net.width + np.arange(net.width)).reshape(-1)
-        touched = {"input": met, "word": own, "word_bias": own}
-        found = {k: g[touched.get(k, slice(None))] * np.float32(scale) for k, g in gradients.items()}
-        norm = np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in found.values()))
-        clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-        rate = self.rate * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn)
-        for k, g in found.items():
-            rows = touched.get(k, slice(None))
-            g *= clip
-            mean = self.mean[k][rows] * np.float32(0.9) + np.float32(0.1) * g
-            square = self.square[k][rows] * np.float32(0.999) + np.float32(0.001) * g * g
-            self.mean[k][rows], self.square[k][rows] = mean, square
-            w[k][rows] -= np.float32(rate) * mean / (np.sqrt(square) + np.float32(1e-6))
+        # Runs of word rows with a gradient: those of a class lie side by side, and stay in the cache through a step.
+        classes = np.unique(targets // net.width).tolist()
+        blocks = [slice(k * net.width, (k + 1) * net.width) for k in classes]
+        parts = [("input", met)] + [(k, slice(None)) for k in ("state", "class", "class_bias")]
+        parts += [(k, block) for block in blocks for k in ("word", "word_bias")]
+        norm = 0.0
+        for k, rows in parts:
+            g = gradients[k][rows].reshape(-1)
+            norm += float(g @ g)
+        norm = scale * np.sqrt(norm)
+        factor = np.float32(scale * min(1.0, 1.0 / max(norm, 1e-9)))
+        rate = np.float32(self.rate * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn))
+        for k, rows in parts:
+            g = gradients[k][rows] * factor
+            mean, square = self.mean[k][rows], self.square[k][rows]
+            mean *= np.float32(0.9)
+            mean += np.float32(0.1) * g
+            square *= np.float32(0.999)
+            g *= g
+            g *= np.float32(0.001)
+            square += g
+            if not isinstance(rows, slice):  # copies, where slices are views
+                self.mean[k][rows], self.square[k][rows] = mean, square
+            move = np.sqrt(square, out=g)
+            move += np.float32(1e-6)
+            np.divide(mean, move, out=move)
+            move *= rate
+            w[k][rows] -= move
             gradients[k][rows] = 0
         return state

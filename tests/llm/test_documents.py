@@ -371,6 +371,26 @@ def test_gradients_equal_finite_differences():
         assert np.abs(found[name] - scale * plain[name]).max() < 2e-3 * scale * np.abs(other).max()
 
 
+def test_a_step_moves_touched_rows_alone_and_as_adam_does():
+    start = gru.start_weights(64, 8, 6)
+    trainer = gru.Trainer(start, 1e-2)
+    trainer.learn([np.array([2, 3, 17, 3], np.int32)])
+    assert trainer.turn == 1
+    rate = 1e-2 * np.sqrt(1 - 0.999) / (1 - 0.9)
+    for name, now in trainer.network.w.items():
+        mean, square = trainer.mean[name], trainer.square[name]
+        np.testing.assert_allclose(square, 0.1 * mean**2, rtol=1e-4, atol=1e-12)
+        np.testing.assert_allclose(now, start[name] - rate * mean / (np.sqrt(square) + 1e-6), atol=1e-6)
+        assert not trainer.gradients[name].any()
+    # Targets lie in the first class (END, 2, 3) and the third (17); inputs are these words.
+    moved = np.flatnonzero((trainer.network.w["word_bias"] != start["word_bias"]))
+    assert set(moved.tolist()) == {*range(8), *range(16, 24)}
+    moved = np.flatnonzero((trainer.network.w["input"] != start["input"]).any(1))
+    assert set(moved.tolist()) <= {gru.END, 2, 3, 17} and len(moved)
+    total = sum(float((m / 0.1).ravel() @ (m / 0.1).ravel()) for m in trainer.mean.values())
+    assert total <= 1.0001
+
+
 def test_recurrent_training_lowers_the_loss():
     docs = [np.tile([3, 9, 5, 40], 20).astype(np.int32) for _ in range(30)]
     trainer = gru.Trainer(gru.start_weights(64, 8, 8), 1e-2)
