@@ -2,7 +2,7 @@
 
 Words are counted over all training documents by their 64-bit hash. Those that occur twice, up to the
 ``FREQUENT`` most frequent, are the vocabulary of the recurrent model (``llm.gru``), whose classes grow
-with it; every other word is its rare-word token, times the smoothed share of the word among rare
+with it and have few frequent words or many rare ones; every other word is its rare-word token, times the smoothed share of the word among rare
 words, so the model gives every possible text a probability. Words met once train the rare-word token.
 
 The model first learns from a bounded number of documents in one task (``WARM_DOCUMENTS``, smallest
@@ -35,6 +35,7 @@ FREQUENT = 65_536
 WARM_DOCUMENTS = 1_500
 WARM_PASSES = 6
 WARM_RATE, RATE = 8e-3, 1e-3
+GATHER = 32
 TRAIN_BYTES = 4 << 20
 SCORE_BYTES = 24 << 20
 BLOCKS, SALTS = 64, 64
@@ -82,11 +83,27 @@ def frequent_words(counts: DataFrame) -> Words:
     return Words(keys[order], top["n"].to_numpy(np.int64)[order], numbers[order])
 
 
+def class_bounds(words: Words) -> np.ndarray:
+    """First number of each class of the model, and how many numbers there are in all.
+
+    The rare-word token and the end have a class each. The others are runs of ranks whose roots of
+    shares have equal sums of about 1: so a token needs the fewest scores, of all classes and of the
+    words in its own. The last class is filled up to a multiple of the number of classes.
+    """
+    counts = -np.sort(-words.counts[words.numbers != RARE])
+    roots = np.sqrt(counts / counts.sum())
+    inner = int(np.ceil(roots.sum()))
+    of_class = np.minimum((np.cumsum(roots) - roots / 2) / roots.sum() * inner, inner - 1).astype(np.int64)
+    first = np.flatnonzero(np.diff(of_class, prepend=-1)) + END + 1
+    classes = len(first) + END + 1
+    many = len(counts) + END + 1
+    return np.concatenate([np.arange(END + 1), first, [classes * int(np.ceil(many / classes))]]).astype(np.int64)
+
+
 def shape(words: Words) -> tuple[int, int]:
-    """Numbers and classes of the model: about as many classes as words in each."""
-    many = int(words.numbers.max(initial=END)) + 1
-    classes = int(np.ceil(np.sqrt(many)))
-    return classes * int(np.ceil(many / classes)), classes
+    """Numbers and classes of the model."""
+    bounds = class_bounds(words)
+    return int(bounds[-1]), len(bounds) - 1
 
 
 def documents(words: Words, texts: list[str | None]) -> list[np.ndarray]:
@@ -101,7 +118,7 @@ def warm_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for batch in batches for t in batch["text"].to_pylist()]
         read = documents(words, texts)
-        trainer = Trainer(start, WARM_RATE)
+        trainer = Trainer(start, WARM_RATE, class_bounds(words), GATHER)
         for turn in range(WARM_PASSES):
             trainer.rate = WARM_RATE * (1 - 0.8 * turn / WARM_PASSES)
             trainer.learn(read)
@@ -119,7 +136,7 @@ def averaged_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trainer = Trainer(start, RATE)
+        trainer = Trainer(start, RATE, class_bounds(words), GATHER)
         for batch in slices(batches, most_bytes=TRAIN_BYTES):
             trainer.learn(documents(words, batch["text"].to_pylist()))
         if trainer.tokens:
@@ -161,7 +178,7 @@ def scored(docs: DataFrame, words: Words, weights: dict[str, np.ndarray]) -> Dat
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
-        own, net = sent.value[0], Network(sent.value[1])
+        own, net = sent.value[0], Network(sent.value[1], class_bounds(sent.value[0]))
         for batch in slices(batches, most_bytes=SCORE_BYTES):
             found, bounds = word_hashes(batch["text"].to_pylist())
             at, met = own.find(found)

@@ -391,6 +391,52 @@ def test_a_step_moves_touched_rows_alone_and_as_adam_does():
     assert total <= 1.0001
 
 
+def test_classes_have_few_frequent_or_many_rare_words(spark):
+    """Of counts as uneven as those of words, the scores needed for a token are well below those of equal classes."""
+    words = lm_score.frequent_words(spark.range(1, 6001).selectExpr("id as word", "60000 div id as n"))
+    bounds = lm_score.class_bounds(words)
+    assert bounds[:3].tolist() == [lm_score.RARE, gru.END, gru.END + 1] and (np.diff(bounds) > 0).all()
+    assert (int(bounds[-1]), len(bounds) - 1) == lm_score.shape(words)
+    counts = np.sort(words.counts[words.numbers != lm_score.RARE])[::-1]
+    of_word = np.searchsorted(bounds, np.arange(len(counts)) + gru.END + 1, "right") - 1
+    needed = len(bounds) - 1 + float(counts @ np.diff(bounds)[of_word]) / counts.sum()
+    assert needed < 0.75 * 2 * np.sqrt(len(counts))
+    net = gru.Network(gru.start_weights(*lm_score.shape(words), 6), bounds)
+    states = np.random.default_rng(0).normal(size=(1, 6)).astype(np.float32).repeat(bounds[-1], axis=0)
+    assert np.exp(net.output(states, np.arange(bounds[-1]))[0]).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_waiting_classes_lose_no_gradient():
+    """Rows of a class that waits for more tokens move by the sum of all gradients, at the end of a pass at the latest."""
+    start, bounds = gru.start_weights(64, 8, 6), np.array([0, 1, 2, 5, 9, 16, 26, 40, 64])
+    docs = [np.random.default_rng(3).integers(2, 64, 19).astype(np.int32)]
+    lanes = gru.Lanes(docs, 1)
+    ((at, inside),) = lanes.windows(20)
+    at_once, waiting = (gru.Trainer(start, 0.0, bounds, gather) for gather in (1, 10_000))
+    for trainer in (at_once, waiting):
+        trainer.window(lanes, at, inside, np.zeros((1, 6), np.float32))
+        assert not trainer.mean["word"][:2].any()  # alone in their classes
+    for name in ("word", "word_bias"):
+        assert at_once.mean[name].any() and not at_once.gradients[name].any() and not waiting.mean[name].any()
+        np.testing.assert_allclose(waiting.gradients[name] * 0.1, at_once.mean[name], atol=1e-7)
+    # A second pass adds to what waits, and its end leaves nothing.
+    held = {name: waiting.gradients[name] for name in ("word", "word_bias")}
+    waiting.learn(docs)
+    for name, first in held.items():
+        assert not waiting.gradients[name].any()
+        np.testing.assert_allclose(waiting.mean[name], 0.2 * first, rtol=1e-4, atol=1e-7)
+
+
+def test_far_scores_and_gates_stay_finite():
+    weights = {k: v * 3000 for k, v in gru.start_weights(64, 8, 6).items()}
+    trainer = gru.Trainer(weights, 1e-2)
+    docs = [np.random.default_rng(0).integers(0, 64, 90).astype(np.int32)]
+    with np.errstate(all="raise", under="ignore"):
+        before = trainer.network.score(docs)
+        trainer.learn(docs)
+    assert np.isfinite(before).all() and all(np.isfinite(v).all() for v in trainer.network.w.values())
+
+
 def test_recurrent_training_lowers_the_loss():
     docs = [np.tile([3, 9, 5, 40], 20).astype(np.int32) for _ in range(30)]
     trainer = gru.Trainer(gru.start_weights(64, 8, 8), 1e-2)
