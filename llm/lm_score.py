@@ -38,7 +38,7 @@ WARM_RATE, RATE = 8e-3, 1e-3
 GATHER = 32
 TRAIN_BYTES = 4 << 20
 SCORE_BYTES = 24 << 20
-BLOCKS, SALTS = 64, 64
+BLOCKS, TOGETHER = 64, 32
 END_KEY = 0
 
 
@@ -130,6 +130,21 @@ def warm_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]) ->
     return unpacked(np.frombuffer(found[0], np.float32), start) if found else start
 
 
+def run_of(task: int) -> int:
+    """Tasks whose weights are summed first: ``TOGETHER`` neighbours, so that few weights are shuffled again."""
+    return task // TOGETHER
+
+
+def summed(parts: DataFrame, *keys: str) -> DataFrame:
+    """Tokens and parts of weights (block, run, tokens, part) summed by ``keys``, one row for each."""
+
+    def added(group):
+        total = np.sum([np.frombuffer(p, np.float32) for p in group["part"]], axis=0, dtype=np.float64)
+        return group.head(1).assign(tokens=group["tokens"].sum(), part=[total.astype(np.float32).tobytes()])
+
+    return parts.groupBy(*keys).applyInPandas(added, "block int, run int, tokens long, part binary")
+
+
 def averaged_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Weights after one pass over all documents in every task, averaged by tokens, block by block."""
 
@@ -141,26 +156,19 @@ def averaged_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]
             trainer.learn(documents(words, batch["text"].to_pylist()))
         if trainer.tokens:
             parts = np.array_split(packed(trainer.network.w) * np.float32(trainer.tokens), BLOCKS)
-            salt = TaskContext.get().partitionId() % SALTS
+            run = run_of(TaskContext.get().partitionId())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(BLOCKS), pa.int32()),
-                    pa.array([salt] * BLOCKS, pa.int32()),
+                    pa.array([run] * BLOCKS, pa.int32()),
                     pa.array([trainer.tokens] * BLOCKS, pa.int64()),
                     pa.array([p.tobytes() for p in parts], pa.binary()),
                 ],
-                ["block", "salt", "tokens", "part"],
+                ["block", "run", "tokens", "part"],
             )
 
-    def added(group):
-        total = np.sum([np.frombuffer(p, np.float32) for p in group["part"]], axis=0, dtype=np.float64)
-        return group.head(1).assign(tokens=group["tokens"].sum(), part=[total.astype(np.float32).tobytes()])
-
-    fields = "block int, salt int, tokens long, part binary"
-    parts = docs.select("text").mapInArrow(train, fields)
-    # Two steps: no group has more rows than tasks share a salt, then than there are salts.
-    parts = parts.groupBy("block", "salt").applyInPandas(added, fields).groupBy("block").applyInPandas(added, fields)
-    rows = sorted(parts.collect(), key=lambda row: row["block"])
+    parts = docs.select("text").mapInArrow(train, "block int, run int, tokens long, part binary")
+    rows = sorted(summed(summed(parts, "block", "run"), "block").collect(), key=lambda row: row["block"])
     if not rows:
         return start
     flat = np.concatenate([np.frombuffer(row["part"], np.float32) / row["tokens"] for row in rows])

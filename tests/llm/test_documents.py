@@ -427,6 +427,20 @@ def test_waiting_classes_lose_no_gradient():
         np.testing.assert_allclose(waiting.mean[name], 0.2 * first, rtol=1e-4, atol=1e-7)
 
 
+def test_weights_of_tasks_are_summed_before_they_move_again(spark):
+    rows = [
+        (block, lm_score.run_of(task), task + 1, np.full(3, task * (block + 1), np.float32).tobytes())
+        for task in range(40)
+        for block in range(2)
+    ]
+    parts = spark.createDataFrame(rows, "block int, run int, tokens long, part binary")
+    first = lm_score.summed(parts, "block", "run")
+    assert first.count() <= len(rows) / 8
+    for row in lm_score.summed(first, "block").collect():
+        assert row["tokens"] == 820
+        assert np.frombuffer(row["part"], np.float32).tolist() == [780.0 * (row["block"] + 1)] * 3
+
+
 def test_far_scores_and_gates_stay_finite():
     weights = {k: v * 3000 for k, v in gru.start_weights(64, 8, 6).items()}
     trainer = gru.Trainer(weights, 1e-2)
