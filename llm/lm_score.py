@@ -6,8 +6,8 @@ with it and have few frequent words or many rare ones; every other word is its r
 words, so the model gives every possible text a probability. Words met once train the rare-word token.
 
 The model first learns from a bounded number of documents in one task (``WARM_DOCUMENTS``, smallest
-hash of the id first). From there every task goes over all its training documents once, and the
-weights are averaged by their tokens. Counts, training and scores cover all documents.
+hash of the id first). From there every task goes over all its training documents once, about
+``REPLICA_TOKENS`` or more, and the weights are averaged by their tokens. Counts, training and scores cover all documents.
 
 Counts of the ``FREQUENT`` most frequent words travel to all tasks (a fixed size). The words beyond
 are looked up in a join on the hash; none of them is frequent enough to be a hot key.
@@ -36,6 +36,7 @@ WARM_DOCUMENTS = 1_500
 WARM_PASSES = 6
 WARM_RATE, RATE = 8e-3, 1e-3
 GATHER = 32
+REPLICA_TOKENS = 4_000_000
 TRAIN_BYTES = 4 << 20
 SCORE_BYTES = 24 << 20
 BLOCKS, TOGETHER = 64, 32
@@ -118,7 +119,8 @@ def warm_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for batch in batches for t in batch["text"].to_pylist()]
         read = documents(words, texts)
-        trainer = Trainer(start, WARM_RATE, class_bounds(words), GATHER)
+        # Made here as in the driver, so that they need not be sent.
+        trainer = Trainer(start_weights(*shape(words)), WARM_RATE, class_bounds(words), GATHER)
         for turn in range(WARM_PASSES):
             trainer.rate = WARM_RATE * (1 - 0.8 * turn / WARM_PASSES)
             trainer.learn(read)
@@ -145,8 +147,13 @@ def summed(parts: DataFrame, *keys: str) -> DataFrame:
     return parts.groupBy(*keys).applyInPandas(added, "block int, run int, tokens long, part binary")
 
 
-def averaged_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Weights after one pass over all documents in every task, averaged by tokens, block by block."""
+def replicas(tokens: int) -> int:
+    """At most so many tasks train, as each sends all weights, however few its documents."""
+    return max(1, -(-tokens // REPLICA_TOKENS))
+
+
+def averaged_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray], tokens: int) -> dict[str, np.ndarray]:
+    """Weights after one pass over all documents (of ``tokens``) in every task, averaged by tokens, block by block."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -167,7 +174,7 @@ def averaged_weights(docs: DataFrame, words: Words, start: dict[str, np.ndarray]
                 ["block", "run", "tokens", "part"],
             )
 
-    parts = docs.select("text").mapInArrow(train, "block int, run int, tokens long, part binary")
+    parts = docs.select("text").coalesce(replicas(tokens)).mapInArrow(train, "block int, run int, tokens long, part binary")
     rows = sorted(summed(summed(parts, "block", "run"), "block").collect(), key=lambda row: row["block"])
     if not rows:
         return start
@@ -245,7 +252,7 @@ def log_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rare_tokens = tokens - ends - int(words.counts[named].sum())
     rare_words = distinct - (ends > 0) - int(named.sum())
     start = start_weights(*shape(words))
-    weights = averaged_weights(learned, words, warm_weights(learned, words, start))
+    weights = averaged_weights(learned, words, warm_weights(learned, words, start), tokens)
     rows = written(scored(docs, words, weights), "scored")
     looked_up = (
         rows.select("number", F.explode("tail").alias("word"))

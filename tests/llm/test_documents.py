@@ -427,6 +427,22 @@ def test_waiting_classes_lose_no_gradient():
         np.testing.assert_allclose(waiting.mean[name], 0.2 * first, rtol=1e-4, atol=1e-7)
 
 
+def test_few_documents_in_many_partitions_send_their_weights_once(spark, monkeypatch):
+    """Weights sent follow the tokens, not the partitions of the input."""
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('a b c a b ', id % 3) as text").repartition(30)
+    sent = []
+
+    def summed(parts, *keys):
+        sent.append(parts.count())
+        return real(parts, *keys)
+
+    real = lm_score.summed
+    monkeypatch.setattr(lm_score, "summed", summed)
+    assert lm_score.log_likelihood(docs).count() == 60
+    assert sent == [lm_score.BLOCKS, lm_score.BLOCKS]
+    assert lm_score.replicas(0) == 1 and lm_score.replicas(lm_score.REPLICA_TOKENS * 5 + 1) == 6
+
+
 def test_weights_of_tasks_are_summed_before_they_move_again(spark):
     rows = [
         (block, lm_score.run_of(task), task + 1, np.full(3, task * (block + 1), np.float32).tobytes())
