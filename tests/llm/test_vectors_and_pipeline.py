@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as registry
@@ -94,3 +97,56 @@ def test_registered():
     names = registry.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert names["pipeline"] is corpus_pipeline.run
+
+
+def test_memory_of_a_forest_does_not_follow_the_rows_it_has_met():
+    generator = np.random.default_rng(2)
+    forest = ann.Forest(17, 2)
+    for tree in range(2):
+        forest.splits[tree] = dict(zip(range(1, 1 << 12), generator.normal(scale=0.02, size=(1 << 12) - 1).tolist()))
+    points = generator.normal(size=(20_000, 17))
+    forest.leaves(points[:1], 0), forest.leaves(points[:1], 1)
+    before = len(pickle.dumps(forest))
+    for tree in range(2):
+        forest.leaves(points, tree)
+    forest.visited(points[0], 500)
+    assert len(pickle.dumps(forest)) == before < 200_000
+
+
+def test_batches_of_visits_are_bounded(monkeypatch):
+    generator = np.random.default_rng(3)
+    forest = ann.Forest(5, 1)
+    forest.splits[0] = dict(zip(range(1, 64), generator.normal(scale=0.1, size=63).tolist()))
+    columns = {"node": range(50), "vector": generator.normal(size=(50, 4)).tolist(), "square": [1.0] * 50}
+    rows = pa.RecordBatch.from_pydict({name: list(values) for name, values in columns.items()})
+    whole = [tuple(r.values()) for b in ann.locate(forest, [rows], 4, 9.0, 40) for r in b.to_pylist()]
+    for most in (30, 90):
+        monkeypatch.setattr(ann, "BATCH_VISITS", most)
+        batches = list(ann.locate(forest, [rows], 4, 9.0, 40))
+        assert max(b.num_rows for b in batches) <= most
+        assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == whole
+    assert len(whole) == 2000
+
+
+def test_recall_of_a_forest_whose_visited_leaves_are_few(spark):
+    generator = np.random.default_rng(8)
+    middles = generator.normal(size=(40, 16))
+    points = middles[np.arange(4000) % 40] + generator.normal(scale=0.3, size=(4000, 16))
+    frame = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<double>")
+    found = ann.search(frame, frame.where("vec_id % 41 = 0"), k=10, leaf_rows=16, leaves=8, matrix_gain=1).collect()
+    scores = points[::41] @ points.T
+    scores[np.arange(98), np.arange(0, 4000, 41)] = -np.inf
+    true = {(41 * q, int(i)) for q, best in enumerate(np.argsort(-scores, axis=1)[:, :10]) for i in best}
+    assert len(found) == 980
+    assert len(true & {(r["query_id"], r["vec_id"]) for r in found}) >= 930
+
+
+def test_search_of_all_rows_in_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    points = np.random.default_rng(6).normal(size=(300, 8))
+    frame = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<double>")
+    found = ann.search(frame, frame.where("vec_id % 10 = 0"), k=5, leaf_rows=16, leaves=1000).collect()
+    plain = dict(enumerate(points))
+    for query in range(0, 300, 10):
+        own = sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == query)
+        assert [i for _, i in own] == plain_nearest(plain, query, 5)
