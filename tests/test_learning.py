@@ -402,3 +402,44 @@ def test_forest_rows_keep_the_share_of_a_common_answer_pattern(spark):
     assert few.count(((1.0, 2.0), 0)) == pytest.approx(333, abs=1)
     assert sum(label for _, label in few) == pytest.approx(333, abs=1)
     assert training.bounded_rows(prepared, 40_000).count() == 30_000
+
+
+def test_rows_travel_to_blocks_and_not_to_leaves(spark, monkeypatch):
+    """A row is sent to each block that may have a nearer one, whatever the number of its leaves."""
+    asked = []
+    searched = neighbours._searched
+
+    def counted(asking, *rest):
+        asked.append(asking.count())
+        return searched(asking, *rest)
+
+    monkeypatch.setattr(neighbours, "_searched", counted)
+    x = coded_points(2_000)
+    found = nearest_in_class(point_frame(spark, x, ["a"] * len(x)), 5, "label", 16, 700).collect()
+    assert len(found) == 5 * len(x)
+    # Three or four blocks of up to 700 rows; most of more than 100 leaves can't be passed over.
+    assert asked[0] == len(x) and asked[1] <= 3 * len(x)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_block_search_equals_all_pairs(scale):
+    """Equal distances, a far offset that single precision would not bear, and bounds that are handed in."""
+    rng = np.random.default_rng(4)
+    x = np.unique(rng.integers(0, 4, (900, 6)).astype(float), axis=0) * scale + (scale - 1) * 1e3
+    ids, leaf = rng.permutation(len(x)) * 10, rng.integers(0, 9, len(x))
+    apart = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(apart, np.inf)
+    order = np.lexsort((np.broadcast_to(ids, apart.shape), apart), axis=1)[:, :4]
+    held = neighbours.Nearest(x, ids, leaf, 4)
+    reach = np.full(len(x), np.inf)
+    line, near, distance = held.search(x, ids, reach)
+    assert line.tolist() == np.repeat(np.arange(len(x)), 4).tolist()
+    assert near.tolist() == ids[order].ravel().tolist()
+    assert distance.tolist() == np.take_along_axis(apart, order, 1).ravel().tolist()
+    again = held.search(x, ids, reach.copy())
+    assert again[1].tolist() == near.tolist()
+
+
+def test_leaves_larger_than_a_block_are_dealt_into_several():
+    first, many = neighbours._blocks(np.array([3, 3, 25, 0, 4, 7]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5] and many.tolist() == [1, 1, 3, 1, 1, 1]
