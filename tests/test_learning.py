@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tests.conftest import COMPLETE
@@ -443,3 +444,16 @@ def test_block_search_equals_all_pairs(scale):
 def test_leaves_larger_than_a_block_are_dealt_into_several():
     first, many = neighbours._blocks(np.array([3, 3, 25, 0, 4, 7]), 10)
     assert first.tolist() == [0, 0, 1, 4, 4, 5] and many.tolist() == [1, 1, 3, 1, 1, 1]
+
+
+def test_regression_of_many_rows_starts_from_a_part(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6_000, 5))
+    label = np.digitize(x.sum(1) + rng.normal(scale=0.5, size=len(x)), [-1.5, 1.5])
+    rows = spark.createDataFrame([(Vectors.dense(v), float(k)) for v, k in zip(x.tolist(), label.tolist())], ["features", "label"])
+    estimator = training.candidates(6_000)[0][1]
+    plain = training.fit_logistic(estimator, rows, 6_000, 3)
+    started = training.fit_logistic(estimator, rows, 6_000, 3, start_rows=1_000)
+    assert np.abs(started.coefficientMatrix.toArray() - plain.coefficientMatrix.toArray()).max() < 0.05
+    assert len(started.summary.objectiveHistory) < len(plain.summary.objectiveHistory)
+    assert started.summary.objectiveHistory[-1] == pytest.approx(plain.summary.objectiveHistory[-1], abs=2e-5)
